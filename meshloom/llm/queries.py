@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, quality
+from . import decontaminate, langid, mix, quality, shard
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,12 +42,37 @@ select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesc
 from d left join pos using (rid) left join its using (rid)
 """
 
+def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_documents(table(spark, sf_dir, "documents"))
+
+
+_OP8_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size,
+    -ln((('0x' || substr(md5('mix-1-' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
+    / greatest(0.05, 1.0::double - 4.0::double * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#$%&*+<=>@[]^_{|}~!', ''))) / greatest(length(coalesce(text, '')), 1)) k
+  from documents),
+s as (select source, sum(size)::bigint source_size, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] w from d group by source),
+r as (select *, source_size * 2 cap, source_size * 2 / w ratio, sum(source_size) over ()::double * 1.5::double total from s),
+l as (select *, (total - coalesce(sum(cap) over (order by ratio, source nulls last rows between unbounded preceding and 1 preceding), 0)::double) / sum(w) over (order by ratio, source nulls last rows between current row and unbounded following)::double lev, row_number() over (order by ratio, source nulls last) nth from r),
+t as (select source, source_size, coalesce(least(cap::double, (select arg_min(lev, nth) from l where lev <= ratio) * w), 0.0)::double target from l),
+o as (select d.doc_id, d.size, d.source, sum(d.size) over (partition by d.source order by k, doc_id, size rows unbounded preceding) upto from d),
+e as (select o.*, source_size, target, case when source_size > 0 then floor(target / source_size)::bigint else 0 end epochs from o join t on o.source is not distinct from t.source)
+select doc_id, size, source_size, target, (size * (epochs + case when upto - size / 2 <= target - epochs * source_size then 1 else 0 end))::bigint taken from e
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op5_quality": op5_quality,
+    "op6_shard": op6_shard,
     "op7_decontaminate": op7_decontaminate,
+    "op8_mix": op8_mix,
 }
 
 ORACLES: dict[str, str] = {
     "op7_decontaminate": _OP7_SQL,
+    "op8_mix": _OP8_SQL,
 }
