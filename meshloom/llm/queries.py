@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mix, quality, shard
+from . import decontaminate, langid, mix, quality, shard, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,15 +65,30 @@ e as (select o.*, source_size, target, case when source_size > 0 then floor(targ
 select doc_id, size, source_size, target, (size * (epochs + case when upto - size / 2 <= target - epochs * source_size then 1 else 0 end))::bigint taken from e
 """
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+_OP10_SQL = """
+with e as (select vec_id, embedding from embeddings where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c as (select vec_id, unnest(range(len(embedding))) i, unnest(list_transform(embedding, lambda x: floor(256 * x::double)::bigint)) v from e),
+p as (select q.vec_id query_id, c.vec_id, sum(q.v * c.v)::bigint score from c q join c on q.i = c.i and q.vec_id <> c.vec_id where q.vec_id % 50 = 0 group by all),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from p)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op5_quality": op5_quality,
     "op6_shard": op6_shard,
     "op7_decontaminate": op7_decontaminate,
     "op8_mix": op8_mix,
+    "op10_topk": op10_topk,
 }
 
 ORACLES: dict[str, str] = {
     "op7_decontaminate": _OP7_SQL,
     "op8_mix": _OP8_SQL,
+    "op10_topk": _OP10_SQL,
 }
