@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mix, ppm, quality, shard, topk
+from . import decontaminate, langid, mix, neardup, ppm, quality, shard, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality.score_quality(documents, quality.train(documents, table(spark, sf_dir, "labels")))
@@ -85,6 +89,7 @@ select query_id, rank, vec_id, score from r where rank <= 5
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op3_lm_score": op3_lm_score,
+    "op4_near_dedup": op4_near_dedup,
     "op5_quality": op5_quality,
     "op6_shard": op6_shard,
     "op7_decontaminate": op7_decontaminate,
