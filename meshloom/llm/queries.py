@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mix, neardup, ppm, quality, shard, topk
+from . import decontaminate, langid, licenses, mix, neardup, ppm, quality, shard, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,29 @@ e as (select o.*, source_size, target, case when source_size > 0 then floor(targ
 select doc_id, size, source_size, target, (size * (epochs + case when upto - size / 2 <= target - epochs * source_size then 1 else 0 end))::bigint taken from e
 """
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("matches").alias("n_licenses"),
+        F.array_join(F.col("matches.license"), ",").alias("licenses"),
+        F.coalesce(F.array_max("matches.containment"), F.lit(0.0)).alias("containment"),
+    )
+
+
+_OP9_TEMPLATES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.TEMPLATES.items())
+#: Every run of every text against every template's runs, without sketches or anchors.
+_OP9_SQL = rf"""
+with t as (select name, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from (values {_OP9_TEMPLATES}) v(name, text)),
+tr as (select distinct name, n, array_to_string(w[i:i + n - 1], ' ') s from (select name, w, least(5, len(w)) n, unnest(range(1, len(w) - least(5, len(w)) + 2)) i from t)),
+tn as (select name, count(*) c from tr group by name),
+d as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+dr as (select distinct rid, n, array_to_string(w[i:i + n - 1], ' ') s from (select rid, w, n, unnest(range(1, len(w) - n + 2)) i from d cross join (select distinct n from tr) where len(w) >= n)),
+m as (select rid, name, count(*) / any_value(c)::double share from dr join tr using (n, s) join tn using (name) group by rid, name having count(*) / any_value(c)::double >= 0.8 - 1e-9)
+select doc_id, count(name)::int n_licenses, coalesce(string_agg(name, ',' order by name), '') licenses, coalesce(max(share), 0.0)::double containment from d left join m using (rid) group by rid, doc_id
+"""
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -94,11 +117,13 @@ QUERIES: dict[str, Query] = {
     "op6_shard": op6_shard,
     "op7_decontaminate": op7_decontaminate,
     "op8_mix": op8_mix,
+    "op9_licenses": op9_licenses,
     "op10_topk": op10_topk,
 }
 
 ORACLES: dict[str, str] = {
     "op7_decontaminate": _OP7_SQL,
     "op8_mix": _OP8_SQL,
+    "op9_licenses": _OP9_SQL,
     "op10_topk": _OP10_SQL,
 }
