@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,16 +59,13 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges that hold about `limit` bytes each."""
-    start = held = 0
-    for i, x in enumerate(texts):
-        held += len(x) + 1
-        if held >= limit:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def text_parts(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Row ranges of about `limit` bytes with their texts as bytes; no more than one range is copied at a time."""
+    size = pc.fill_null(pc.binary_length(column.cast(pa.large_binary())), 0).to_numpy() + 1
+    place = (np.cumsum(size) - size) // limit
+    cut = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(size)] if len(size) else [0]
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield a, b, raw_texts(column.slice(a, b - a))
 
 
 def arrow_rows(columns: dict[str, list | np.ndarray | pa.Array], schema: pa.Schema) -> pa.RecordBatch:

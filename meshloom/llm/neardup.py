@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Packed, mixed, raw_texts, slices, written
+from .common import LOWER, Packed, mixed, text_parts, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -80,9 +80,9 @@ def _sketched(documents: DataFrame, words: int, registers: int, band: int) -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = raw_texts(batch.column(1)), batch.column(0)
-            for a, b in slices(texts):
-                p = Packed(texts[a:b], LOWER)
+            ids = batch.column(0)
+            for a, b, texts in text_parts(batch.column(1)):
+                p = Packed(texts, LOWER)
                 word = p.word_hashes()
                 of = p.word_docs()
                 place = np.arange(len(word)) - p.first[of]
