@@ -69,7 +69,7 @@ def mix_documents(documents: DataFrame, weight: Column | None = None, weights: t
     own, the last. A null id draws as the text `null` does; rows of one id follow each other, by size. Empty input gives
     no rows. Other columns aren't read.
     """
-    kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
+    kept = [F.col(f"`{c}`").alias(f"_keep_{k}") for k, c in enumerate(keep)]
     text = F.col("text").cast("string")
     w = quality_weight(F.coalesce(text, F.lit(""))) if weight is None else weight
     drawn = documents.select(
@@ -96,4 +96,4 @@ def mix_documents(documents: DataFrame, weight: Column | None = None, weights: t
     rest = F.col("target") - epochs * F.col("source_size")
     middle = F.col("_before") + F.col("_to") - F.col("size") / 2
     taken = F.col("size") * (epochs + F.when(middle <= rest, 1).otherwise(0))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"_keep_{k}").alias(c) for k, c in enumerate(keep)])
