@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mix, neardup, ppm, quality, shard, topk
+from . import decontaminate, extract, langid, licenses, mix, neardup, ppm, quality, shard, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(documents, langid.train(documents))
 
 
+def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -111,6 +115,7 @@ select query_id, rank, vec_id, score from r where rank <= 5
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_extract": op2_extract,
     "op3_lm_score": op3_lm_score,
     "op4_near_dedup": op4_near_dedup,
     "op5_quality": op5_quality,
