@@ -9,8 +9,11 @@ from meshloom import fixtures as fx
 from meshloom.functions.geometry import arity, element_dofs
 from meshloom.operators import coarsen as co
 from meshloom.operators import components as cc
-from meshloom.operators import dual, fem, kmeans, metrics, refine
+from meshloom.operators import dual, fem, kmeans, metrics, refine, repair
+from meshloom.plans import options
+from meshloom.plans import partition as plans
 from meshloom.registry import query
+from meshloom.shared import written
 
 K, UB = 4, 1.03
 
@@ -381,3 +384,138 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.order_elements(spark, sf_dir, 4, 3)
     part = fem.round_robin(e, K).select("elem_id", F.col("rank").alias("part"))
     return _rounded(fem.line_segments(e, fx.supplier_vertices(spark, sf_dir), part), "x0", "x1")
+
+# --- whole algorithms: rows only; tests hold them to their invariants ------------------------------------
+
+
+def _triangles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The dual graph of orders of three suppliers, written since many rounds read it."""
+    e = fx.order_elements(spark, sf_dir, 3, 2)
+    gv, ge = dual.element_graph(e, fx.supplier_vertices(spark, sf_dir), 2)
+    return written(gv), written(ge)
+
+
+def _box(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The dual graph of 9,600 tetrahedra in a flat box."""
+    elements, vertices = fx.grid(spark, "tet", 20, 20, 4)
+    gv, ge = dual.element_graph(elements, vertices, 3)
+    return written(gv), written(ge)
+
+
+@query()
+def matching_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gv, ge = _triangles(spark, sf_dir)
+    return co.match(gv, co.weight_scores(gv, ge), 42)
+
+
+@query()
+def coarsen_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(level, n) of a coarsening by weights and distances."""
+    levels = co.coarsen(*_triangles(spark, sf_dir), limit=400, lam=0.5, max_weight=60, ratio=0.95)
+    return spark.createDataFrame([(i, x.n) for i, x in enumerate(levels)], "level int, n long")
+
+
+@query()
+def kmeans_pp_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gv, _ = fx.embedding_points(spark, sf_dir)
+    return spark.createDataFrame(kmeans.seeds(gv, 8, 42), "part int, cx double, cy double, cz double")
+
+
+@query()
+def kmeans_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gv, _ = fx.embedding_points(spark, sf_dir)
+    return kmeans.kmeans(gv, 8, 42).part
+
+
+@query()
+def bfs_seed_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-means parts grown from seeds, balanced and connected."""
+    gv, _ = fx.embedding_points(spark, sf_dir)
+    return plans.kmeans_partition(gv, fx.chain(gv), 6).part
+
+
+@query()
+def bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.bisect(*_triangles(spark, sf_dir)).part
+
+
+@query()
+def recursive_bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.recursive_bisect(*_triangles(spark, sf_dir), options.RecursiveOptions(k=6, post_refine="both")).part
+
+
+def _refine_query(name: str, **more) -> None:  # noqa: ANN003
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """From parts dealt by coordinate: a few rounds of independent moves."""
+        gv, ge = _triangles(spark, sf_dir)
+        part = written(gv.select("v", F.least(F.lit(K - 1), F.floor(F.col("y") * K / 25)).cast("int").alias("part")))
+        return refine.refine(gv, ge, part, K, 1.5, 4, **more).part
+
+    query(name=name)(run)
+
+
+_refine_query("refine_cut")
+_refine_query("refine_volume", mode="volume")
+_refine_query("refine_geo_cut", alpha=0.7)
+_refine_query("refine_geo_volume", alpha=0.7, mode="volume")
+
+
+@query()
+def enforce_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gv, ge = _triangles(spark, sf_dir)
+    part = written(gv.select("v", (F.col("v") % 2).cast("int").alias("part")))
+    return repair.enforce_connectivity(gv, ge, part, 2).part
+
+
+@query()
+def post_balance_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gv, ge = _triangles(spark, sf_dir)
+    part = written(gv.select("v", F.when(F.col("y") < 8, 0).otherwise(1).alias("part")))
+    return refine.balance(gv, ge, part, 2, 1.05, 6).part
+
+
+@query()
+def balance_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gv, ge = _triangles(spark, sf_dir)
+    part = written(gv.select("v", F.when(F.col("y") < 8, 0).otherwise(1).alias("part")))
+    return refine.geometric_balance(gv, ge, part, 2, 1.10, 6).part
+
+
+@query()
+def kway_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.kway_partition(*_triangles(spark, sf_dir), options.KwayOptions(k=8)).part
+
+
+@query()
+def kway_volume_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.kway_partition(*_triangles(spark, sf_dir), options.KwayOptions(k=8, objective="volume")).part
+
+
+@query()
+def geo_kway_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.geo_kway_partition(*_triangles(spark, sf_dir), options.GeoOptions(k=8)).part
+
+
+def _ablation_query(name: str, flags: dict) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        gv, ge = _box(spark, sf_dir)
+        return _rounded(plans.geo_kway_partition(gv, ge, options.GeoOptions(k=8, **flags)).stats, "max_imb", "avg_imb")
+
+    query(name=f"geo_kway_box_{name}")(run)
+
+
+for _name, _flags in options.ABLATION.items():
+    _ablation_query(_name, _flags)
+
+
+@query()
+def kway_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gv, ge = _box(spark, sf_dir)
+    return _rounded(plans.kway_partition(gv, ge, options.KwayOptions(k=8)).stats, "max_imb", "avg_imb")
+
+
+@query()
+def kway_box_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by DataFrame rounds above 3,000 vertices: how a graph that fits no task is partitioned."""
+    gv, ge = _box(spark, sf_dir)
+    return _rounded(plans.geo_kway_partition(gv, ge, options.GeoOptions(k=8), most=3000).stats, "max_imb", "avg_imb")
