@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, Packed, mixed, text_parts, written
@@ -23,6 +24,10 @@ SIMILARITY = 0.8
 #: A pair at similarity 0.8 shares none of 32 bands of 5 registers with a probability of about 3e-6.
 REGISTERS = 160
 BAND = 5
+#: Bits of the filter that says which documents' shingles are needed again: 4 MB.
+FILTER_BITS = 1 << 25
+#: Leaders that a document is compared with in each round, while it isn't of their class yet; then with all that are left.
+TRIES = (1, 2)
 #: Where a band's documents are still of several classes: so many leaders, all documents if they are no more; rounds at most.
 LEADERS = 8
 ROUNDS = 3
@@ -76,7 +81,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketched(documents: DataFrame, words: int, registers: int, band: int) -> DataFrame:
-    """A row a document with words: doc_id, a 128-bit fingerprint of its words (f1, f2), bands, and its shingles."""
+    """A row a document with words: doc_id, a 128-bit fingerprint of its words (f1, f2), and bands."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,16 +96,44 @@ def _sketched(documents: DataFrame, words: int, registers: int, band: int) -> Da
                     np.add.at(x, of, mixed(word * _U(2 * j + 1) + mixed(place.astype(np.uint64) + _U(j << 40))))
                 docs, elements, weights = weighted(*p.shingles(words))
                 band_hashes = bands(sketches(docs, elements, weights, b - a, registers), band).view(np.int64)
-                cut = np.searchsorted(docs, np.arange(b - a + 1))
                 some = np.flatnonzero(np.diff(p.first))
                 flat, m = band_hashes[some].ravel(), band_hashes.shape[1]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * m), pa.array(flat))
-                # 32 bits of each shingle are enough to compare two documents
-                small = [np.unique((elements[cut[i] : cut[i + 1]] & _U(0xFFFFFFFF)).astype(np.uint32)).tobytes() for i in some]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(some)), pa.array(prints[0][some].view(np.int64)), pa.array(prints[1][some].view(np.int64)), lists, pa.array(small, pa.binary())], names=["doc_id", "f1", "f2", "bands", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(some)), pa.array(prints[0][some].view(np.int64)), pa.array(prints[1][some].view(np.int64)), lists], names=["doc_id", "f1", "f2", "bands"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id long, f1 long, f2 long, bands array<long>, shingles binary")
+    return rows.mapInArrow(run, "doc_id long, f1 long, f2 long, bands array<long>")
+
+
+def _shingles_of(documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and the sorted 32-bit hashes of the distinct shingles, of the documents `ids` and a few others, written.
+
+    A bitmap of FILTER_BITS, gathered by words of 64 bits, tells which documents to take; the more ids there are, the more
+    others pass, which costs their work but changes no result.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bits = ids.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("m"))
+    found = bits.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    bitmap = np.zeros(FILTER_BITS >> 6, np.int64)
+    bitmap[found["w"].to_numpy()] = found["m"].to_numpy()
+    shared = documents.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            taken = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1) == 1))
+            for a, b, texts in text_parts(taken.column(1)):
+                p = Packed(texts, LOWER)
+                docs, hashes = p.shingles(words)
+                # 32 bits of a shingle are enough to compare two documents
+                key = np.unique((docs.astype(np.uint64) << _U(32)) | (hashes >> _U(32)))
+                cut = np.searchsorted(key >> _U(32), np.arange(b - a + 1).astype(np.uint64))
+                small = (key & _U(0xFFFFFFFF)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([taken.column(0).slice(a, b - a), pa.array([small[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    return written(rows.withColumn("at", place).mapInArrow(run, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
@@ -136,6 +169,22 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends aren't of one class yet."""
+    of_a, of_b = (label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label), written, after links join classes; nodes that are no row of label are classes of their own."""
+    of_a, of_b = (label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    named = written(links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct())
+    merged = components(_ends(named).withColumn("label", F.col("node")), named)
+    moved = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = label.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return written(old.unionByName(merged.join(label, "node", "left_anti").select("node", "label")))
+
+
 def _ends(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
 
@@ -153,42 +202,49 @@ def classes(documents: DataFrame, words: int = WORDS, similarity: float = SIMILA
     text without words are like nothing: their class is their own doc_id; so is that of a null id. Repeated rows each give
     a row. Rows of one doc_id with different texts are taken as different texts of that document. Other columns aren't read.
 
-    The documents of a band are first compared with one leader, mostly the same one in all bands of a group. Where a
-    band's documents are then of several classes, those of up to LEADERS documents are all compared across classes, and
+    The documents of a band are first compared with its leader; a document goes through the leaders of its bands in one order
+    for all, and skips those of whose class it is by then. Where a band's documents are then of several classes, those of up to LEADERS documents are all compared across classes, and
     larger ones with LEADERS drawn documents; the same again with other draws while that finds links, ROUNDS at most.
     """
     sketched = written(_sketched(documents, words, registers, band))
     copies = sketched.groupBy("f1", "f2").agg(F.min("doc_id").alias("exact_id"))
     member = written(sketched.select("doc_id", "f1", "f2").join(copies, ["f1", "f2"]).select("doc_id", "exact_id").distinct())
     # each different text once, under its least doc_id
-    text = written(sketched.join(copies.select(F.col("exact_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "bands", "shingles"))
-    shingles = text.select("doc_id", "shingles")
-    bucket = text.select("doc_id", F.explode("bands").alias("h")).distinct()
+    text = sketched.join(copies.select(F.col("exact_id").alias("doc_id")), "doc_id", "left_semi")
+    bucket = text.select("doc_id", F.explode("bands").alias("h"))
     leader = bucket.groupBy("h").agg(F.min(_drawn(F.col("doc_id"), 0))["d"].alias("leader"), F.count("*").alias("n")).where("n > 1")
     shared = written(bucket.join(leader, "h").select("h", "doc_id", "leader", "n"))
-    pairs = written(shared.where("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = written(_verified(pairs, shingles, similarity))
-    label = components(written(_ends(links).withColumn("label", F.col("node"))), links)
-    done = pairs
+    tried = written(shared.where("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct())
+    shingles = _shingles_of(documents, _ends(tried).withColumnRenamed("node", "id"), words)
+    label = documents.sparkSession.createDataFrame([], "node long, label long")
+    left = tried
+    for most in (*TRIES, None):
+        some = left
+        if most:
+            # a document has at most as many leaders as bands
+            nth = F.row_number().over(W.partitionBy("b").orderBy(F.xxhash64("a", F.lit(0)), "a"))
+            left = written(left.withColumn("nth", nth))
+            some = left.where(F.col("nth") <= most).select("a", "b")
+        label = _joined(label, written(_verified(some, shingles, similarity)))
+        if most:
+            left = _across(left.where(F.col("nth") > most).select("a", "b"), label)
     for r in range(ROUNDS):
         known = label.select(F.col("node").alias("doc_id"), "label")
         labelled = shared.select("h", "doc_id", "n").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        mixed_ = labelled.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
-        members = written(labelled.join(mixed_, "h"))
+        several = labelled.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
+        members = written(labelled.join(several, "h"))
         one = F.struct(F.col("doc_id").alias("a"), F.col("label").alias("la"))
         few = members.where(F.col("n") <= LEADERS).groupBy("h").agg(F.collect_list(one).alias("l"))
         draws = [F.min(F.struct(F.xxhash64("doc_id", "h", F.lit(LEADERS * r + j)).alias("o"), one.alias("d")))["d"] for j in range(LEADERS)]
         many = members.where(F.col("n") > LEADERS).groupBy("h").agg(F.array_distinct(F.array(*draws)).alias("l"))
         led = few.unionByName(many).select("h", F.explode("l").alias("l")).select("h", "l.a", "l.la")
         found = members.join(led, "h").where("label <> la").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        swapped = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = written(found.join(swapped, ["a", "b"], "left_anti"))
+        fresh = written(found.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
         more = written(_verified(fresh, shingles, similarity))
         if more.limit(1).count() == 0:
             break
-        done, links = done.unionByName(fresh), links.unionByName(more)
-        new = _ends(more).join(label, "node", "left_anti").withColumn("label", F.col("node"))
-        label = components(written(label.unionByName(new)), links)
+        tried = tried.unionByName(fresh)
+        label = _joined(label, more)
     # a document of several texts links their classes
     of = member.join(label, member["exact_id"] == label["node"], "left").select("doc_id", "exact_id", F.coalesce("label", "exact_id").alias("class_id"))
     one = of.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("exact_id").alias("exact_id"))
