@@ -3,8 +3,7 @@
 Each shingle is a Poisson process whose rate is its weight; each arrival falls on a random register, and a register
 keeps its earliest arrival. Two texts agree in a register with the probability Jaccard of their weighted shingles. A
 document stops drawing when its next arrivals are later than the latest register. Copies are collapsed first, by a
-fingerprint of all words. Documents that agree in a band are compared with the band's leader, and the similarity of
-each pair is worked out exactly from whole shingle sets.
+fingerprint of all words. Documents that agree in a band are compared exactly, by their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, Packed, mixed, text_parts, written
@@ -26,11 +24,8 @@ REGISTERS = 160
 BAND = 5
 #: Bits of the filter that says which documents' shingles are needed again: 4 MB.
 FILTER_BITS = 1 << 25
-#: Leaders that a document is compared with in each round, while it isn't of their class yet; then with all that are left.
-TRIES = (1, 2)
-#: Where a band's documents are still of several classes: so many leaders, all documents if they are no more; rounds at most.
-LEADERS = 8
-ROUNDS = 3
+#: Documents of a band that are compared in one group.
+BLOCK = 512
 _U = np.uint64
 
 
@@ -169,10 +164,82 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends aren't of one class yet."""
-    of_a, of_b = (label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+def _linked_in_bands(shared: DataFrame, label: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join what the pairs of each band join, where its documents are of several classes.
+
+    All pairs of a band are compared exactly, but only links that join two classes become rows. A band of more than
+    BLOCK documents is cut into blocks, and each two blocks are a group.
+    """
+    known = label.select(F.col("node").alias("doc_id"), "label")
+    labelled = shared.select("h", "doc_id", "n").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    several = labelled.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("doc_id", "h"), blocks).cast("int")
+    members = labelled.join(several, "h").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = members.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "label").join(shingles, "doc_id")
+    dealt = rows.select("h", "i", "j", "mine", "doc_id", "label", "shingles").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solve() -> pa.RecordBatch:
+            a, b = _links_of_group(pa.Table.from_batches(held), least)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        last = None
+        for batch in batches:
+            h, i, j = (batch.column(c).to_numpy() for c in range(3))
+            starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))[: len(h)]
+            for x, y in zip(starts, [*starts[1:], len(h)], strict=True):
+                if held and (h[x], i[x], j[x]) != last:
+                    yield solve()
+                held.append(batch.slice(x, y - x))
+                last = (h[x], i[x], j[x])
+        if held:
+            yield solve()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _links_of_group(group: pa.Table, least: float) -> tuple[list[int], list[int]]:
+    """A forest of links between classes: of documents of one block, or across two."""
+    docs, labels, mine = (group[c].to_numpy() for c in ("doc_id", "label", "mine"))
+    across = group["i"][0].as_py() != group["j"][0].as_py()
+    sets = [np.frombuffer(x, np.uint32) for x in group["shingles"].to_pylist()]
+    size = np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(len(sets)), size)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # shingles of one document alone are in no intersection
+    number = np.cumsum(times > 1) - 1
+    keep = times[at] > 1
+    of, at = of[keep], number[at[keep]]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int((times > 1).sum()), 8192):
+        part = (at >= low) & (at < low + 8192)
+        m = np.zeros((len(sets), 8192), np.float32)
+        m[of[part], at[part] - low] = 1
+        common += m @ m.T
+    union = size[:, None] + size[None, :] - common
+    close = np.triu(common >= (least - 1e-9) * union, 1) & (labels[:, None] != labels[None, :])
+    if across:
+        close &= mine[:, None] != mine[None, :]
+    root = {x: x for x in labels.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    a, b = [], []
+    for p, q in zip(*(k.tolist() for k in np.nonzero(close)), strict=True):
+        x, y = find(labels[p]), find(labels[q])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            a.append(int(docs[p]))
+            b.append(int(docs[q]))
+    return a, b
 
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -202,9 +269,8 @@ def classes(documents: DataFrame, words: int = WORDS, similarity: float = SIMILA
     text without words are like nothing: their class is their own doc_id; so is that of a null id. Repeated rows each give
     a row. Rows of one doc_id with different texts are taken as different texts of that document. Other columns aren't read.
 
-    The documents of a band are first compared with its leader; a document goes through the leaders of its bands in one order
-    for all, and skips those of whose class it is by then. Where a band's documents are then of several classes, those of up to LEADERS documents are all compared across classes, and
-    larger ones with LEADERS drawn documents; the same again with other draws while that finds links, ROUNDS at most.
+    Each document is first compared with one leader of its bands. Where the documents of a band are then still of several
+    classes, all its pairs are compared. So two documents that share a band and are similar are always of one class.
     """
     sketched = written(_sketched(documents, words, registers, band))
     copies = sketched.groupBy("f1", "f2").agg(F.min("doc_id").alias("exact_id"))
@@ -212,39 +278,16 @@ def classes(documents: DataFrame, words: int = WORDS, similarity: float = SIMILA
     # each different text once, under its least doc_id
     text = sketched.join(copies.select(F.col("exact_id").alias("doc_id")), "doc_id", "left_semi")
     bucket = text.select("doc_id", F.explode("bands").alias("h"))
-    leader = bucket.groupBy("h").agg(F.min(_drawn(F.col("doc_id"), 0))["d"].alias("leader"), F.count("*").alias("n")).where("n > 1")
+    doc = F.col("doc_id")
+    leader = bucket.groupBy("h").agg(F.min(_drawn(doc, 0))["d"].alias("leader"), F.count("*").alias("n"), F.bit_xor(F.xxhash64(doc, F.lit(1))).alias("x"), F.sum(F.xxhash64(doc, F.lit(2)).bitwiseAND(0xFFFFFFFF)).alias("s"))
+    # bands of the same documents are one
+    leader = leader.where("n > 1").groupBy("n", "x", "s", "leader").agg(F.min("h").alias("h")).select("h", "leader", "n")
     shared = written(bucket.join(leader, "h").select("h", "doc_id", "leader", "n"))
-    tried = written(shared.where("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct())
-    shingles = _shingles_of(documents, _ends(tried).withColumnRenamed("node", "id"), words)
+    first = shared.where("leader <> doc_id").groupBy(doc.alias("b")).agg(F.min(_drawn(F.col("leader"), 0))["d"].alias("a")).select("a", "b")
+    shingles = _shingles_of(documents, shared.select(doc.alias("id")).distinct(), words)
     label = documents.sparkSession.createDataFrame([], "node long, label long")
-    left = tried
-    for most in (*TRIES, None):
-        some = left
-        if most:
-            # a document has at most as many leaders as bands
-            nth = F.row_number().over(W.partitionBy("b").orderBy(F.xxhash64("a", F.lit(0)), "a"))
-            left = written(left.withColumn("nth", nth))
-            some = left.where(F.col("nth") <= most).select("a", "b")
-        label = _joined(label, written(_verified(some, shingles, similarity)))
-        if most:
-            left = _across(left.where(F.col("nth") > most).select("a", "b"), label)
-    for r in range(ROUNDS):
-        known = label.select(F.col("node").alias("doc_id"), "label")
-        labelled = shared.select("h", "doc_id", "n").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        several = labelled.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
-        members = written(labelled.join(several, "h"))
-        one = F.struct(F.col("doc_id").alias("a"), F.col("label").alias("la"))
-        few = members.where(F.col("n") <= LEADERS).groupBy("h").agg(F.collect_list(one).alias("l"))
-        draws = [F.min(F.struct(F.xxhash64("doc_id", "h", F.lit(LEADERS * r + j)).alias("o"), one.alias("d")))["d"] for j in range(LEADERS)]
-        many = members.where(F.col("n") > LEADERS).groupBy("h").agg(F.array_distinct(F.array(*draws)).alias("l"))
-        led = few.unionByName(many).select("h", F.explode("l").alias("l")).select("h", "l.a", "l.la")
-        found = members.join(led, "h").where("label <> la").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        fresh = written(found.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        more = written(_verified(fresh, shingles, similarity))
-        if more.limit(1).count() == 0:
-            break
-        tried = tried.unionByName(fresh)
-        label = _joined(label, more)
+    label = _joined(label, written(_verified(first, shingles, similarity)))
+    label = _joined(label, written(_linked_in_bands(shared, label, shingles, similarity)))
     # a document of several texts links their classes
     of = member.join(label, member["exact_id"] == label["node"], "left").select("doc_id", "exact_id", F.coalesce("label", "exact_id").alias("class_id"))
     one = of.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("exact_id").alias("exact_id"))
