@@ -60,40 +60,69 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return rows.withColumn("_common", level).select("source", "source_size", F.coalesce(F.least(F.col("_cap").cast("double"), F.col("_common") * F.col("_weight")), F.lit(0.0)).alias("target"))
 
 
-def mix_documents(documents: DataFrame, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row; `keep` adds columns of documents.
-
-    taken: words that the mix takes of the document, repeats counted. A document is taken whole: as often as its source
-    has complete epochs, and once more if the middle of its run of words in key order lies within the rest of the
-    target, so a source ends within half a document of it. Null text has size 0, takes nothing. Null is a source of its
-    own, the last. A null id draws as the text `null` does; rows of one id follow each other, by size. Empty input gives
-    no rows. Other columns aren't read.
-    """
-    kept = [F.col(f"`{c}`").alias(f"_keep_{k}") for k, c in enumerate(keep)]
+def _drawn(documents: DataFrame, weight: Column | None, seed: str) -> list[Column]:
+    """A document's id, source, size and key."""
     text = F.col("text").cast("string")
     w = quality_weight(F.coalesce(text, F.lit(""))) if weight is None else weight
-    drawn = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long").alias("size"),
-        (-F.log(uniform(F.col("doc_id"), seed)) / w).alias("_key"),
-        *kept,
-    )
-    order = [F.asc_nulls_last("source"), F.asc("_key"), F.asc("doc_id"), F.asc("size")]
+    return [
+        F.col("doc_id").cast("long").alias("_mix_id"),
+        F.col("source").cast("string").alias("_mix_source"),
+        F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long").alias("_mix_size"),
+        (-F.log(uniform(F.col("doc_id"), seed)) / w).alias("_mix_key"),
+    ]
+
+
+def _placed(drawn: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """drawn with source_size, target, epochs, and whether the document is in the part beyond complete epochs (chosen)."""
+    order = [F.asc_nulls_last("_mix_source"), F.asc("_mix_key"), F.asc("_mix_id"), F.asc("_mix_size")]
     ranged = written(drawn.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    parts = ranged.groupBy("source", "_part").agg(F.sum("size").alias("_words"))
-    targets = source_targets(parts.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, most)
+    parts = ranged.groupBy("_mix_source", "_part").agg(F.sum("_mix_size").alias("_words"))
+    targets = source_targets(parts.groupBy(F.col("_mix_source").alias("source")).agg(F.sum("_words").alias("source_size")), weights, share, most)
     # a row for each source and range that meet: partitions plus sources
-    before = F.coalesce(F.sum("_words").over(W.partitionBy("source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("_words").over(W.partitionBy("_mix_source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = (
-        parts.select(F.col("source").alias("_source"), F.col("_part").alias("_in"), before.alias("_before"))
+        parts.select(F.col("_mix_source").alias("_source"), F.col("_part").alias("_in"), before.alias("_before"))
         .join(targets.withColumnRenamed("source", "_of"), F.col("_source").eqNullSafe(F.col("_of")))
         .drop("_of")
     )
-    inside = W.partitionBy("source", "_part").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = ranged.withColumn("_to", F.sum("size").over(inside)).join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_in")))
+    inside = W.partitionBy("_mix_source", "_part").orderBy("_mix_key", "_mix_id", "_mix_size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = ranged.withColumn("_to", F.sum("_mix_size").over(inside)).join(starts, F.col("_mix_source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_in")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("target") - epochs * F.col("source_size")
-    middle = F.col("_before") + F.col("_to") - F.col("size") / 2
-    taken = F.col("size") * (epochs + F.when(middle <= rest, 1).otherwise(0))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"_keep_{k}").alias(c) for k, c in enumerate(keep)])
+    middle = F.col("_before") + F.col("_to") - F.col("_mix_size") / 2
+    return rows.withColumn("epochs", epochs).withColumn("chosen", middle <= F.col("target") - F.col("epochs") * F.col("source_size"))
+
+
+def mix_documents(documents: DataFrame, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row.
+
+    taken: words that the mix takes of the document, repeats counted. A document is taken whole: as often as its source
+    has complete epochs, and once more if the middle of its run of words in key order lies within the rest of the
+    target, so a source ends within half a document of it. Null text has size 0, takes nothing. Null is a source of its
+    own, the last. A null id draws as the text `null` does; rows of one id follow each other, by size. Empty input gives
+    no rows. Other columns aren't read.
+    """
+    rows = _placed(documents.select(*_drawn(documents, weight, seed)), weights, share, most)
+    taken = F.col("_mix_size") * (F.col("epochs") + F.when(F.col("chosen"), 1).otherwise(0))
+    return rows.select(F.col("_mix_id").alias("doc_id"), F.col("_mix_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
+
+
+#: Up to so many sources what each takes is broadcast; beyond, it is joined by source.
+MOST_BROADCAST_SOURCES = 100_000
+
+
+def mixed_rows(documents: DataFrame, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The rows of documents, all columns as they are, each as often as the mix takes it. Text stays where it is read.
+
+    What mix_documents takes of a source is a run of its key order, so the run's last key says of each row whether it is taken.
+    Rows of one id and size are taken alike.
+    """
+    columns = documents.columns
+    drawn = documents.select("*", *_drawn(documents, weight, seed))
+    key = F.struct("_mix_key", F.coalesce("_mix_id", F.lit(-(1 << 63))).alias("i"), "_mix_size")
+    placed = _placed(documents.select(*_drawn(documents, weight, seed)), weights, share, most)
+    last = written(placed.groupBy(F.col("_mix_source").alias("_of")).agg(F.max("epochs").alias("_epochs"), F.max(F.when(F.col("chosen"), key)).alias("_last")))
+    if last.count() <= MOST_BROADCAST_SOURCES:
+        last = F.broadcast(last)
+    rows = drawn.join(last, F.col("_mix_source").eqNullSafe(F.col("_of")))
+    times = F.when(F.col("_mix_size") > 0, F.col("_epochs") + F.when(key <= F.col("_last"), 1).otherwise(0)).otherwise(0).cast("int")
+    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), times))).where(F.col("_mix_copy") > 0).select(*[F.col(f"`{c}`") for c in columns])
