@@ -7,7 +7,6 @@ last return the columns of documents; the last adds each row's shard and slot to
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from meshloom.llm import decontaminate, langid, mix, neardup, shard
 from meshloom.llm.common import table, written
@@ -30,11 +29,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes its document: not at all, once or twice."""
-    columns = docs.columns
-    mixed = mix.mix_documents(docs, keep=tuple(columns))
-    times = F.when(F.col("_size") > 0, (F.col("_taken") / F.col("_size")).cast("int")).otherwise(F.lit(0))
-    rows = mixed.toDF("_id", "_size", "_source_size", "_target", "_taken", *columns)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), times))).where(F.col("_copy") > 0).select(*columns)
+    return mix.mixed_rows(docs)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
