@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshloom.functions.geometry import d2
@@ -14,6 +15,10 @@ from meshloom.shared import written
 SAMPLE_VERTICES = 2000
 
 
+#: Above this share of vertices left by a matching, single vertices are paired as well.
+STALLED = 0.7
+
+
 @dataclass(frozen=True)
 class Level:
     """A graph and the map of its vertices to the next coarser one's (v, cv); None at the coarsest."""
@@ -82,6 +87,21 @@ def match(gv: DataFrame, scored: DataFrame, seed: int, rounds: int = 8) -> DataF
     return gv.select("v").join(pairs.select(F.col("u").alias("v"), F.col("v").alias("cv")), "v", "left").select("v", F.coalesce("cv", "v").alias("cv"))
 
 
+def pair_leftovers(gv: DataFrame, ge: DataFrame, cmap: DataFrame, max_weight: int = 0) -> DataFrame:
+    """cmap with single vertices paired that share their heaviest neighbour, or that have none: what no matching can merge.
+
+    Pairs are neighbours in the order of ids within 64 salts of a shared neighbour, or within hash buckets.
+    """
+    single = cmap.join(cmap.groupBy("cv").count().where("count = 1").select("cv"), "cv", "left_semi").select("v").join(gv.select("v", "vwgt"), "v")
+    heavy = ge.where("src <> dst").groupBy(F.col("src").alias("v")).agg(F.max(F.struct("w", (-F.col("dst")).alias("d")))["d"].alias("near"))
+    salt = F.when(F.col("near").isNull(), F.pmod(F.xxhash64("v"), F.lit(4096))).otherwise(F.pmod(F.xxhash64("v"), F.lit(64)))
+    by = W.partitionBy("near", "salt").orderBy("v")
+    placed = single.join(heavy, "v", "left").withColumn("salt", salt).withColumn("i", F.row_number().over(by) - 1).withColumn("to", F.lag("v").over(by)).withColumn("w_to", F.lag("vwgt").over(by))
+    fits = (F.col("i") % 2 == 1) & ((F.col("vwgt") + F.col("w_to") <= max_weight) if max_weight > 0 else F.lit(True))
+    second = placed.where(fits).select("v", "to")
+    return cmap.join(second, "v", "left").select("v", F.coalesce("to", "cv").alias("cv"))
+
+
 def contract_vertices(gv: DataFrame, cmap: DataFrame) -> DataFrame:
     """gv of the coarse graph: weights and sizes summed, coordinates the weighted mean."""
     mean = lambda c: F.when(F.sum("vwgt") > 0, F.sum(F.col("vwgt") * F.col(c)) / F.sum("vwgt")).otherwise(F.sum(c) / F.count("*")).alias(c)
@@ -106,6 +126,8 @@ def coarsen(gv: DataFrame, ge: DataFrame, limit: int, ratio: float = 0.75, max_l
         fine = levels[-1]
         scored = match_scores(fine.gv, fine.ge, lam, max_weight) if lam < 1 else weight_scores(fine.gv, fine.ge, max_weight)
         cmap = written(match(fine.gv, scored, seed + 101 * len(levels)))
+        if cmap.where("v = cv").count() > STALLED * fine.n:
+            cmap = written(pair_leftovers(fine.gv, fine.ge, cmap, max_weight))
         cv, ce = written(contract_vertices(fine.gv, cmap)), written(contract_edges(fine.ge, cmap))
         n = cv.count()
         if n >= fine.n:

@@ -60,8 +60,9 @@ def element_graph(elements: DataFrame, vertices: DataFrame, dim: int) -> tuple[D
 
 def supported(elements: DataFrame) -> DataFrame:
     """elements, unless one has a geometry that no dual graph is made for: then an error."""
-    ok = F.col("geom_type").isin(2, 3, 4, 5, 6)
-    return elements.where(F.when(ok, True).otherwise(F.raise_error(F.lit("unsupported geometry")).cast("boolean")))
+    if elements.where(~F.col("geom_type").isin(2, 3, 4, 5, 6)).limit(1).count():
+        raise ValueError("unsupported geometry: only triangles, squares, tetrahedra, cubes and prisms have a dual graph")
+    return elements
 
 
 def highest_dimension(elements: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def read_mesh(spark: SparkSession, path: str) -> Mesh:
         fine = F.coalesce(F.forall("t", lambda x: x.isNotNull()) & (F.size("t") == 2 + arity(code)) & (arity(code) > 0), F.lit(False))
         wrong = F.raise_error(F.concat(F.lit(f"{name}: not an element: "), F.array_join("t", " ", "?"))).cast("boolean")
         checked = rows.where(F.when(here, F.when(fine, True).otherwise(wrong)).otherwise(False))
-        return checked.select("elem_id", F.col("t")[0].cast("int").alias("attribute"), F.col("t")[1].cast("int").alias("geom_type"), F.slice("t", 3, F.size("t") - 2).alias("verts"))
+        return checked.select("elem_id", F.get("t", F.lit(0)).cast("int").alias("attribute"), code.cast("int").alias("geom_type"), F.slice("t", 3, F.greatest(F.size("t") - 2, F.lit(0))).alias("verts"))
 
     dimension, _ = first("dimension", 0)
     if dimension is None:
