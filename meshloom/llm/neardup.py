@@ -26,6 +26,8 @@ BAND = 5
 FILTER_BITS = 1 << 25
 #: Documents of a band that are compared in one group.
 BLOCK = 512
+#: Texts of more than this part of all rows are looked up without a shuffle.
+HOT = 1000
 _U = np.uint64
 
 
@@ -131,6 +133,15 @@ def _shingles_of(documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return written(rows.withColumn("at", place).mapInArrow(run, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
 
 
+def _with_exact_id(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc_id, exact_id): rows of texts that have more than a HOT-th of all rows get it by a broadcast of those texts, of which
+    there are under HOT; the others by a join, in which no text has many rows."""
+    hot = F.broadcast(copies.where(F.col("n") > max(1, rows.count() // HOT)).select("f1", "f2", "exact_id"))
+    looked = rows.join(hot, ["f1", "f2"], "left")
+    cold = looked.where("exact_id is null").select("doc_id", "f1", "f2").join(copies.select("f1", "f2", "exact_id"), ["f1", "f2"])
+    return looked.where("exact_id is not null").select("doc_id", "exact_id").unionByName(cold.select("doc_id", "exact_id"))
+
+
 def _verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of `least` or more."""
 
@@ -273,8 +284,8 @@ def classes(documents: DataFrame, words: int = WORDS, similarity: float = SIMILA
     classes, all its pairs are compared. So two documents that share a band and are similar are always of one class.
     """
     sketched = written(_sketched(documents, words, registers, band))
-    copies = sketched.groupBy("f1", "f2").agg(F.min("doc_id").alias("exact_id"))
-    member = written(sketched.select("doc_id", "f1", "f2").join(copies, ["f1", "f2"]).select("doc_id", "exact_id").distinct())
+    copies = written(sketched.groupBy("f1", "f2").agg(F.min("doc_id").alias("exact_id"), F.count("*").alias("n")))
+    member = written(_with_exact_id(sketched.select("doc_id", "f1", "f2"), copies).distinct())
     # each different text once, under its least doc_id
     text = sketched.join(copies.select(F.col("exact_id").alias("doc_id")), "doc_id", "left_semi")
     bucket = text.select("doc_id", F.explode("bands").alias("h"))
