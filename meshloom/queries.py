@@ -126,6 +126,13 @@ def dual_hex_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dual.dual_pairs(elements, 3).agg(F.sum("n").cast("long").alias("dual_edges")).crossJoin(owners.agg(F.count(F.when(F.col("owners") == 1, 1)).alias("boundary_faces")))
 
 
+@query("select (6 * n * n * n)::bigint as faces, (3 * n * n * (n + 1))::bigint as distinct_faces from (select count(*)::bigint as n from region)")
+def faces_hex3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed forms of an n x n x n grid of cubes; n is the number of regions."""
+    elements, _ = fx.grid(spark, "hex", fx.table(spark, sf_dir, "region").count())
+    return dual.faces(elements, 3).agg(F.count("*").alias("faces"), F.countDistinct("face").alias("distinct_faces"))
+
+
 @query(f"with {_faces(3, _TRI)} select array_to_string(face, ',') as face from f group by f.face having count(*) = 1")
 def boundary_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     owners = dual.face_owners(fx.order_elements(spark, sf_dir, 3, 2), 2)
