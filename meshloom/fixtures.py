@@ -53,7 +53,7 @@ def chain(gv: DataFrame) -> DataFrame:
     near = ids.select(F.col("v").alias("a"), (F.col("v") + 1).alias("b"), (1 + F.col("v") % 5).cast("long").alias("w"))
     far = ids.select(F.col("v").alias("a"), (F.col("v") + 10).alias("b"), F.lit(2).cast("long").alias("w"))
     pairs = near.unionByName(far).join(ids.toDF("b"), "b", "left_semi")
-    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
+    return pairs.select(F.inline(F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), "w") for x, y in ("ab", "ba")])))
 
 
 def event_chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -62,7 +62,7 @@ def event_chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     nxt = F.lead("event_id").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     step = e.withColumn("b", nxt).where("b is not null").where(F.col("event_id") % 17 != 0).select(F.col("event_id").alias("a"), "b")
     one = F.lit(1).cast("long").alias("w")
-    ge = step.select(F.col("a").alias("src"), F.col("b").alias("dst"), one).unionByName(step.select(F.col("b").alias("src"), F.col("a").alias("dst"), one))
+    ge = step.select(F.inline(F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), one) for x, y in ("ab", "ba")])))
     gv = e.select(F.col("event_id").alias("v"), F.lit(1).cast("long").alias("vwgt"), F.lit(1).cast("long").alias("vsize"), *[F.lit(0.0).alias(c) for c in "xyz"])
     return gv, ge, e.select(F.col("event_id").alias("v"), (F.col("user_id") % 3).cast("int").alias("part"))
 

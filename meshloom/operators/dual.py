@@ -37,8 +37,8 @@ def dual_pairs(elements: DataFrame, dim: int) -> DataFrame:
 
 def dual_edges(elements: DataFrame, dim: int) -> DataFrame:
     """ge of the dual graph: weight 1 for each shared face, parallel edges summed."""
-    pairs = dual_pairs(elements, dim)
-    return pairs.select(F.col("elem_id").alias("src"), F.col("owner").alias("dst"), F.col("n").alias("w")).unionByName(pairs.select(F.col("owner").alias("src"), F.col("elem_id").alias("dst"), F.col("n").alias("w")))
+    both = [F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.col("n").alias("w")) for a, b in (("elem_id", "owner"), ("owner", "elem_id"))]
+    return dual_pairs(elements, dim).select(F.inline(F.array(*both)))  # a union would plan the pairs twice
 
 
 def face_owners(elements: DataFrame, dim: int) -> DataFrame:
