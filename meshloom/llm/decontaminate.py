@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, ALNUM_SPACED, LOWER, arrow_rows, raw_texts
+from .common import ALNUM, ALNUM_SPACED, LOWER, arrow_rows, raw_texts, text_parts
 
 WINDOW = 10
 #: Pattern bytes that one broadcast automaton may hold; more windows are scanned for in several passes.
@@ -141,12 +141,16 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WI
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = automaton(blocks[0].value) if len(blocks) == 1 else None
         for batch in batches:
-            words = [normal_words(x) for x in raw_texts(batch.column(at))]
-            clean = np.ones(len(words), bool)
-            for b in blocks:
-                a = one or automaton(b.value)
-                if len(a):
-                    clean &= np.array([not any(True for _ in a.iter((b" " + b" ".join(w) + b" ").decode("latin-1"))) for w in words], bool)
+            parts = [np.zeros(0, bool)]
+            for a, b, texts in text_parts(batch.column(at)):
+                words = [b" " + b" ".join(normal_words(x)) + b" " for x in texts]
+                clean = np.ones(b - a, bool)
+                for block in blocks:
+                    automat = one or automaton(block.value)
+                    if len(automat):
+                        clean &= np.array([not any(True for _ in automat.iter(w.decode("latin-1"))) for w in words], bool)
+                parts.append(clean)
+            clean = np.concatenate(parts)
             yield batch.filter(pa.array(clean))
 
     return documents.mapInArrow(scan, schema)

@@ -31,7 +31,9 @@ EM_ROUNDS = 4
 UNKNOWN = 1e-7
 SMOOTH = 0.01
 #: Words whose likelihoods a task keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
+#: Texts that a task holds as strings at once.
+STEP_TEXTS = 128
 #: Below this score a document's language counts as not known.
 CONFIDENT = 0.5
 
@@ -242,10 +244,10 @@ class Identifier:
         """The language and its posterior probability; und and 0 for a text that is null or has no letter."""
         return self.identify_words(words_of(text) if text else Counter())
 
-    def identify_all(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        """identify() for many texts, in steps of so many that their new words are summed together."""
-        for start in range(0, len(texts), 256):
-            counts = [words_of(x) if x else Counter() for x in texts[start : start + 256]]
+    def identify_all(self, texts: pa.Array) -> Iterator[tuple[str, float]]:
+        """identify() for a column of texts, in steps of so many that their new words are summed together."""
+        for start in range(0, len(texts), STEP_TEXTS):
+            counts = [words_of(x) if x else Counter() for x in texts.slice(start, STEP_TEXTS).to_pylist()]
             if len(self.kept) > KEPT_WORDS:
                 self.kept.clear()
             if self.n:
@@ -275,7 +277,7 @@ def identify_languages(documents: DataFrame, model: LanguageModel, held_mod: int
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(shared.value)
         for batch in batches:
-            found = list(identifier.identify_all(batch.column(2).to_pylist()))
+            found = list(identifier.identify_all(batch.column(2)))
             yield arrow_rows({"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": [x for x, _ in found], "score": [s for _, s in found]}, schema)
 
     held = F.coalesce(doc_remainder(F.col("doc_id"), held_mod) == held_rest, F.lit(False))
@@ -289,7 +291,7 @@ def keep_identified(documents: DataFrame, model: LanguageModel, confident: float
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(shared.value)
         for batch in batches:
-            found = list(identifier.identify_all(batch.column(at).to_pylist()))
+            found = list(identifier.identify_all(batch.column(at)))
             yield batch.filter(pa.array([x != "und" and s >= confident for x, s in found], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

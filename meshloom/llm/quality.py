@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, doc_remainder, raw_texts
+from .common import arrow_rows, doc_remainder, text_parts
 
 #: Bounds of the labelled sample that the classifier is fitted on: rows of a class, and bytes of a sampled row's whole text.
 SAMPLE_ROWS = 1500
@@ -142,7 +142,7 @@ def score_quality(documents: DataFrame, model: CompressionClassifier, held_mod:
         m = shared.value
         scorer, weights = Scorer(m.good, m.bad), np.array(m.weights)
         for batch in batches:
-            score = [float(_sigmoid(scorer.features(x) @ weights)) if x else m.prior for x in raw_texts(batch.column(2))]
+            score = [float(_sigmoid(scorer.features(x) @ weights)) if x else m.prior for _, _, texts in text_parts(batch.column(2)) for x in texts]
             yield arrow_rows({"doc_id": batch.column(0), "held_out": batch.column(1), "score": score, "predicted": [int(x >= THRESHOLD) for x in score]}, schema)
 
     held = F.coalesce(doc_remainder(F.col("doc_id"), held_mod) == held_rest, F.lit(False))
