@@ -141,16 +141,12 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WI
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = automaton(blocks[0].value) if len(blocks) == 1 else None
         for batch in batches:
-            parts = [np.zeros(0, bool)]
-            for a, b, texts in text_parts(batch.column(at)):
-                words = [b" " + b" ".join(normal_words(x)) + b" " for x in texts]
-                clean = np.ones(b - a, bool)
-                for block in blocks:
-                    automat = one or automaton(block.value)
-                    if len(automat):
-                        clean &= np.array([not any(True for _ in automat.iter(w.decode("latin-1"))) for w in words], bool)
-                parts.append(clean)
-            clean = np.concatenate(parts)
+            clean = np.ones(batch.num_rows, bool)
+            for block in blocks:
+                automat = one or automaton(block.value)
+                if len(automat):
+                    for a, b, texts in text_parts(batch.column(at)):
+                        clean[a:b] &= np.array([not any(True for _ in automat.iter((b" " + b" ".join(normal_words(x)) + b" ").decode("latin-1"))) for x in texts], bool)
             yield batch.filter(pa.array(clean))
 
     return documents.mapInArrow(scan, schema)
