@@ -12,7 +12,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, NON_SPACE, Packed, arrow_rows, doc_remainder, mixed, text_parts, written
@@ -22,7 +23,7 @@ ORDER = 6
 #: UTF-8 has neither byte: START fills the context before a text, END closes it.
 START, END = 0xFE, 0xFF
 SYMBOLS = 256
-#: Entries of an order that the model keeps at most: those of the largest counts. 16 bytes each.
+#: Keys of the highest order whose values every task holds, at most: the most frequent. A cache only. 16 bytes each.
 MOST_ENTRIES = 1_000_000
 #: Words whose counts every task holds, at most: the most frequent. 16 bytes each.
 MOST_COMMON = 400_000
@@ -143,29 +144,13 @@ class Table:
         return out, found
 
 
-class Scorer:
-    """Values of all keys of the highest order at hand; others by the trie."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.trie = Trie(counts)
-        top = counts[-1][0]
-        self.table = Table(top, np.concatenate([self.trie.log10(top[i : i + 100_000]) for i in range(0, max(1, len(top)), 100_000)]))
-
-    def texts(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end."""
-        keys, first = context_keys(texts, self.trie.order)
-        value, found = self.table.get(keys)
-        rest = np.flatnonzero(~found)
-        value[rest] = self.trie.log10(keys[rest])
-        total = np.concatenate([[0.0], np.cumsum(value)])
-        return total[first[1:]] - total[first[:-1]]
-
-
 # --- training -------------------------------------------------------------------------------------
 
 #: Text bytes that a training step merges before it sends counts; text bytes of a block of scored documents.
 MERGE_BYTES = 16 << 20
 BLOCK_TEXT = 8 << 20
+#: Keys beyond the cache that end a block of scored documents, and that are dealt to buckets at once.
+BLOCK_KEYS = 1_000_000
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +184,10 @@ class Counts:
 
 
 def _suffix_first(keys: np.ndarray) -> np.ndarray:
-    """The last three bytes of a 7-byte key in front, so that keys of one suffix are neighbours; _suffix_last undoes it."""
+    """The last three bytes of a 7-byte key in front, so that keys of one suffix are neighbours; _suffix_last undoes it.
+
+    The first two of them are the last two of the context.
+    """
     return ((keys & _mask(3)) << _U(32)) | (keys >> _U(24))
 
 
@@ -207,9 +195,14 @@ def _suffix_last(keys: np.ndarray) -> np.ndarray:
     return (keys >> _U(32)) | ((keys & _mask(4)) << _U(24))
 
 
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """By the last two bytes of a 7-byte key's context: a bucket has all entries of its contexts of two bytes or more."""
+    return (mixed((keys >> _U(8)) & _mask(2)) % _U(buckets)).astype(np.int64)
+
+
 def _packed(kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """Sorted keys dealt to buckets: contexts by their last three bytes, words by their hash. Keys go as differences."""
-    bucket = (mixed(keys >> _U(32) if kind == _CONTEXT else keys) % _U(buckets)).astype(np.int64)
+    """Sorted keys dealt to buckets: keys of contexts by _bucket_of, words by their hash. Keys go as differences."""
+    bucket = _bucket_of(_suffix_last(keys), buckets) if kind == _CONTEXT else (mixed(keys) % _U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     first = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in range(buckets):
@@ -226,14 +219,19 @@ def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps.astype(np.uint64), dtype=np.uint64), np.ascontiguousarray(np.frombuffer(counts, np.uint8).reshape(4, n).T).view("<u4")[:, 0].astype(np.int64)
 
 
+def _buckets(spark: SparkSession) -> int:
+    return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def count_all(documents: DataFrame, held_mod: int, held_rest: int) -> DataFrame:
-    """(kind, key, n): words by hash (kind -1) and keys of each order (kind 0 to ORDER), over all training documents, written.
+    """(kind, key, n): words by hash (kind -1) and keys of orders 0, 1 and ORDER (kind), over all training documents, written.
 
     Each task sends its distinct keys once, packed by bucket; a bucket's task merges them as they come, and holds its
-    distinct keys only. Orders 0 and 1 are summed once more, since their keys come from several buckets.
+    distinct keys only. Orders 0 and 1 are summed once more, since their keys come from several buckets. Those between
+    follow from the highest one inside a bucket.
     """
     spark = documents.sparkSession
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = _buckets(spark)
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, contexts, held = Counts(), Counts(), 0
@@ -263,7 +261,7 @@ def count_all(documents: DataFrame, held_mod: int, held_rest: int) -> DataFrame:
         yield from _rows(-1, *words.take())
         keys, n = contexts.take()
         keys = _suffix_last(keys)
-        for k in range(ORDER, -1, -1):
+        for k in (ORDER, 1, 0):
             keys, n = _summed([keys & _mask(k + 1)], [n])
             yield from _rows(k, keys, n)
 
@@ -281,20 +279,16 @@ def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch
 
 
 def most_frequent(counts: DataFrame, limits: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each kind the keys of the largest counts, sorted: all of 2 ** j or more, for the least j that keeps to its limit.
-
-    A longer context's bound is never below a shorter one's, so that a context's shorter ones are there too.
-    """
+    """For each kind the keys of the largest counts, sorted: all of 2 ** j or more, for the least j that keeps to its limit."""
     by = counts.groupBy("kind", F.floor(F.log2("n")).cast("int").alias("j")).count().collect()  # 64 rows a kind at most
-    least, floor = {}, 0
+    least = {}
     for kind in sorted(limits):
         have = {r["j"]: r["count"] for r in by if r["kind"] == kind}
         total, j = 0, max(have, default=0) + 1
         while j > 0 and total + have.get(j - 1, 0) <= limits[kind]:
             j -= 1
             total += have.get(j, 0)
-        least[kind] = floor = max(j, floor) if kind >= 0 else j
-        floor = floor if kind >= 0 else 0
+        least[kind] = j
     bound = F.lit(None).cast("long")
     for kind, j in least.items():
         bound = F.when(F.col("kind") == kind, F.lit(1 << j)).otherwise(bound)
@@ -309,6 +303,80 @@ def most_frequent(counts: DataFrame, limits: dict[int, int]) -> dict[int, tuple[
     return out
 
 
+# --- values of asked keys ---------------------------------------------------------------------------
+
+#: Blocks that aren't documents': a bucket's counts, which come first, and the keys of the cache.
+_COUNTS, _CACHE = -2, -1
+DEALT = "bucket int, block long, keys binary, counts binary"
+
+
+def _deal(block: int, keys: np.ndarray, counts: np.ndarray | None, buckets: int) -> pa.RecordBatch:
+    bucket = _bucket_of(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    first = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    some = np.flatnonzero(np.diff(first))
+    mine = [order[first[b] : first[b + 1]] for b in some]
+    return pa.RecordBatch.from_arrays([
+        pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block, np.int64)), pa.array([keys[m].tobytes() for m in mine], pa.binary()),
+        pa.array([b"" if counts is None else counts[m].tobytes() for m in mine], pa.binary()),
+    ], names=["bucket", "block", "keys", "counts"])
+
+
+def _dealt(rows: DataFrame, block: int, buckets: int) -> DataFrame:
+    """DEALT of rows (key, n)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            k, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return _deal(block, k, n if block == _COUNTS else None, buckets)
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            size += len(batch)
+            if size >= BLOCK_KEYS:
+                size = 0
+                yield flush()
+        if held:
+            yield flush()
+
+    return rows.select("key", "n").mapInArrow(run, DEALT)
+
+
+def bucket_trie(keys: list[np.ndarray], counts: list[np.ndarray], low: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
+    """The whole trie as far as keys of one bucket need it, from the bucket's keys of the highest order, and orders 0 and 1."""
+    orders = [_summed(keys, counts)]
+    for k in range(ORDER - 1, 1, -1):
+        orders.append(_summed([orders[-1][0] & _mask(k + 1)], [orders[-1][1]]))
+    return Trie([*low, *orders[::-1]])
+
+
+def answered(counts: DataFrame, asked: DataFrame, low) -> DataFrame:  # noqa: ANN001  a broadcast
+    """(block, keys, values) of asked (DEALT): log10 of the probability of each key by the whole count table, a bucket at a time."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, keys, n, trie = None, [], [], None
+        for batch in batches:
+            for i in range(len(batch)):
+                bucket, block, k, c = (batch.column(j)[i].as_py() for j in range(4))
+                if bucket != last:
+                    last, keys, n, trie = bucket, [], [], None
+                k = np.frombuffer(k, np.uint64)
+                if block == _COUNTS:
+                    keys.append(k)
+                    n.append(np.frombuffer(c, np.int64))
+                    continue
+                if trie is None:
+                    trie, keys, n = bucket_trie(keys, n, low.value), [], []
+                values = np.concatenate([trie.log10(k[a : a + 100_000]) for a in range(0, len(k), 100_000)])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([k.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["block", "keys", "values"])
+
+    table = _dealt(counts.where(F.col("kind") == ORDER), _COUNTS, _buckets(counts.sparkSession))
+    return table.unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, keys binary, values binary")
+
+
 # --- scoring --------------------------------------------------------------------------------------
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -319,28 +387,34 @@ def score_documents(documents: DataFrame, held_mod: int = 7, held_rest: int = 2)
 
     Both models learn from all documents whose crc32(doc_id) modulo `held_mod` isn't `held_rest`; a null id is among them.
     Text is lower-cased (A-Z); null is empty: its end alone. Words are told apart by a 64-bit hash.
-    A model keeps bounded tables of the largest counts at hand. For words beyond them each block of documents asks the
-    whole count table for the words it has, once each. Without training documents each word scores 0 and each byte
+    A task holds the counts of the most frequent words and the values of the most frequent keys. For what is beyond them each
+    block of documents asks the whole count table, once for each word or key it has; so the caches change no score. Without training documents each word scores 0 and each byte
     1 / 256. Repeated rows each give a row and count as often as they come; other columns aren't read.
     """
     spark = documents.sparkSession
     counts = count_all(documents, held_mod, held_rest)
-    kept = most_frequent(counts, {-1: MOST_COMMON} | dict.fromkeys(range(ORDER + 1), MOST_ENTRIES))
+    kept = most_frequent(counts, {-1: MOST_COMMON, 0: SYMBOLS, 1: SYMBOLS * SYMBOLS, ORDER: MOST_ENTRIES})
     words = counts.where("kind = -1")
     whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, scale = whole["n"], float(np.log10(whole["n"] + whole["v"] + 1))
     common, common_n = kept[-1]
     least = int(common_n.min()) if len(common_n) else 0
-    model = spark.sparkContext.broadcast(([kept[k] for k in range(ORDER + 1)], common, common_n))
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.binary()), ("rare_n", pa.binary())])
+    low, buckets = spark.sparkContext.broadcast([kept[0], kept[1]]), _buckets(spark)
+    cached = np.zeros(0, np.uint64), np.zeros(0)
+    if len(kept[ORDER][0]):
+        often = counts.where((F.col("kind") == ORDER) & (F.col("n") >= int(kept[ORDER][1].min())))
+        got = answered(counts, _dealt(often, _CACHE, buckets), low).select("keys", "values").toArrow()
+        cached = tuple(np.frombuffer(b"".join(got[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("values", np.float64)))
+    model = spark.sparkContext.broadcast((*cached, common, common_n))
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.binary()), ("rare_n", pa.binary()), ("deep", pa.binary())])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        entries, common_keys, common_counts = model.value
-        scorer = Scorer(entries)
+        often_keys, often_values, common_keys, common_counts = model.value
+        values = Table(often_keys, often_values)
         table = Table(common_keys, common_counts)
-        block, held = TaskContext.get().partitionId() << 32, 0
+        block, held, deep_held = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             for a, b, raw in text_parts(batch.column(2)):
                 texts = [t.translate(LOWER) for t in raw]
@@ -356,6 +430,11 @@ def score_documents(documents: DataFrame, held_mod: int = 7, held_rest: int = 2)
                 times = np.diff(np.concatenate([new, [len(d)]]))
                 cut = np.searchsorted(d[new], np.arange(b - a + 1))
                 rare, rare_n = k[new], times.astype("<u4")
+                contexts, begins = context_keys(texts)
+                value, found = values.get(contexts)
+                sums = np.concatenate([[0.0], np.cumsum(np.where(found, value, 0.0))])
+                deep = contexts[~found]
+                deep_cut = np.concatenate([[0], np.cumsum(~found)])[begins]
                 yield arrow_rows({
                     "block": np.full(b - a, block),
                     "doc_id": batch.column(0).slice(a, b - a),
@@ -363,13 +442,15 @@ def score_documents(documents: DataFrame, held_mod: int = 7, held_rest: int = 2)
                     "n_tokens": np.diff(p.first) + 1,
                     "n_known": np.bincount(docs, known, b - a).astype(np.int64),
                     "base_score": base,
-                    "score": scorer.texts(texts),
+                    "score": sums[begins[1:]] - sums[begins[:-1]],
                     "rare": [rare[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)],
                     "rare_n": [rare_n[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)],
+                    "deep": [deep[x:y].tobytes() for x, y in zip(deep_cut[:-1], deep_cut[1:], strict=True)],
                 }, schema)
                 held += len(p.data)
-                if held >= BLOCK_TEXT:
-                    block, held = block + 1, 0
+                deep_held += len(deep)
+                if held >= BLOCK_TEXT or deep_held >= BLOCK_KEYS:
+                    block, held, deep_held = block + 1, 0, 0
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each block's rare words, once; a block that is read in two pieces asks twice."""
@@ -379,10 +460,18 @@ def score_documents(documents: DataFrame, held_mod: int = 7, held_rest: int = 2)
                 keys = np.unique(np.frombuffer(b"".join(rare[i] for i in np.flatnonzero(blocks == b)), np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b)), pa.array(keys.view(np.int64))], names=["block", "key"])
 
+    def ask_deep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's keys beyond the cache, once, dealt to buckets."""
+        for batch in batches:
+            blocks, deep = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for b in np.unique(blocks):
+                yield _deal(int(b), np.unique(np.frombuffer(b"".join(deep[i] for i in np.flatnonzero(blocks == b)), np.uint64)), None, buckets)
+
     def settle(docs: pa.Table, found: pa.Table) -> pa.Table:
-        """Adds the rare words of a block's documents to their base scores."""
-        keys, first = np.unique(found["key"].to_numpy().view(np.uint64), return_index=True)
-        n = found["n"].to_numpy()[first]
+        """Adds the rare words of a block's documents to their base scores, and the keys beyond the cache to their scores."""
+        asked_words = found.filter(pc.is_valid(found["key"]))
+        keys, first = np.unique(asked_words["key"].to_numpy().view(np.uint64), return_index=True)
+        n = asked_words["n"].to_numpy()[first]
         base, known = docs["base_score"].to_numpy().copy(), docs["n_known"].to_numpy().copy()
         rare = [np.frombuffer(x, np.uint64) for x in docs["rare"].to_pylist()]
         times = np.concatenate([np.frombuffer(x, "<u4") for x in docs["rare_n"].to_pylist()]).astype(np.int64)
@@ -391,10 +480,21 @@ def score_documents(documents: DataFrame, held_mod: int = 7, held_rest: int = 2)
         c = np.where(there, n[at], 0) if len(n) else np.zeros(len(of), np.int64)
         base += np.bincount(of, times * (np.log10(c + 1.0) - scale), len(rare))
         known += np.bincount(of, times * (c > 0), len(rare)).astype(np.int64)
-        return pa.table([docs["doc_id"], docs["held_out"], docs["n_tokens"], pa.array(known), pa.array(np.full(len(rare), total)), pa.array(base), docs["score"]], names=[x.split()[0] for x in OUT.split(", ")])
+        deep = [np.frombuffer(x, np.uint64) for x in docs["deep"].to_pylist()]
+        answers = found.filter(pc.is_valid(found["keys"]))
+        keys, first = np.unique(np.frombuffer(b"".join(answers["keys"].to_pylist()), np.uint64), return_index=True)
+        values = np.frombuffer(b"".join(answers["values"].to_pylist()), np.float64)[first]
+        wanted = np.concatenate(deep)
+        at = np.searchsorted(keys, wanted)
+        if len(wanted) and (not len(keys) or at.max() >= len(keys) or (keys[at] != wanted).any()):
+            raise ValueError("a key has no answer")
+        score = docs["score"].to_numpy() + np.bincount(np.repeat(np.arange(len(deep)), [len(x) for x in deep]), values[at], len(deep))
+        return pa.table([docs["doc_id"], docs["held_out"], docs["n_tokens"], pa.array(known), pa.array(np.full(len(rare), total)), pa.array(base), pa.array(score)], names=[x.split()[0] for x in OUT.split(", ")])
 
     held = F.coalesce(doc_remainder(F.col("doc_id"), held_mod) == held_rest, F.lit(False))
-    scored = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(score, "block long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare binary, rare_n binary"))
+    scored = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(score, "block long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare binary, rare_n binary, deep binary"))
     asked = scored.select("block", "rare").mapInArrow(ask, "block long, key long")
     answers = asked.join(words.where(F.col("n") < max(least, 1) if least else F.lit(True)).select("key", "n"), "key")
-    return scored.groupBy("block").cogroup(answers.select("block", "key", "n").groupBy("block")).applyInArrow(settle, OUT)
+    deep_answers = answered(counts, scored.select("block", "deep").mapInArrow(ask_deep, DEALT), low)
+    both = answers.select("block", "key", "n").unionByName(deep_answers, allowMissingColumns=True)
+    return scored.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(settle, OUT)
