@@ -1,7 +1,8 @@
-"""Near-duplicates by ProbMinHash over weighted word shingles: sketches, bands, exact verification, classes.
+"""Near-duplicates by ProbMinHash over sets of word shingles: sketches, bands, exact verification, classes.
 
 Each shingle is a Poisson process whose rate is its weight; each arrival falls on a random register, and a register
-keeps its earliest arrival. Two texts agree in a register with the probability Jaccard of their weighted shingles. A
+keeps its earliest arrival. Two texts agree in a register with the probability Jaccard of their weighted shingles. All
+weights are 1, so that it is the set similarity, by which links are defined, however often a shingle is repeated. A
 document stops drawing when its next arrivals are later than the latest register. Copies are collapsed first, by a
 fingerprint of all words. Documents that agree in a band are compared exactly, by their whole shingle sets.
 """
@@ -32,12 +33,9 @@ _U = np.uint64
 
 
 def weighted(docs: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each document as 44-bit numbers, and their weights: 1 + log2 of how often they occur."""
-    key = np.sort((docs.astype(np.uint64) << _U(44)) | (shingles >> _U(20)))
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[: len(key)]
-    times = np.diff(np.concatenate([first, [len(key)]]))
-    key = key[first]
-    return (key >> _U(44)).astype(np.int64), key & _U((1 << 44) - 1), 1 + np.log2(times)
+    """Distinct shingles of each document as 44-bit numbers, and their weights: all 1."""
+    key = np.unique((docs.astype(np.uint64) << _U(44)) | (shingles >> _U(20)))
+    return (key >> _U(44)).astype(np.int64), key & _U((1 << 44) - 1), np.ones(len(key))
 
 
 def sketches(docs: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_docs: int, registers: int = REGISTERS) -> np.ndarray:
