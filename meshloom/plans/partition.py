@@ -33,18 +33,21 @@ def _done(gv: DataFrame, ge: DataFrame, part: DataFrame, k: int, ub: float, leve
     return Partitioned(part, metrics.partition_stats(gv, ge, part, k, ub), levels, inertia)
 
 
-def bisect(gv: DataFrame, ge: DataFrame, o: BisectOptions = BisectOptions()) -> Partitioned:
-    """Two parts; a trial a task. target0 is the first part's weight, half of all if it is 0."""
+def bisect(gv: DataFrame, ge: DataFrame, o: BisectOptions = BisectOptions(), most: int = 0) -> Partitioned:
+    """Two parts; a trial a task. target0 is the first part's weight, half of all if it is 0.
+
+    Rounds on larger graphs balance and refine towards equal parts, so with a target0 the coarse parts are projected as they are.
+    """
 
     def solver(g: kernel.Graph, seed: int) -> tuple[list[int], float]:
         t1 = max(g.total - (o.target0 or g.total // 2), 1)
         return kernel.bisect(g, (g.total - t1, t1), 1, o.passes, o.ub, seed), 0.0
 
-    part, _ = small.solve(gv, ge, solver, [o.seed * 1009 + t for t in range(o.trials)], 2, o.ub)
-    return _done(gv, ge, part, 2, o.ub)
+    trials = [o.seed * 1009 + t for t in range(o.trials)]
+    return _multilevel(gv, ge, 2, o.ub, most or small.MOST_VERTICES, solver, trials, o.seed, o.passes, "" if o.target0 else "cut")
 
 
-def recursive_bisect(gv: DataFrame, ge: DataFrame, o: RecursiveOptions = RecursiveOptions()) -> Partitioned:
+def recursive_bisect(gv: DataFrame, ge: DataFrame, o: RecursiveOptions = RecursiveOptions(), most: int = 0) -> Partitioned:
     """k parts by halving, then refined for the cut, the boundary volume, both or neither."""
 
     def solver(g: kernel.Graph, seed: int) -> tuple[list[int], float]:
@@ -55,8 +58,11 @@ def recursive_bisect(gv: DataFrame, ge: DataFrame, o: RecursiveOptions = Recursi
             kernel.refine(g, where, o.k, o.ub, o.post_passes, volume=True)
         return where, 0.0
 
-    part, _ = small.solve(gv, ge, solver, [o.seed], o.k, o.ub)
-    return _done(gv, ge, part, o.k, o.ub)
+    done = _multilevel(gv, ge, o.k, o.ub, most or small.MOST_VERTICES, solver, [o.seed], o.seed, o.post_passes, "volume" if o.post_refine == "volume" else "cut")
+    if o.post_refine == "both" and done.levels > 1:
+        part = refine.refine(gv, ge, done.part, o.k, o.ub, o.post_passes, "volume", seed=o.seed).part
+        return _done(gv, ge, part, o.k, o.ub, done.levels)
+    return done
 
 
 def kmeans_partition(gv: DataFrame, ge: DataFrame, k: int, o: KMeansOptions = KMeansOptions()) -> Partitioned:
@@ -115,6 +121,8 @@ def _multilevel(
     part, inertia = small.solve(coarse.gv, coarse.ge, solver, trials, k, ub)
     for fine in reversed(levels[:-1]):
         part = written(co.project(fine.cmap, part))
+        if not mode:
+            continue
         part = refine.balance(fine.gv, fine.ge, part, k, ub, seed=seed).part
         part = refine.refine(fine.gv, fine.ge, part, k, ub, rounds, mode, alpha, beta, seed).part
     if connectivity and len(levels) > 1:
