@@ -6,6 +6,7 @@ directions of each edge and no self loop, part(v, part).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -128,11 +129,20 @@ def relabelled(gv: DataFrame, ge: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out_v, out_e
 
 
-def dense_rows(gv: DataFrame, ge: DataFrame, most: int = 2000) -> DataFrame:
-    """(v, cells): a row of the 0/1 adjacency matrix as text, columns in the order of the ids. For at most `most` vertices."""
-    ids = [r["v"] for r in gv.select("v").orderBy("v").limit(most + 1).collect()]
-    if len(ids) > most:
-        raise ValueError(f"a dense matrix is for at most {most} vertices")
-    near = gv.select("v").join(ge.groupBy(F.col("src").alias("v")).agg(F.collect_set("dst").alias("_n")), "v", "left")
-    cells = F.transform(F.array(*[F.lit(i).cast("long") for i in ids]), lambda u: F.when(F.array_contains(F.coalesce("_n", F.array().cast("array<bigint>")), u), "1").otherwise("0"))
-    return near.select("v", F.array_join(cells, " ").alias("cells"))
+def dense_rows(gv: DataFrame, ge: DataFrame) -> DataFrame:
+    """(v, cells): a row of the 0/1 adjacency matrix as text, columns in the order of the ids. Each row is as long as there are vertices."""
+    n = gv.count()
+    number = prefix_sums(gv.select("v").withColumn("_one", F.lit(1).cast("long")), "v", "_one", "i").select(F.col("v").alias("dst"), "i")
+    near = ge.join(number, "dst").groupBy(F.col("src").alias("v")).agg(F.collect_set("i").alias("_n"))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            cells = []
+            for at in batch.column(1).to_pylist():
+                row = bytearray(b"0 " * n)
+                for i in at or ():
+                    row[2 * i] = 49
+                cells.append(row[:-1].decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.string())], names=["v", "cells"])
+
+    return gv.select(F.col("v").cast("long").alias("v")).join(near, "v", "left").select("v", "_n").mapInArrow(run, "v long, cells string")

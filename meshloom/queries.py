@@ -164,6 +164,12 @@ def dense_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dual.dense_rows(*dual.induced(gv, ge, gv.where("v < 40")))
 
 
+@query()
+def dense_adjacency_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all suppliers: the whole matrix."""
+    return dual.dense_rows(*fx.supplier_graph(spark, sf_dir))
+
+
 @query(
     f"with e as ({_orders(3)}), t as (select elem_id, unnest(verts) s from e) "
     f"select v, {_r('x', 'y', 'z')} from (select elem_id v, sum(s_acctbal / 100) / count(*) x, sum(s_nationkey::double) / count(*) y, sum((s_suppkey % 7)::double) / count(*) z from t join supplier on s = s_suppkey group by 1)"
