@@ -16,8 +16,15 @@ from meshloom.shared import written  # noqa: F401  used by the operators
 BLOCK_BYTES = 1 << 20
 
 
+#: Bytes of rows that Spark hands to Python at once. By default it is 64 MB, of which a task holds several copies.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of the input folder, read by Spark only."""
+    """One table of the input folder, read by Spark only. Batches for Python are bounded by bytes, unless the session bounds them."""
+    if spark.conf.get(_BATCH) in ("67108864b", "64m", "67108864"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -13,22 +13,24 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, Packed, arrow_rows, doc_remainder, mixed, text_parts, written
+from .common import LOWER, NON_SPACE, Packed, doc_remainder, mixed, text_parts, written
 
 #: Bytes of context. A key is a context and the byte after it, so 7 bytes of 64 bits.
 ORDER = 6
 #: UTF-8 has neither byte: START fills the context before a text, END closes it.
 START, END = 0xFE, 0xFF
 SYMBOLS = 256
-#: Keys of the highest order whose values every task holds, at most: the most frequent. A cache only. 16 bytes each.
+#: Keys of the highest order whose values every task holds, at most: the most frequent. A cache only. 12 bytes each.
 MOST_ENTRIES = 1_000_000
 #: Words whose counts every task holds, at most: the most frequent. 16 bytes each.
 MOST_COMMON = 400_000
 _U = np.uint64
-_TOKEN, _CONTEXT = 0, 1
+#: Kinds of counts and of rows of a block; counts of orders 0 and 1 have their order as kind.
+_TOKEN, _DOCS = -1, -2
 #: A token's end counts as a token; no word has this hash but by chance.
 END_TOKEN = mixed(np.array([0xE0D], np.uint64))[0]
 
@@ -147,10 +149,10 @@ class Table:
 # --- training -------------------------------------------------------------------------------------
 
 #: Text bytes that a training step merges before it sends counts; text bytes of a block of scored documents.
-MERGE_BYTES = 16 << 20
-BLOCK_TEXT = 8 << 20
-#: Keys beyond the cache that end a block of scored documents, and that are dealt to buckets at once.
-BLOCK_KEYS = 1_000_000
+MERGE_BYTES = 8 << 20
+BLOCK_TEXT = 4 << 20
+#: Bytes of text beyond the cache that end a block of scored documents.
+BLOCK_KEYS = 500_000
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,28 +197,47 @@ def _suffix_last(keys: np.ndarray) -> np.ndarray:
     return (keys >> _U(32)) | ((keys & _mask(4)) << _U(24))
 
 
-def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """By the last two bytes of a 7-byte key's context: a bucket has all entries of its contexts of two bytes or more."""
-    return (mixed((keys >> _U(8)) & _mask(2)) % _U(buckets)).astype(np.int64)
+def _dealt(kind: int, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Places of the keys in the order of their buckets, the buckets that have some, and where each one's places end.
 
-
-def _packed(kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """Sorted keys dealt to buckets: keys of contexts by _bucket_of, words by their hash. Keys go as differences."""
-    bucket = _bucket_of(_suffix_last(keys), buckets) if kind == _CONTEXT else (mixed(keys) % _U(buckets)).astype(np.int64)
+    A context's key (suffix first) is dealt by the last two bytes of the context, so a bucket has all entries of its contexts of two
+    bytes or more; a word by its hash.
+    """
+    bucket = (mixed(keys >> _U(40) if kind == ORDER else keys) % _U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    first = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        mine = order[first[b] : first[b + 1]]
-        if len(mine):
-            steps = np.diff(keys[mine], prepend=_U(0))
-            # bytes of one weight together: most high ones are 0, which the shuffle's compression takes out
-            yield b, kind, steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), counts[mine].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    some, size = np.unique(bucket, return_counts=True)
+    return order, some.tolist(), np.cumsum(size)
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Bytes of one weight together, since most high ones are 0, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T))
+
+
+def _opened(data: bytes, kind: str = "<u8") -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Keys as differences; small ones where they are sorted."""
+    return _squeezed(np.diff(keys, prepend=_U(0)))
+
+
+def _unstepped(data: bytes) -> np.ndarray:
+    return np.cumsum(_opened(data), dtype=np.uint64)
 
 
-def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(counts) // 4
-    steps = np.ascontiguousarray(np.frombuffer(keys, np.uint8).reshape(8, n).T).view("<u8")[:, 0]
-    return np.cumsum(steps.astype(np.uint64), dtype=np.uint64), np.ascontiguousarray(np.frombuffer(counts, np.uint8).reshape(4, n).T).view("<u4")[:, 0].astype(np.int64)
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch; schema is Spark's."""
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], types[t]) for j, (_, t) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+SENT = "bucket int, kind int, keys binary, counts binary"
+#: Keys of one kind and bucket whose counts have `level` + 1 binary digits; total is the sum of their counts.
+COUNTED = "kind int, bucket int, level int, n_keys long, total long, keys binary, counts binary"
 
 
 def _buckets(spark: SparkSession) -> int:
@@ -224,21 +245,23 @@ def _buckets(spark: SparkSession) -> int:
 
 
 def count_all(documents: DataFrame, held_mod: int, held_rest: int) -> DataFrame:
-    """(kind, key, n): words by hash (kind -1) and keys of orders 0, 1 and ORDER (kind), over all training documents, written.
+    """COUNTED over all training documents, written: words by hash (kind _TOKEN), keys of order ORDER (suffix first) and of
+    orders 0 and 1. Those two orders come in parts from several tasks, with the task's first bucket.
 
     Each task sends its distinct keys once, packed by bucket; a bucket's task merges them as they come, and holds its
-    distinct keys only. Orders 0 and 1 are summed once more, since their keys come from several buckets. Those between
-    follow from the highest one inside a bucket.
+    distinct keys only. The orders between follow from the highest one inside a bucket.
     """
-    spark = documents.sparkSession
-    buckets = _buckets(spark)
+    buckets = _buckets(documents.sparkSession)
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, contexts, held = Counts(), Counts(), 0
 
         def flush() -> pa.RecordBatch:
-            rows = [*_packed(_TOKEN, *words.take(), buckets), *_packed(_CONTEXT, *contexts.take(), buckets)]
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "keys", "counts"])
+            rows = []
+            for kind, (keys, n) in ((_TOKEN, words.take()), (ORDER, contexts.take())):
+                order, some, ends = _dealt(kind, keys, buckets)
+                rows += [(b, kind, _steps(keys[mine]), _squeezed(n[mine])) for b, mine in zip(some, np.split(order, ends), strict=False)]
+            return _batch(rows, SENT)
 
         for batch in batches:
             for a, b, raw in text_parts(batch.column(0)):
@@ -257,156 +280,198 @@ def count_all(documents: DataFrame, held_mod: int, held_rest: int) -> DataFrame:
         words, contexts = Counts(), Counts()
         for batch in batches:
             for kind, k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                (contexts if kind == _CONTEXT else words).add(*_unpacked(k, n))
-        yield from _rows(-1, *words.take())
-        keys, n = contexts.take()
-        keys = _suffix_last(keys)
-        for k in (ORDER, 1, 0):
+                (contexts if kind == ORDER else words).add(_unstepped(k), _opened(n, "<i8"))
+        deep = contexts.take()
+        for kind, (keys, n) in ((_TOKEN, words.take()), (ORDER, deep)):
+            order, some, ends = _dealt(kind, keys, buckets)
+            for b, mine in zip(some, np.split(order, ends), strict=False):
+                yield _batch(_levels(kind, b, keys[mine], n[mine]), COUNTED)
+        keys, n = _suffix_last(deep[0]), deep[1]
+        for k in (1, 0):
             keys, n = _summed([keys & _mask(k + 1)], [n])
-            yield from _rows(k, keys, n)
+            if len(keys):
+                yield _batch(_levels(k, 0, keys, n), COUNTED)
 
     train = documents.where(F.col("doc_id").isNull() | (doc_remainder(F.col("doc_id"), held_mod) != held_rest)).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    packed = train.mapInArrow(send, "bucket int, kind int, keys binary, counts binary").repartition("bucket").select("kind", "keys", "counts")
-    merged = written(packed.mapInArrow(merge, "kind int, key long, n long"))
-    few = merged.where("kind in (0, 1)").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    return merged.where("kind not in (0, 1)").unionByName(few)
+    packed = train.mapInArrow(send, SENT).repartition("bucket").select("kind", "keys", "counts")
+    return written(packed.mapInArrow(merge, COUNTED))
+
+
+def _levels(kind: int, bucket: int, keys: np.ndarray, n: np.ndarray) -> list[tuple]:
+    level = np.frexp(n.astype(np.float64))[1] - 1
+    return [(kind, bucket, int(j), int(at.sum()), int(n[at].sum()), _steps(keys[at]), _squeezed(n[at])) for j in np.unique(level) for at in [level == j]]
 
 
-def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(keys), 200_000):
-        part = keys[a : a + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(n[a : a + 200_000])], names=["kind", "key", "n"])
+def low_orders(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of orders 0 and 1, 65,792 at most, summed over the tasks that have counted them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = _unstepped(k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(_opened(n, "<i8"))], names=["kind", "key", "n"])
+
+    found = counts.where("kind in (0, 1)").select("kind", "keys", "counts").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    kinds, keys, n = (found[c].to_numpy() for c in ("kind", "key", "n"))
+    return [_summed([keys[kinds == k].astype(np.uint64)], [n[kinds == k]]) for k in (0, 1)]
 
 
-def most_frequent(counts: DataFrame, limits: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each kind the keys of the largest counts, sorted: all of 2 ** j or more, for the least j that keeps to its limit."""
-    by = counts.groupBy("kind", F.floor(F.log2("n")).cast("int").alias("j")).count().collect()  # 64 rows a kind at most
+def least_levels(counts: DataFrame, limits: dict[int, int]) -> dict[int, int]:
+    """For each kind the least level from which on its keys are no more than its limit."""
+    by = counts.groupBy("kind", "level").agg(F.sum("n_keys").alias("n")).collect()  # 64 rows a kind at most
     least = {}
-    for kind in sorted(limits):
-        have = {r["j"]: r["count"] for r in by if r["kind"] == kind}
+    for kind, limit in limits.items():
+        have = {r["level"]: r["n"] for r in by if r["kind"] == kind}
         total, j = 0, max(have, default=0) + 1
-        while j > 0 and total + have.get(j - 1, 0) <= limits[kind]:
+        while j > 0 and total + have.get(j - 1, 0) <= limit:
             j -= 1
             total += have.get(j, 0)
         least[kind] = j
-    bound = F.lit(None).cast("long")
-    for kind, j in least.items():
-        bound = F.when(F.col("kind") == kind, F.lit(1 << j)).otherwise(bound)
-    found = counts.where(F.col("n") >= bound).toArrow()
-    kinds, keys, n = (found.column(i).to_numpy() for i in range(3))
-    out = {}
-    for kind in limits:
-        mine = kinds == kind
-        k, c = keys[mine].view(np.uint64), n[mine].astype(np.int64)
-        order = np.argsort(k)
-        out[kind] = (k[order], c[order])
-    return out
+    return least
 
 
 # --- values of asked keys ---------------------------------------------------------------------------
 
-#: Blocks that aren't documents': a bucket's counts, which come first, and the keys of the cache.
-_COUNTS, _CACHE = -2, -1
-DEALT = "bucket int, block long, keys binary, counts binary"
+#: What a block asks: the keys of a bucket that it wants to know. Block _COUNTS has the counts, which come first.
+ASKED = "kind int, bucket int, block long, keys binary, counts binary"
+ANSWERED = "block long, kind int, bucket int, values binary"
+_COUNTS = -1
 
 
-def _deal(block: int, keys: np.ndarray, counts: np.ndarray | None, buckets: int) -> pa.RecordBatch:
-    bucket = _bucket_of(keys, buckets)
-    order = np.argsort(bucket, kind="stable")
-    first = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    some = np.flatnonzero(np.diff(first))
-    mine = [order[first[b] : first[b + 1]] for b in some]
-    return pa.RecordBatch.from_arrays([
-        pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block, np.int64)), pa.array([keys[m].tobytes() for m in mine], pa.binary()),
-        pa.array([b"" if counts is None else counts[m].tobytes() for m in mine], pa.binary()),
-    ], names=["bucket", "block", "keys", "counts"])
-
-
-def _dealt(rows: DataFrame, block: int, buckets: int) -> DataFrame:
-    """DEALT of rows (key, n)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            k, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            return _deal(block, k, n if block == _COUNTS else None, buckets)
-
-        for batch in batches:
-            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
-            size += len(batch)
-            if size >= BLOCK_KEYS:
-                size = 0
-                yield flush()
-        if held:
-            yield flush()
-
-    return rows.select("key", "n").mapInArrow(run, DEALT)
-
-
-def bucket_trie(keys: list[np.ndarray], counts: list[np.ndarray], low: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
+def bucket_trie(keys: np.ndarray, counts: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
     """The whole trie as far as keys of one bucket need it, from the bucket's keys of the highest order, and orders 0 and 1."""
-    orders = [_summed(keys, counts)]
+    orders = [(keys, counts)]
     for k in range(ORDER - 1, 1, -1):
         orders.append(_summed([orders[-1][0] & _mask(k + 1)], [orders[-1][1]]))
     return Trie([*low, *orders[::-1]])
 
 
 def answered(counts: DataFrame, asked: DataFrame, low) -> DataFrame:  # noqa: ANN001  a broadcast
-    """(block, keys, values) of asked (DEALT): log10 of the probability of each key by the whole count table, a bucket at a time."""
+    """ANSWERED of asked (kind, bucket, block, keys), by the whole count table, a bucket at a time, in the order of the keys asked:
+    log10 of a context's probability of its byte, as a 32-bit float, or how often a word occurs.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, keys, n, trie = None, [], [], None
+        last, keys, n, model = None, [], [], None
         for batch in batches:
             for i in range(len(batch)):
-                bucket, block, k, c = (batch.column(j)[i].as_py() for j in range(4))
-                if bucket != last:
-                    last, keys, n, trie = bucket, [], [], None
-                k = np.frombuffer(k, np.uint64)
+                kind, bucket, block, k, c = (batch.column(j)[i].as_py() for j in range(5))
+                if (kind, bucket) != last:
+                    last, keys, n, model = (kind, bucket), [], [], None
                 if block == _COUNTS:
-                    keys.append(k)
-                    n.append(np.frombuffer(c, np.int64))
+                    keys.append(_unstepped(k))
+                    n.append(_opened(c, "<i8"))
                     continue
-                if trie is None:
-                    trie, keys, n = bucket_trie(keys, n, low.value), [], []
-                values = np.concatenate([trie.log10(k[a : a + 100_000]) for a in range(0, len(k), 100_000)])
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([k.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["block", "keys", "values"])
-
-    table = _dealt(counts.where(F.col("kind") == ORDER), _COUNTS, _buckets(counts.sparkSession))
-    return table.unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, keys binary, values binary")
+                k = _unstepped(k)
+                if kind == ORDER:
+                    model = model or bucket_trie(*_summed([_suffix_last(x) for x in keys], n), low.value)
+                    k = _suffix_last(k)
+                    values = np.concatenate([model.log10(k[a : a + 100_000]) for a in range(0, len(k), 100_000)]).astype("<f4")
+                else:
+                    model = model or _summed(keys, n)
+                    at, there = _find(model[0], k)
+                    values = np.where(there, model[1][at], 0).astype("<i8") if len(model[0]) else np.zeros(len(k), "<i8")
+                keys, n = [], []
+                yield _batch([(block, kind, bucket, _squeezed(values))], ANSWERED)
+
+    table = counts.where(F.col("kind").isin(_TOKEN, ORDER)).select("kind", "bucket", F.lit(_COUNTS).cast("long").alias("block"), "keys", "counts")
+    both = table.unionByName(asked.select("kind", "bucket", "block", "keys"), allowMissingColumns=True)
+    return both.repartition("bucket").sortWithinPartitions("bucket", "kind", "block").mapInArrow(run, ANSWERED)
 
 
 # --- scoring --------------------------------------------------------------------------------------
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Rows of a block: one of its documents (kind _DOCS), with what they want to know as numbers of the keys that the other rows ask.
+BLOCKS = "kind int, bucket int, block long, keys binary, docs binary, n_deep long, deep binary, n_rare long, rare binary, rare_n binary"
+
+
+class Block:
+    """Documents of a block, scored as far as the task's own tables go."""
+
+    def __init__(self, number: int):
+        self.number, self.parts, self.docs = number, [], 0
+        self.deep, self.rare = [], []
+
+    def add(self, part: dict, deep: tuple[np.ndarray, np.ndarray], rare: tuple[np.ndarray, np.ndarray]) -> None:
+        """`deep`, `rare`: document of the part and key of each byte and token beyond the tables."""
+        self.parts.append(part)
+        for into, (docs, keys) in ((self.deep, deep), (self.rare, rare)):
+            into.append((docs + self.docs, keys))
+        self.docs += len(part["doc_id"])
+
+    def rows(self, buckets: int) -> pa.RecordBatch:
+        asked, codes, sizes = [], [], []
+        for kind, found in ((ORDER, self.deep), (_TOKEN, self.rare)):
+            docs, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+            distinct, which = np.unique(keys, return_inverse=True)
+            order, some, ends = _dealt(kind, distinct, buckets)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            asked += [(kind, b, self.number, _steps(distinct[mine]), *[None] * 6) for b, mine in zip(some, np.split(order, ends), strict=False)]
+            codes.append(docs * len(distinct) + place[which])
+            sizes.append(len(distinct))
+        deep = np.sort(codes[0]).astype(np.uint64)
+        rare, times = np.unique(codes[1], return_counts=True)
+        docs = pa.concat_batches([pa.RecordBatch.from_pydict(p) for p in self.parts])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(docs)
+        return _batch([(_DOCS, None, self.number, None, sink.getvalue().to_pybytes(), sizes[0], _steps(deep), sizes[1], _steps(rare.astype(np.uint64)), _squeezed(times.astype(np.int64))), *asked], BLOCKS)
+
+
+def _settle(scale: float, total: int):  # noqa: ANN202
+    def run(rows: pa.Table) -> pa.Table:
+        """A block's documents, with what the answers add to their scores."""
+        row = rows.filter(pc.equal(rows["kind"], _DOCS)).to_pylist()[0]
+        docs = pa.ipc.open_stream(row["docs"]).read_all()
+        count = len(docs)
+
+        def answers(kind: int, form: str, expected: int) -> np.ndarray:
+            mine = rows.filter(pc.equal(rows["kind"], kind)).sort_by("bucket")
+            values = np.concatenate([np.zeros(0, form), *[_opened(x, form) for x in mine["values"].to_pylist()]])
+            if len(values) != expected:
+                raise ValueError("a block has other answers than it has asked for")
+            return values
+
+        value = answers(ORDER, "<f4", row["n_deep"])
+        code = _unstepped(row["deep"]).astype(np.int64)
+        of, which = np.divmod(code, max(1, row["n_deep"]))
+        score = docs["score"].to_numpy() + np.bincount(of, value[which].astype(np.float64), count)
+        n = answers(_TOKEN, "<i8", row["n_rare"])
+        code, times = _unstepped(row["rare"]).astype(np.int64), _opened(row["rare_n"], "<i8")
+        of, which = np.divmod(code, max(1, row["n_rare"]))
+        base = docs["base_score"].to_numpy() + np.bincount(of, times * (np.log10(n[which] + 1.0) - scale), count)
+        known = docs["n_known"].to_numpy() + np.bincount(of, times * (n[which] > 0), count).astype(np.int64)
+        return pa.table([docs["doc_id"], docs["held_out"], docs["n_tokens"], pa.array(known), pa.array(np.full(count, total)), pa.array(base), pa.array(score)], names=[x.split()[0] for x in OUT.split(", ")])
+
+    return run
 
 
 def score_documents(documents: DataFrame, held_mod: int = 7, held_rest: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Both models learn from all documents whose crc32(doc_id) modulo `held_mod` isn't `held_rest`; a null id is among them.
-    Text is lower-cased (A-Z); null is empty: its end alone. Words are told apart by a 64-bit hash.
+    Text is lower-cased (A-Z); null is empty: its end alone. Words are told apart by a 64-bit hash; a byte's log10 probability is a 32-bit float.
     A task holds the counts of the most frequent words and the values of the most frequent keys. For what is beyond them each
-    block of documents asks the whole count table, once for each word or key it has; so the caches change no score. Without training documents each word scores 0 and each byte
-    1 / 256. Repeated rows each give a row and count as often as they come; other columns aren't read.
+    block of documents asks the whole count table, once for each word or key it has; so the tables that a task holds change no score.
+    Without training documents each word scores 0 and each byte 1 / 256. Repeated rows each give a row and count as often as they
+    come; a very long text is a block of its own; other columns aren't read. Empty input gives no rows.
     """
     spark = documents.sparkSession
     counts = count_all(documents, held_mod, held_rest)
-    kept = most_frequent(counts, {-1: MOST_COMMON, 0: SYMBOLS, 1: SYMBOLS * SYMBOLS, ORDER: MOST_ENTRIES})
-    words = counts.where("kind = -1")
-    whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    whole = counts.where(F.col("kind") == _TOKEN).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_keys"), F.lit(0)).alias("v")).first()
     total, scale = whole["n"], float(np.log10(whole["n"] + whole["v"] + 1))
-    common, common_n = kept[-1]
-    least = int(common_n.min()) if len(common_n) else 0
-    low, buckets = spark.sparkContext.broadcast([kept[0], kept[1]]), _buckets(spark)
-    cached = np.zeros(0, np.uint64), np.zeros(0)
-    if len(kept[ORDER][0]):
-        often = counts.where((F.col("kind") == ORDER) & (F.col("n") >= int(kept[ORDER][1].min())))
-        got = answered(counts, _dealt(often, _CACHE, buckets), low).select("keys", "values").toArrow()
-        cached = tuple(np.frombuffer(b"".join(got[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("values", np.float64)))
-    model = spark.sparkContext.broadcast((*cached, common, common_n))
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.binary()), ("rare_n", pa.binary()), ("deep", pa.binary())])
+    low, buckets = spark.sparkContext.broadcast(low_orders(counts)), _buckets(spark)
+    least = least_levels(counts, {_TOKEN: MOST_COMMON, ORDER: MOST_ENTRIES})
+    often = counts.where(F.col("kind") == ORDER).where(F.col("level") >= least[ORDER])
+    asked = often.select("kind", "bucket", F.col("level").cast("long").alias("block"), "keys").toArrow().sort_by([("bucket", "ascending"), ("block", "ascending")])
+    values = answered(counts, often.withColumn("block", F.col("level").cast("long")), low).toArrow().sort_by([("bucket", "ascending"), ("block", "ascending")])
+    cached_keys = np.concatenate([np.zeros(0, np.uint64), *[_unstepped(x) for x in asked["keys"].to_pylist()]])
+    cached_values = np.concatenate([np.zeros(0, "<f4"), *[_opened(x, "<f4") for x in values["values"].to_pylist()]])
+    common = counts.where(F.col("kind") == _TOKEN).where(F.col("level") >= least[_TOKEN]).select("keys", "counts").toArrow()
+    common = _summed([_unstepped(x) for x in common["keys"].to_pylist()], [_opened(x, "<i8") for x in common["counts"].to_pylist()])
+    model = spark.sparkContext.broadcast((cached_keys, cached_values, *common))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -414,7 +479,7 @@ def score_documents(documents: DataFrame, held_mod: int = 7, held_rest: int = 2)
         often_keys, often_values, common_keys, common_counts = model.value
         values = Table(often_keys, often_values)
         table = Table(common_keys, common_counts)
-        block, held, deep_held = TaskContext.get().partitionId() << 32, 0, 0
+        block, held, beyond = Block(TaskContext.get().partitionId() << 32), 0, 0
         for batch in batches:
             for a, b, raw in text_parts(batch.column(2)):
                 texts = [t.translate(LOWER) for t in raw]
@@ -423,78 +488,30 @@ def score_documents(documents: DataFrame, held_mod: int = 7, held_rest: int = 2)
                 keys = np.concatenate([p.word_hashes(), np.full(b - a, END_TOKEN)])
                 n, known = table.get(keys)
                 base = np.bincount(docs, np.where(known, np.log10(n + 1.0) - scale, 0.0), b - a)
-                rest = ~known
-                pairs = np.lexsort((keys[rest], docs[rest]))
-                d, k = docs[rest][pairs], keys[rest][pairs]
-                new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])]))[: len(d)]
-                times = np.diff(np.concatenate([new, [len(d)]]))
-                cut = np.searchsorted(d[new], np.arange(b - a + 1))
-                rare, rare_n = k[new], times.astype("<u4")
                 contexts, begins = context_keys(texts)
+                contexts = _suffix_first(contexts)
                 value, found = values.get(contexts)
-                sums = np.concatenate([[0.0], np.cumsum(np.where(found, value, 0.0))])
-                deep = contexts[~found]
-                deep_cut = np.concatenate([[0], np.cumsum(~found)])[begins]
-                yield arrow_rows({
-                    "block": np.full(b - a, block),
+                sums = np.concatenate([[0.0], np.cumsum(np.where(found, value, 0.0), dtype=np.float64)])
+                missing = np.flatnonzero(~found)
+                part = {
                     "doc_id": batch.column(0).slice(a, b - a),
                     "held_out": batch.column(1).slice(a, b - a),
                     "n_tokens": np.diff(p.first) + 1,
                     "n_known": np.bincount(docs, known, b - a).astype(np.int64),
                     "base_score": base,
                     "score": sums[begins[1:]] - sums[begins[:-1]],
-                    "rare": [rare[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)],
-                    "rare_n": [rare_n[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)],
-                    "deep": [deep[x:y].tobytes() for x, y in zip(deep_cut[:-1], deep_cut[1:], strict=True)],
-                }, schema)
+                }
+                block.add(part, (np.searchsorted(begins, missing, "right") - 1, contexts[missing]), (docs[~known], keys[~known]))
                 held += len(p.data)
-                deep_held += len(deep)
-                if held >= BLOCK_TEXT or deep_held >= BLOCK_KEYS:
-                    block, held, deep_held = block + 1, 0, 0
-
-    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block's rare words, once; a block that is read in two pieces asks twice."""
-        for batch in batches:
-            blocks, rare = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for b in np.unique(blocks):
-                keys = np.unique(np.frombuffer(b"".join(rare[i] for i in np.flatnonzero(blocks == b)), np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b)), pa.array(keys.view(np.int64))], names=["block", "key"])
-
-    def ask_deep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block's keys beyond the cache, once, dealt to buckets."""
-        for batch in batches:
-            blocks, deep = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for b in np.unique(blocks):
-                yield _deal(int(b), np.unique(np.frombuffer(b"".join(deep[i] for i in np.flatnonzero(blocks == b)), np.uint64)), None, buckets)
-
-    def settle(docs: pa.Table, found: pa.Table) -> pa.Table:
-        """Adds the rare words of a block's documents to their base scores, and the keys beyond the cache to their scores."""
-        asked_words = found.filter(pc.is_valid(found["key"]))
-        keys, first = np.unique(asked_words["key"].to_numpy().view(np.uint64), return_index=True)
-        n = asked_words["n"].to_numpy()[first]
-        base, known = docs["base_score"].to_numpy().copy(), docs["n_known"].to_numpy().copy()
-        rare = [np.frombuffer(x, np.uint64) for x in docs["rare"].to_pylist()]
-        times = np.concatenate([np.frombuffer(x, "<u4") for x in docs["rare_n"].to_pylist()]).astype(np.int64)
-        of = np.repeat(np.arange(len(rare)), [len(x) for x in rare])
-        at, there = _find(keys, np.concatenate(rare))
-        c = np.where(there, n[at], 0) if len(n) else np.zeros(len(of), np.int64)
-        base += np.bincount(of, times * (np.log10(c + 1.0) - scale), len(rare))
-        known += np.bincount(of, times * (c > 0), len(rare)).astype(np.int64)
-        deep = [np.frombuffer(x, np.uint64) for x in docs["deep"].to_pylist()]
-        answers = found.filter(pc.is_valid(found["keys"]))
-        keys, first = np.unique(np.frombuffer(b"".join(answers["keys"].to_pylist()), np.uint64), return_index=True)
-        values = np.frombuffer(b"".join(answers["values"].to_pylist()), np.float64)[first]
-        wanted = np.concatenate(deep)
-        at = np.searchsorted(keys, wanted)
-        if len(wanted) and (not len(keys) or at.max() >= len(keys) or (keys[at] != wanted).any()):
-            raise ValueError("a key has no answer")
-        score = docs["score"].to_numpy() + np.bincount(np.repeat(np.arange(len(deep)), [len(x) for x in deep]), values[at], len(deep))
-        return pa.table([docs["doc_id"], docs["held_out"], docs["n_tokens"], pa.array(known), pa.array(np.full(len(rare), total)), pa.array(base), pa.array(score)], names=[x.split()[0] for x in OUT.split(", ")])
+                beyond += len(missing)
+                if held >= BLOCK_TEXT or beyond >= BLOCK_KEYS:
+                    yield block.rows(buckets)
+                    block, held, beyond = Block(block.number + 1), 0, 0
+        if block.docs:
+            yield block.rows(buckets)
 
     held = F.coalesce(doc_remainder(F.col("doc_id"), held_mod) == held_rest, F.lit(False))
-    scored = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(score, "block long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare binary, rare_n binary, deep binary"))
-    asked = scored.select("block", "rare").mapInArrow(ask, "block long, key long")
-    answers = asked.join(words.where(F.col("n") < max(least, 1) if least else F.lit(True)).select("key", "n"), "key")
-    deep_answers = answered(counts, scored.select("block", "deep").mapInArrow(ask_deep, DEALT), low)
-    both = answers.select("block", "key", "n").unionByName(deep_answers, allowMissingColumns=True)
-    return scored.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(settle, OUT)
+    blocks = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(score, BLOCKS))
+    answers = answered(counts, blocks.where(F.col("kind") != _DOCS).select("kind", "bucket", "block", "keys"), low)
+    of = blocks.where(F.col("kind") == _DOCS).drop("bucket", "keys")
+    return of.unionByName(answers, allowMissingColumns=True).groupBy("block").applyInArrow(_settle(scale, total), OUT)
