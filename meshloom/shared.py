@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+#: Folders that each open scratch() has written.
+_SCOPES: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -26,17 +30,54 @@ def shared_root(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives the loss of any executor."""
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    path = own_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.meshloom_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables that written() has made inside, but for those handed to the function that it gives.
+
+    A table that is handed on belongs to the scratch around this one. What a lazy result still reads must be handed on.
+    """
+    mine: list[str] = []
+    kept: list[str] = []
+    _SCOPES.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.meshloom_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        for path in mine:
+            if path not in kept:
+                _delete(spark, path)
+            elif _SCOPES:
+                _SCOPES[-1].append(path)
 
 
 def _own_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/meshloom/{spark.sparkContext.applicationId}"
 
 
+def own_path(spark: SparkSession) -> str:
+    """A new path in this application's folder."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes the tables that this application has written; results that are still to be read from them are lost."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_folder(spark))
