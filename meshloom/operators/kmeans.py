@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from meshloom.functions.geometry import d2
 from meshloom.shared import written
 
-from .metrics import degrees, neighbour_parts
+from .metrics import links, moves_of
+
+
+#: Centres that one expression of distances has, at most.
+SEEDS_A_TABLE = 16
 
 
 @dataclass(frozen=True)
@@ -34,9 +38,10 @@ def centroids(gv: DataFrame, part: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(gv: DataFrame, cent: DataFrame) -> DataFrame:
-    """(v, part, d2): each vertex's nearest centre; ties to the lower part."""
-    far = gv.crossJoin(F.broadcast(cent.select("part", "cx", "cy", "cz"))).select("v", F.struct(d2("x", "y", "z").alias("d2"), "part").alias("c"))
-    return far.groupBy("v").agg(F.min("c").alias("c")).select("v", "c.part", "c.d2")
+    """gv with part and d2: each vertex's nearest centre; ties to the lower part. All centres are one broadcast row, an array of k."""
+    every = cent.agg(F.collect_list(F.struct("part", "cx", "cy", "cz")).alias("_cent"))
+    far = F.transform("_cent", lambda c: F.struct(sum(((F.col(a) - c[f"c{a}"]) * (F.col(a) - c[f"c{a}"]) for a in "yz"), (F.col("x") - c["cx"]) * (F.col("x") - c["cx"])).alias("d2"), c["part"].alias("part")))
+    return gv.crossJoin(F.broadcast(every)).withColumn("_c", F.array_min(far)).select(*gv.columns, F.col("_c.part").alias("part"), F.col("_c.d2").alias("d2"))
 
 
 def nearest_inline(gv: DataFrame, centres: list[tuple[int, float, float, float]]) -> DataFrame:
@@ -55,7 +60,7 @@ def lloyd_step(gv: DataFrame, cent: DataFrame) -> DataFrame:
 
     inertia: the part's sum of squared distances to the old centres, without weights. A part that gets no vertex keeps its centre.
     """
-    got = gv.join(nearest(gv, cent), "v").groupBy("part").agg(
+    got = nearest(gv, cent).groupBy("part").agg(
         *[(F.sum(F.col("vwgt") * F.col(c)) / F.sum("vwgt")).alias(f"n{c}") for c in "xyz"], F.sum("vwgt").cast("long").alias("nw"), F.sum("d2").alias("inertia")
     )
     rows = cent.join(got, "part", "left")
@@ -66,17 +71,23 @@ def seeds(gv: DataFrame, k: int, seed: int) -> list[tuple[int, float, float, flo
     """k-means++: a vertex drawn with a probability in proportion to its squared distance to the nearest centre so far.
 
     The draw is an exponential race: the least of -ln(u) / d2, with u from a hash of the id. If all distances are 0, any vertex.
-    The driver reads a row for each centre.
+    The driver reads a row for each centre. After every SEEDS_A_TABLE centres the distances so far are written, so that the expression
+    doesn't grow with k.
     """
     out: list[tuple[int, float, float, float]] = []
+    at, fresh = gv.select("v", "x", "y", "z", F.lit(float("inf")).alias("near")), []
     for i in range(k):
+        near = F.least("near", *[_point_d2(*c[1:]) for c in fresh]) if fresh else F.col("near")
+        if len(fresh) == SEEDS_A_TABLE:
+            at, fresh, near = written(at.withColumn("near", near)), [], F.col("near")
+        near = F.lit(1.0) if not out else near
         u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), F.col("v")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-        near = F.least(*[_point_d2(*c[1:]) for c in out]) if len(out) > 1 else _point_d2(*out[0][1:]) if out else F.lit(1.0)
         race = F.when(near > 0, -F.log(u) / near)
-        row = gv.select("v", "x", "y", "z", race.alias("r"), u.alias("u")).agg(F.min(F.struct(F.col("r").isNull(), "r", "u", "v", "x", "y", "z")).alias("b")).first()["b"]
+        row = at.select("v", "x", "y", "z", race.alias("r"), u.alias("u")).agg(F.min(F.struct(F.col("r").isNull(), "r", "u", "v", "x", "y", "z")).alias("b")).first()["b"]
         if row is None:
             break
         out.append((i, row["x"], row["y"], row["z"]))
+        fresh.append(out[-1])
     return out
 
 
@@ -104,19 +115,25 @@ def kmeans(gv: DataFrame, k: int, seed: int = 42, max_iterations: int = 100, tol
 
 
 def sources(gv: DataFrame, cent: DataFrame) -> DataFrame:
-    """(part, v): the vertex nearest to each centre; ties to the lower vertex."""
-    far = gv.crossJoin(F.broadcast(cent.select("part", "cx", "cy", "cz")))
-    return far.groupBy("part").agg(F.min(F.struct(d2("x", "y", "z").alias("d"), "v"))["v"].alias("v"))
+    """(part, v): the vertex nearest to each centre; ties to the lower vertex. One pass that keeps a row a centre."""
+    centres = cent.select("part", "cx", "cy", "cz").collect()  # k rows
+    least = [F.struct(F.lit(r["part"]).alias("part"), F.min(F.struct(_point_d2(r["cx"], r["cy"], r["cz"]).alias("d"), "v"))["v"].alias("v")) for r in centres]
+    return gv.agg(F.array(*least).alias("c")).select(F.inline("c"))
 
 
 def gain_table(gv: DataFrame, ge: DataFrame, part: DataFrame, cent: DataFrame) -> DataFrame:
     """(v, src_part, dst_part, topo, geo) of each boundary vertex and part that it touches: topo = ed - id; geo = how much
     nearer, in squared distance, the other part's centre is."""
+    return with_geo(gv, moves_of(links(ge, part)), cent)
+
+
+def with_geo(gv: DataFrame, moves: DataFrame, cent: DataFrame) -> DataFrame:
+    """moves (v, src_part, dst_part, topo) with geo."""
     c = F.broadcast(cent.select("part", "cx", "cy", "cz"))
-    rows = neighbour_parts(ge, part).join(degrees(gv, ge, part).select("v", F.col("part").alias("src_part"), "id"), "v").join(gv.select("v", "x", "y", "z"), "v")
+    rows = moves.join(gv.select("v", "x", "y", "z"), "v")
     rows = rows.join(c.toDF("src_part", "cx", "cy", "cz"), "src_part").withColumn("_a", d2("x", "y", "z")).drop("cx", "cy", "cz")
-    rows = rows.join(c.toDF("nbr_part", "cx", "cy", "cz"), "nbr_part").withColumn("_b", d2("x", "y", "z"))
-    return rows.select("v", "src_part", F.col("nbr_part").alias("dst_part"), (F.col("ed") - F.col("id")).alias("topo"), (F.col("_a") - F.col("_b")).alias("geo"))
+    rows = rows.join(c.toDF("dst_part", "cx", "cy", "cz"), "dst_part").withColumn("_b", d2("x", "y", "z"))
+    return rows.select("v", "src_part", "dst_part", "topo", (F.col("_a") - F.col("_b")).alias("geo"))
 
 
 def calibrated_beta(gains: DataFrame) -> DataFrame:

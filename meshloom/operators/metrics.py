@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshloom.functions.geometry import cap
@@ -27,6 +28,24 @@ def neighbour_parts(ge: DataFrame, part: DataFrame) -> DataFrame:
     return labelled_edges(ge, part).where("p_src <> p_dst").groupBy(F.col("src").alias("v"), F.col("p_dst").alias("nbr_part")).agg(F.sum("w").cast("long").alias("ed"))
 
 
+def links(ge: DataFrame, part: DataFrame) -> DataFrame:
+    """(v, part, nbr_part, ed): weight of a vertex's edges into each part, its own one included. What a round needs of the edges: one
+    join on each end and one sum."""
+    return labelled_edges(ge, part).groupBy(F.col("src").alias("v"), F.col("p_src").alias("part"), F.col("p_dst").alias("nbr_part")).agg(F.sum("w").cast("long").alias("ed"))
+
+
+def moves_of(table: DataFrame) -> DataFrame:
+    """(v, src_part, dst_part, topo) of links: each other part that a vertex touches, and by how much a move there lowers the cut."""
+    inner = F.sum(F.when(F.col("nbr_part") == F.col("part"), F.col("ed")).otherwise(0)).over(W.partitionBy("v"))
+    rows = table.withColumn("id", inner.cast("long")).where("nbr_part <> part")
+    return rows.select("v", F.col("part").alias("src_part"), F.col("nbr_part").alias("dst_part"), (F.col("ed") - F.col("id")).alias("topo"))
+
+
+def cut_of(table: DataFrame) -> int:
+    """The edge cut of links."""
+    return table.where("nbr_part <> part").agg(F.coalesce(F.sum("ed"), F.lit(0))).first()[0] // 2
+
+
 def degrees(gv: DataFrame, ge: DataFrame, part: DataFrame) -> DataFrame:
     """(v, part, id, ed, nnbrs): weight of edges inside and out of the own part, and how many other parts they reach."""
     inside, out = F.col("p_src") == F.col("p_dst"), F.col("p_src") != F.col("p_dst")
@@ -65,6 +84,13 @@ def volume_info(gv: DataFrame, ge: DataFrame, part: DataFrame) -> DataFrame:
     return by.join(own, "v").select("v", "nbr_part", "ed", (F.col("freed") + F.when(F.col("id") == 0, F.col("vsize")).otherwise(0)).cast("long").alias("gv"))
 
 
+def exposed(gv: DataFrame, ge: DataFrame, table: DataFrame, part: DataFrame) -> DataFrame:
+    """(v, exposed): the boundary size that v's leaving its part would add, of neighbours there that have no edge out yet. `table`: links."""
+    out = table.where("nbr_part <> part").select("v").distinct()
+    inner = gv.join(part, "v").join(out, "v", "left_anti").select(F.col("v").alias("dst"), F.col("part").alias("p_dst"), "vsize")
+    return ge.join(part.toDF("src", "p_src"), "src").join(inner, "dst").where("p_src = p_dst").groupBy(F.col("src").alias("v")).agg(F.sum("vsize").alias("exposed"))
+
+
 def boundary_volume(gv: DataFrame, ge: DataFrame, part: DataFrame) -> DataFrame:
     """(volume, n_boundary): total size and number of the boundary vertices."""
     return gv.join(boundary(gv, ge, part).select("v"), "v", "left_semi").agg(F.coalesce(F.sum("vsize"), F.lit(0)).cast("long").alias("volume"), F.count("*").alias("n_boundary"))

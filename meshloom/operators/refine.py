@@ -13,10 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshloom.functions.geometry import d2
-from meshloom.shared import written
+from meshloom.shared import scratch, written
 
-from .kmeans import calibrated_beta, centroids, gain_table
-from .metrics import boundary_volume, degrees, edge_cut, neighbour_parts, part_weights, volume_info
+from .kmeans import calibrated_beta, centroids, with_geo
+from .metrics import boundary_volume, cut_of, edge_cut, exposed, links, moves_of, part_weights, volume_info
 
 
 @dataclass(frozen=True)
@@ -40,36 +40,54 @@ def independent(ge: DataFrame, candidates: DataFrame, seed: int) -> DataFrame:
     return candidates.join(rival, "v", "left_anti")
 
 
-def running(rows: DataFrame, by: list[str], order: list[Column], value: str, name: str, ranges: int = 16) -> DataFrame:
-    """The sum of `value` from a group's first row in the order up to this one.
+#: Rows that a window of running() sees, about.
+RANGE_ROWS = 50_000
 
-    Ranges cut at quantiles of gain keep a group from being one task's; `order` must begin with the falling gain.
+
+def running(rows: DataFrame, by: list[str], value: str, name: str, n: int) -> DataFrame:
+    """The sum of `value` from a group's first row up to this one, in the order of falling `rank`, then v. n: how many rows there are.
+
+    More than RANGE_ROWS are cut into ranges at quantiles of rank, so that a group isn't one task's; rank() tells equal gains apart.
     """
-    cut = rows.agg(F.percentile_approx(F.col("gain").cast("double"), F.array(*[F.lit(i / ranges) for i in range(1, ranges)])).alias("_c"))
-    cut_rows = rows.crossJoin(F.broadcast(cut)).withColumn("_r", F.size(F.filter("_c", lambda c: c >= F.col("gain")))).drop("_c")
+    order = [F.desc("rank"), F.asc("v")]
+    if n <= RANGE_ROWS:
+        return rows.withColumn(name, F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    ranges = -(-n // RANGE_ROWS)
+    cut = rows.agg(F.percentile_approx("rank", F.array(*[F.lit(i / ranges) for i in range(1, ranges)])).alias("_c"))
+    cut_rows = rows.crossJoin(F.broadcast(cut)).withColumn("_r", F.size(F.filter("_c", lambda c: c >= F.col("rank")))).drop("_c")
     sums = cut_rows.groupBy(*by, "_r").agg(F.sum(value).alias("_s"))
     starts = sums.withColumn("_start", F.coalesce(F.sum("_s").over(W.partitionBy(*by).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
     inside = F.sum(value).over(W.partitionBy(*by, "_r").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
     return cut_rows.withColumn("_in", inside).join(starts, [*by, "_r"]).withColumn(name, F.col("_start") + F.col("_in")).drop("_r", "_in", "_start")
 
 
-def _candidates(gv: DataFrame, ge: DataFrame, part: DataFrame, k: int, ub: float, mode: str, alpha: float, beta: float | None) -> DataFrame:
+def rank(seed: int) -> Column:
+    """gain, and below that a number from a hash of v: whole gains keep their order, and equal ones fall into different ranges."""
+    below = (F.pmod(F.xxhash64(F.lit(seed), F.col("v")), F.lit(1 << 20)) + 1) / F.lit(float(1 << 21))
+    return F.col("gain") + F.when(F.col("gain") == F.round("gain"), below).otherwise(0.0)
+
+
+def _candidates(gv: DataFrame, ge: DataFrame, part: DataFrame, table: DataFrame, k: int, ub: float, mode: str, alpha: float, beta: float | None) -> DataFrame:
     """(v, src_part, dst_part, gain, topo, vwgt): each boundary vertex's best move into a part that it fits and that leaves its own
-    part at its least weight or above. mode: cut, volume; with alpha < 1 mixed with the geometric gain."""
+    part at its least weight or above. mode: cut, volume; with alpha < 1 mixed with the geometric gain. `table`: links of part."""
+    moves = moves_of(table)
     if mode == "volume":
-        table = volume_info(gv, ge, part).join(degrees(gv, ge, part).select("v", F.col("part").alias("src_part")), "v").select("v", "src_part", F.col("nbr_part").alias("dst_part"), F.col("gv").alias("topo"))
+        saved = volume_info(gv, ge, part).select("v", F.col("nbr_part").alias("dst_part"), F.col("gv").alias("saved"))
+        best = moves.join(saved, ["v", "dst_part"]).join(exposed(gv, ge, table, part), "v", "left").select("v", "src_part", "dst_part", (F.col("saved") - F.coalesce("exposed", F.lit(0))).alias("topo"))
     else:
-        table = neighbour_parts(ge, part).join(degrees(gv, ge, part).select("v", F.col("part").alias("src_part"), "id"), "v").select("v", "src_part", F.col("nbr_part").alias("dst_part"), (F.col("ed") - F.col("id")).alias("topo"))
+        best = moves
     if alpha < 1:
-        geo = gain_table(gv, ge, part, centroids(gv, part, k))
+        # beta is calibrated to the cut's gains in either mode
+        geo = with_geo(gv, moves, centroids(gv, part, k))
         factor = geo.crossJoin(F.broadcast(calibrated_beta(geo))) if beta is None else geo.withColumn("beta", F.lit(beta))
-        table = table.join(factor.select("v", "dst_part", "geo", "beta"), ["v", "dst_part"]).withColumn("gain", F.lit(alpha) * F.col("topo") + F.lit(1 - alpha) * F.col("beta") * F.col("geo"))
+        best = best.join(factor.select("v", "dst_part", "geo", "beta"), ["v", "dst_part"]) if mode == "volume" else factor
+        best = best.withColumn("gain", F.lit(alpha) * F.col("topo") + F.lit(1 - alpha) * F.col("beta") * F.col("geo"))
     else:
-        table = table.withColumn("gain", F.col("topo").cast("double"))
+        best = best.withColumn("gain", F.col("topo").cast("double"))
     weights = F.broadcast(part_weights(gv, part, k))
     total = gv.agg(F.sum("vwgt").alias("total"))
     able = (
-        table.join(gv.select("v", "vwgt"), "v")
+        best.join(gv.select("v", "vwgt"), "v")
         .join(weights.toDF("dst_part", "w_dst"), "dst_part")
         .join(weights.toDF("src_part", "w_src"), "src_part")
         .crossJoin(F.broadcast(total))
@@ -86,42 +104,55 @@ def refine(gv: DataFrame, ge: DataFrame, part: DataFrame, k: int, ub: float = 1.
     """Rounds of independent moves with positive gain, or with none but into a lighter part; the best partition seen is kept.
 
     cut: the round's cut must be the last one's less the accepted topological gains, which is checked. volume: a round counts only
-    if the boundary volume falls. With alpha < 1 the gain is a mixture, so the cut may rise within a run; of all rounds
+    if the boundary volume falls, since moves two steps apart may undo each other; else it is taken back and a fourth of the candidates
+    is tried, down to a 64th. With alpha < 1 the gain is a mixture, so the cut may rise within a run; of all rounds
     the one of the least objective is returned, so the result is never worse than `part`.
     """
-    value = lambda p: edge_cut(ge, p).first()["cut"] if mode == "cut" else boundary_volume(gv, ge, p).first()["volume"]
-    now = written(part)
-    best, best_value, at, total, done = now, value(now), None, 0, 0
-    at = best_value
-    for r in range(rounds):
-        cand = _candidates(gv, ge, now, k, ub, mode, alpha, beta).where("gain > 1e-9 or (abs(gain) <= 1e-9 and w_src - vwgt > w_dst + vwgt)").where("w_src - vwgt >= least")
-        free = independent(ge, written(cand), seed + r)
-        order = [F.desc("gain"), F.asc("v")]
-        fits = running(running(free, ["dst_part"], order, "vwgt", "arrived"), ["src_part"], order, "vwgt", "left")
-        moves = written(fits.where("w_dst + arrived <= most and w_src - left >= least and (gain > 1e-9 or w_src - left > w_dst + arrived)").select("v", "src_part", "dst_part", "topo", "vwgt"))
-        facts = moves.agg(F.count("*").alias("n"), F.coalesce(F.sum("topo"), F.lit(0)).alias("topo")).first()
-        if not facts["n"]:
-            break
-        now = written(moved(now, moves))
-        reached = value(now)
-        if mode == "cut" and reached != at - facts["topo"]:
-            raise AssertionError("the cut doesn't fall by the accepted gains: edges lack their other direction")
-        done, total = r + 1, total + facts["n"]
-        worse = reached >= at
-        at = reached
-        if reached < best_value:
-            best, best_value = now, reached
-        if (mode == "volume" and worse) or (stop_on_no_cut_gain and worse):
-            break
-    return Refined(best, best_value, done, total)
+    value = lambda p, table: cut_of(table) if mode == "cut" else boundary_volume(gv, ge, p).first()["volume"]
+    with scratch(gv.sparkSession) as keep:
+        now = written(part)
+        table = written(links(ge, now))
+        best, best_value, total, done = now, value(now, table), 0, 0
+        at, thin = best_value, 1
+        for r in range(rounds):
+            cand = _candidates(gv, ge, now, table, k, ub, mode, alpha, beta).where("gain > 1e-9 or (abs(gain) <= 1e-9 and w_src - vwgt > w_dst + vwgt)").where("w_src - vwgt >= least")
+            cand = written(cand.where(F.pmod(F.xxhash64("v", F.lit(seed + r)), F.lit(thin)) == 0).withColumn("rank", rank(seed + r)))
+            n = cand.count()
+            if not n:
+                break
+            fits = running(running(independent(ge, cand, seed + r), ["dst_part"], "vwgt", "arrived", n), ["src_part"], "vwgt", "left", n)
+            moves = written(fits.where("w_dst + arrived <= most and w_src - left >= least and (gain > 1e-9 or w_src - left > w_dst + arrived)").select("v", "src_part", "dst_part", "topo", "vwgt"))
+            facts = moves.agg(F.count("*").alias("n"), F.coalesce(F.sum("topo"), F.lit(0)).alias("topo")).first()
+            if not facts["n"]:
+                break
+            before = now, table
+            now = written(moved(now, moves))
+            table = written(links(ge, now))
+            reached = value(now, table)
+            if mode == "volume" and reached >= at and thin < 64:
+                (now, table), thin = before, 4 * thin
+                continue
+            if mode == "cut" and reached != at - facts["topo"]:
+                raise AssertionError("the cut doesn't fall by the accepted gains: edges lack their other direction")
+            done, total = r + 1, total + facts["n"]
+            worse = reached >= at
+            at = reached
+            if reached < best_value:
+                best, best_value = now, reached
+            if (mode == "volume" and worse) or (stop_on_no_cut_gain and worse):
+                break
+        return Refined(keep(best), best_value, done, total)
 
 
 def balance_scores(gv: DataFrame, ge: DataFrame, part: DataFrame, k: int) -> DataFrame:
     """(v, src_part, dst_part, score): ed - id + 0.5 * (ideal - w_dst) / (ideal + 1) of each boundary vertex and part that it touches."""
-    weights = part_weights(gv, part, k)
+    return _scored(moves_of(links(ge, part)), part_weights(gv, part, k), k)
+
+
+def _scored(moves: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     ideal = weights.agg((F.sum("w") / k).alias("ideal"))
-    rows = neighbour_parts(ge, part).join(degrees(gv, ge, part).select("v", F.col("part").alias("src_part"), "id"), "v").join(F.broadcast(weights.toDF("nbr_part", "w_dst")), "nbr_part").crossJoin(F.broadcast(ideal))
-    return rows.select("v", "src_part", F.col("nbr_part").alias("dst_part"), (F.col("ed") - F.col("id") + 0.5 * (F.col("ideal") - F.col("w_dst")) / (F.col("ideal") + 1)).alias("score"))
+    rows = moves.join(F.broadcast(weights.toDF("dst_part", "w_dst")), "dst_part").crossJoin(F.broadcast(ideal))
+    return rows.select("v", "src_part", "dst_part", (F.col("topo") + 0.5 * (F.col("ideal") - F.col("w_dst")) / (F.col("ideal") + 1)).alias("score"))
 
 
 def balance(gv: DataFrame, ge: DataFrame, part: DataFrame, k: int, ub: float = 1.03, rounds: int = 20, seed: int = 7) -> Refined:
@@ -130,54 +161,57 @@ def balance(gv: DataFrame, ge: DataFrame, part: DataFrame, k: int, ub: float = 1
     A round takes each boundary vertex's best scored move to a lighter part, keeps an independent set, and lets each pair of parts
     pass a quarter of its difference, or one vertex. The partition of the least spread is kept.
     """
-    total = gv.agg(F.coalesce(F.sum("vwgt"), F.lit(0))).first()[0]
-    ideal = total / k
-    most, least = int(ub * ideal + 0.5), int((2 - ub) * ideal - 0.5)
-    spread = lambda p: max(abs(r["w"] / ideal - 1) if ideal else 0.0 for r in part_weights(gv, p, k).collect())  # noqa: E731  k rows
-    now = written(part)
-    best, best_spread, done, count = now, spread(now), 0, 0
-    for r in range(rounds):
-        weights = {x["part"]: x["w"] for x in part_weights(gv, now, k).collect()}
-        if all(least <= w <= most for w in weights.values()):
-            break
-        w = F.broadcast(gv.sparkSession.createDataFrame(list(weights.items()), "part int, w long"))
-        rows = balance_scores(gv, ge, now, k).join(gv.select("v", "vwgt"), "v").join(w.toDF("src_part", "w_src"), "src_part").join(w.toDF("dst_part", "w_dst"), "dst_part")
-        rows = rows.where((F.col("w_src") - F.col("w_dst") > F.greatest(F.col("vwgt"), F.lit(0.25 * (ub - 1) * ideal))))
-        pick = rows.groupBy("v").agg(F.max_by(F.struct("src_part", "dst_part", F.col("score").alias("gain"), "vwgt", "w_src", "w_dst"), F.struct("score", (-F.col("dst_part")).alias("p"))).alias("b")).select("v", "b.*")
-        free = independent(ge, written(pick), seed + r)
-        flow = running(free, ["src_part", "dst_part"], [F.desc("gain"), F.asc("v")], "vwgt", "sent")
-        moves = written(flow.where((F.col("sent") <= (F.col("w_src") - F.col("w_dst")) / 4) | ((F.col("sent") == F.col("vwgt")) & (F.col("w_src") - F.col("vwgt") >= F.col("w_dst")))).select("v", "dst_part"))
-        n = moves.count()
-        if not n:
-            break
-        now = written(moved(now, moves))
-        count, done = count + n, r + 1
-        if (s := spread(now)) < best_spread:
-            best, best_spread = now, s
-    return Refined(best, edge_cut(ge, best).first()["cut"], done, count)
+    read = lambda p: {x["part"]: x["w"] for x in part_weights(gv, p, k).collect()}  # noqa: E731  k rows
+    with scratch(gv.sparkSession) as keep:
+        now = written(part)
+        weights = read(now)
+        ideal = sum(weights.values()) / k
+        most, least = int(ub * ideal + 0.5), int((2 - ub) * ideal - 0.5)
+        spread = lambda have: max(abs(x / ideal - 1) if ideal else 0.0 for x in have.values())
+        best, best_spread, done, count = now, spread(weights), 0, 0
+        for r in range(rounds):
+            if all(least <= w <= most for w in weights.values()):
+                break
+            w = F.broadcast(gv.sparkSession.createDataFrame(list(weights.items()), "part int, w long"))
+            rows = _scored(moves_of(links(ge, now)), w, k).join(gv.select("v", "vwgt"), "v").join(w.toDF("src_part", "w_src"), "src_part").join(w.toDF("dst_part", "w_dst"), "dst_part")
+            rows = rows.where((F.col("w_src") - F.col("w_dst") > F.greatest(F.col("vwgt"), F.lit(0.25 * (ub - 1) * ideal))))
+            pick = rows.groupBy("v").agg(F.max_by(F.struct("src_part", "dst_part", F.col("score").alias("gain"), "vwgt", "w_src", "w_dst"), F.struct("score", (-F.col("dst_part")).alias("p"))).alias("b")).select("v", "b.*")
+            pick = written(pick.withColumn("rank", rank(seed + r)))
+            flow = running(independent(ge, pick, seed + r), ["src_part", "dst_part"], "vwgt", "sent", pick.count())
+            moves = written(flow.where((F.col("sent") <= (F.col("w_src") - F.col("w_dst")) / 4) | ((F.col("sent") == F.col("vwgt")) & (F.col("w_src") - F.col("vwgt") >= F.col("w_dst")))).select("v", "dst_part"))
+            n = moves.count()
+            if not n:
+                break
+            now = written(moved(now, moves))
+            weights = read(now)
+            count, done = count + n, r + 1
+            if (s := spread(weights)) < best_spread:
+                best, best_spread = now, s
+        return Refined(keep(best), edge_cut(ge, best).first()["cut"], done, count)
 
 
 def geometric_balance(gv: DataFrame, ge: DataFrame, part: DataFrame, k: int, ub: float = 1.10, rounds: int = 20) -> Refined:
     """Boundary vertices of overweight parts go to the nearest other centre whose part stays within 1.05 * ub of the ideal."""
-    now, done, count = written(part), 0, 0
-    for r in range(rounds):
-        weights = part_weights(gv, now, k)
-        have = {x["part"]: x["w"] for x in weights.collect()}
-        ideal = sum(have.values()) / k
-        if all(w <= ub * ideal for w in have.values()):
-            break
-        cent = centroids(gv, now, k).select("part", "cx", "cy", "cz")
-        w = F.broadcast(weights)
-        edge = degrees(gv, ge, now).where("ed > 0").select("v", F.col("part").alias("src_part")).join(w.toDF("src_part", "w_src"), "src_part").where(F.col("w_src") > ub * ideal)
-        at = edge.join(gv.select("v", "vwgt", "x", "y", "z"), "v").crossJoin(F.broadcast(cent.join(w, "part").toDF("dst_part", "cx", "cy", "cz", "w_dst"))).where("dst_part <> src_part")
-        near = at.where(F.col("w_dst") + F.col("vwgt") <= 1.05 * ub * ideal).withColumn("gain", -d2("x", "y", "z"))
-        pick = near.groupBy("v").agg(F.max_by(F.struct("src_part", "dst_part", "gain", "vwgt", "w_src", "w_dst"), F.struct("gain", (-F.col("dst_part")).alias("p"))).alias("b")).select("v", "b.*")
-        order = [F.desc("gain"), F.asc("v")]
-        fits = running(running(written(pick), ["dst_part"], order, "vwgt", "arrived"), ["src_part"], order, "vwgt", "left")
-        moves = written(fits.where((F.col("w_dst") + F.col("arrived") <= 1.05 * ub * ideal) & (F.col("w_src") - F.col("left") + F.col("vwgt") > ub * ideal)).select("v", "dst_part"))
-        n = moves.count()
-        if not n:
-            break
-        now = written(moved(now, moves))
-        done, count = r + 1, count + n
-    return Refined(now, edge_cut(ge, now).first()["cut"], done, count)
+    with scratch(gv.sparkSession) as keep:
+        now, done, count = written(part), 0, 0
+        for r in range(rounds):
+            have = {x["part"]: x["w"] for x in part_weights(gv, now, k).collect()}
+            ideal = sum(have.values()) / k
+            if all(w <= ub * ideal for w in have.values()):
+                break
+            w = gv.sparkSession.createDataFrame(list(have.items()), "part int, w long")
+            cent = centroids(gv, now, k).select("part", "cx", "cy", "cz")
+            edge = links(ge, now).where("nbr_part <> part").select("v", F.col("part").alias("src_part")).distinct().join(F.broadcast(w.toDF("src_part", "w_src")), "src_part").where(F.col("w_src") > ub * ideal)
+            at = edge.join(gv.select("v", "vwgt", "x", "y", "z"), "v").crossJoin(F.broadcast(cent.join(w, "part").toDF("dst_part", "cx", "cy", "cz", "w_dst"))).where("dst_part <> src_part")
+            near = at.where(F.col("w_dst") + F.col("vwgt") <= 1.05 * ub * ideal).withColumn("gain", -d2("x", "y", "z"))
+            pick = near.groupBy("v").agg(F.max_by(F.struct("src_part", "dst_part", "gain", "vwgt", "w_src", "w_dst"), F.struct("gain", (-F.col("dst_part")).alias("p"))).alias("b")).select("v", "b.*")
+            pick = written(pick.withColumn("rank", rank(r)))
+            n = pick.count()
+            fits = running(running(pick, ["dst_part"], "vwgt", "arrived", n), ["src_part"], "vwgt", "left", n)
+            moves = written(fits.where((F.col("w_dst") + F.col("arrived") <= 1.05 * ub * ideal) & (F.col("w_src") - F.col("left") + F.col("vwgt") > ub * ideal)).select("v", "dst_part"))
+            n = moves.count()
+            if not n:
+                break
+            now = written(moved(now, moves))
+            done, count = r + 1, count + n
+        return Refined(keep(now), edge_cut(ge, now).first()["cut"], done, count)
