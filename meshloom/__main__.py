@@ -24,6 +24,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--ub", type=float, default=1.03, help="a part weighs at most this times the ideal")
     p.add_argument("--alpha", type=float, default=0.7, help="share of the cut in the gain; the rest is distance")
     p.add_argument("--objective", choices=("cut", "volume"), default="cut")
+    p.add_argument("--stop-on-no-cut-gain", action="store_true", help="end refinement at the first round that doesn't lower the cut")
+    p.add_argument("--levels", type=int, default=128, help="most levels of coarsening")
     p.add_argument("--init", choices=("kmeans", "rb", "hybrid"), default="kmeans")
     return p
 
@@ -35,6 +37,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     spark = spark or SparkSession.builder.appName("meshloom").getOrCreate()
     if a.mesh.endswith(".msh"):
         mesh = read_msh(spark, a.mesh)
+        dual.supported_gmsh(mesh.elements)
         kinds = {r[0] for r in mesh.elements.select("gmsh_type").distinct().collect()}
         dim = 2 if kinds <= {2, 3} else 3
     else:
@@ -47,9 +50,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     else:
         common = {"k": a.parts, "ub": a.ub, "seed": a.seed}
         if a.method == "geo":
-            done = plans.geo_kway_partition(gv, ge, GeoOptions(**common, alpha=a.alpha, init=a.init, volume=a.objective == "volume"))
+            done = plans.geo_kway_partition(gv, ge, GeoOptions(**common, alpha=a.alpha, init=a.init, volume=a.objective == "volume", stop_on_no_cut_gain=a.stop_on_no_cut_gain, max_levels=a.levels))
         elif a.method == "kway":
-            done = plans.kway_partition(gv, ge, KwayOptions(**common, objective=a.objective))
+            done = plans.kway_partition(gv, ge, KwayOptions(**common, objective=a.objective, max_levels=a.levels))
         else:
             done = plans.recursive_bisect(gv, ge, RecursiveOptions(**common, post_refine=a.objective))
         row = done.stats.first()

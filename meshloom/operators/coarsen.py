@@ -119,10 +119,12 @@ def project(cmap: DataFrame, coarse_part: DataFrame) -> DataFrame:
     return cmap.join(coarse_part.withColumnRenamed("v", "cv"), "cv").select("v", "part")
 
 
-def coarsen(gv: DataFrame, ge: DataFrame, limit: int, ratio: float = 0.75, max_levels: int = 128, seed: int = 42, lam: float = 1.0, max_weight: int = 0) -> list[Level]:
-    """Levels, finest first, until one has `limit` vertices or fewer, or a level keeps `ratio` of the vertices or more."""
+def coarsen(gv: DataFrame, ge: DataFrame, limit: int, ratio: float = 0.75, max_levels: int = 128, seed: int = 42, lam: float = 1.0, max_weight: int = 0, most_edges: int = 0) -> list[Level]:
+    """Levels, finest first, until one has `limit` vertices or fewer (and most_edges directed edges, unless that is 0), or a level keeps
+    `ratio` of the vertices or more."""
     levels = [Level(gv, ge, gv.count())]
-    while levels[-1].n > limit and len(levels) <= max_levels:
+    dense = lambda x: most_edges > 0 and x.ge.limit(most_edges + 1).count() > most_edges
+    while (levels[-1].n > limit or (levels[-1].n > 1 and dense(levels[-1]))) and len(levels) <= max_levels:
         fine = levels[-1]
         scored = match_scores(fine.gv, fine.ge, lam, max_weight) if lam < 1 else weight_scores(fine.gv, fine.ge, max_weight)
         cmap = written(match(fine.gv, scored, seed + 101 * len(levels)))

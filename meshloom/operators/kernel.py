@@ -404,6 +404,11 @@ def expand(g: Graph, centres: np.ndarray) -> list[int]:
     return [p if p >= 0 else int(far[v].argmin()) for v, p in enumerate(where)]
 
 
+def grown(g: Graph, k: int, seed: int) -> list[int]:
+    """Regions grown from k-means++ seeds."""
+    return expand(g, seed_centres(g.xyz, k, np.random.default_rng(seed)))
+
+
 def kmeans(g: Graph, k: int, seed: int, iterations: int, tol: float = 1e-4, bfs: bool = True) -> tuple[list[int], float]:
     """Labels and inertia of Lloyd's iterations from grown seeds; an empty cluster keeps its centre."""
     rng = np.random.default_rng(seed)

@@ -64,6 +64,7 @@ class GeoOptions:
     passes: int = 10
     ub: float = 1.03
     volume: bool = False
+    stop_on_no_cut_gain: bool = False  # rounds end at the first that doesn't lower the cut
     connectivity: bool = True
     weight_cap: float = 1.5  # of a part's ideal weight; 0: none
     bfs_seeds: bool = True

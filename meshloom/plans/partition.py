@@ -65,9 +65,10 @@ def recursive_bisect(gv: DataFrame, ge: DataFrame, o: RecursiveOptions = Recursi
     return done
 
 
-def kmeans_partition(gv: DataFrame, ge: DataFrame, k: int, o: KMeansOptions = KMeansOptions()) -> Partitioned:
-    """k-means parts, balanced and connected. Above one task's size the seeds aren't grown by breadth, and rounds do the rest."""
-    if small.fits(gv, ge):
+def kmeans_partition(gv: DataFrame, ge: DataFrame, k: int, o: KMeansOptions = KMeansOptions(), most: int = small.MOST_VERTICES) -> Partitioned:
+    """k-means parts, balanced and connected. Above one task's size the seeds' regions are grown on a coarse graph that fits one, and
+    their centres start Lloyd's iterations over all vertices; rounds do the rest."""
+    if small.fits(gv, ge, most):
 
         def solver(g: kernel.Graph, seed: int) -> tuple[list[int], float]:
             where, inertia = kernel.kmeans(g, k, seed, o.max_iterations, o.tol, o.bfs_seeds)
@@ -78,7 +79,14 @@ def kmeans_partition(gv: DataFrame, ge: DataFrame, k: int, o: KMeansOptions = KM
 
         part, inertia = small.solve(gv, ge, solver, [o.seed], k, o.ub)
         return _done(gv, ge, part, k, o.ub, inertia=inertia)
-    run = kmeans.kmeans(gv, k, o.seed, o.max_iterations, o.tol)
+    start = None
+    if o.bfs_seeds:
+        levels = _coarse(gv, ge, k, most, 0.95, 128, o.seed, 0.5, 0)
+        part, _ = _solved(levels[-1], lambda g, seed: (kernel.grown(g, k, seed), 0.0), [o.seed], k, o.ub)
+        for fine in reversed(levels[:-1]):
+            part = written(co.project(fine.cmap, part))
+        start = [(r["part"], r["cx"], r["cy"], r["cz"]) for r in kmeans.centroids(gv, part, k).collect()]  # k rows
+    run = kmeans.kmeans(gv, k, o.seed, o.max_iterations, o.tol, start)
     part = (refine.balance if o.topo_balance else refine.geometric_balance)(gv, ge, run.part, k, o.ub).part
     if o.connectivity:
         part = repair.enforce_connectivity(gv, ge, part, k, o.ub).part
@@ -91,9 +99,9 @@ def kway_partition(gv: DataFrame, ge: DataFrame, o: KwayOptions = KwayOptions(),
         return _done(gv, ge, gv.select("v", F.lit(0).alias("part")), 1, o.ub)
 
     def solver(g: kernel.Graph, seed: int) -> tuple[list[int], float]:
-        return kernel.multilevel(g, o.k, seed, o.ub, o.passes, init="rb", coarse_limit=o.coarse_limit, ratio=o.ratio, trials=o.init_trials, volume=o.objective == "volume")
+        return kernel.multilevel(g, o.k, seed, o.ub, o.passes, init="rb", coarse_limit=o.coarse_limit, ratio=o.ratio, trials=1, volume=o.objective == "volume")
 
-    return _multilevel(gv, ge, o.k, o.ub, most, solver, [o.seed], o.seed, o.passes, mode=o.objective, ratio=o.ratio, max_levels=o.max_levels)
+    return _multilevel(gv, ge, o.k, o.ub, most, solver, _trials(o), o.seed, o.passes, mode=o.objective, ratio=o.ratio, max_levels=o.max_levels)
 
 
 def geo_kway_partition(gv: DataFrame, ge: DataFrame, o: GeoOptions = GeoOptions(), most: int = small.MOST_VERTICES) -> Partitioned:
@@ -103,28 +111,46 @@ def geo_kway_partition(gv: DataFrame, ge: DataFrame, o: GeoOptions = GeoOptions(
 
     def solver(g: kernel.Graph, seed: int) -> tuple[list[int], float]:
         return kernel.multilevel(
-            g, o.k, seed, o.ub, o.passes, lam=o.lam, alpha=o.alpha, cap_factor=o.weight_cap, init=o.init, coarse_limit=o.coarse_limit, ratio=o.ratio, trials=o.init_trials,
+            g, o.k, seed, o.ub, o.passes, lam=o.lam, alpha=o.alpha, cap_factor=o.weight_cap, init=o.init, coarse_limit=o.coarse_limit, ratio=o.ratio, trials=1,
             iterations=o.kmeans_iterations, bfs=o.bfs_seeds, topo_balance=o.topo_balance, connectivity=o.connectivity, volume=o.volume, beta=o.beta,
         )
 
     total = gv.agg(F.coalesce(F.sum("vwgt"), F.lit(0))).first()[0]
     cap = int(total / o.k * o.weight_cap + 0.5)
-    return _multilevel(gv, ge, o.k, o.ub, most, solver, [o.seed], o.seed, o.passes, "volume" if o.volume else "cut", o.ratio, o.max_levels, o.lam, cap, o.alpha, o.beta, o.connectivity)
+    return _multilevel(gv, ge, o.k, o.ub, most, solver, _trials(o), o.seed, o.passes, "volume" if o.volume else "cut", o.ratio, o.max_levels, o.lam, cap, o.alpha, o.beta, o.connectivity, o.stop_on_no_cut_gain)
+
+
+def _trials(o: KwayOptions | GeoOptions) -> list[int]:
+    """A seed a trial; each trial is a task that coarsens, starts and refines by itself."""
+    return [o.seed * 1009 + t for t in range(max(1, o.init_trials))]
+
+
+def _coarse(gv: DataFrame, ge: DataFrame, k: int, most: int, ratio: float, max_levels: int, seed: int, lam: float, cap: int) -> list[co.Level]:
+    """Levels down to one that fits a task, by its vertices and by its edges."""
+    return co.coarsen(gv, ge, most, ratio, max_levels, seed, lam, cap, 0 if small.fits(gv, ge, most) else small.MOST_EDGES)
+
+
+def _solved(coarse: co.Level, solver: small.Solver, trials: list[int], k: int, ub: float) -> tuple[DataFrame, float]:
+    """The best trial over a level that fits a task. Where no matching makes a graph that small (weight caps, for one), k-means over its
+    points is the start."""
+    if small.fits(coarse.gv, coarse.ge, small.MOST_VERTICES):
+        return small.solve(coarse.gv, coarse.ge, solver, trials, k, ub)
+    run = kmeans.kmeans(coarse.gv, k, trials[0])
+    return refine.balance(coarse.gv, coarse.ge, run.part, k, ub, seed=trials[0]).part, run.inertia
 
 
 def _multilevel(
     gv: DataFrame, ge: DataFrame, k: int, ub: float, most: int, solver: small.Solver, trials: list[int], seed: int, rounds: int, mode: str = "cut", ratio: float = 0.75, max_levels: int = 128,
-    lam: float = 1.0, cap: int = 0, alpha: float = 1.0, beta: float | None = None, connectivity: bool = False,
+    lam: float = 1.0, cap: int = 0, alpha: float = 1.0, beta: float | None = None, connectivity: bool = False, stop: bool = False,
 ) -> Partitioned:
-    levels = co.coarsen(gv, ge, most, 1.0 if ratio >= 1 else max(ratio, 0.95), max_levels, seed, lam, cap)
-    coarse = levels[-1]
-    part, inertia = small.solve(coarse.gv, coarse.ge, solver, trials, k, ub)
+    levels = _coarse(gv, ge, k, most, 1.0 if ratio >= 1 else max(ratio, 0.95), max_levels, seed, lam, cap)
+    part, inertia = _solved(levels[-1], solver, trials, k, ub)
     for fine in reversed(levels[:-1]):
         part = written(co.project(fine.cmap, part))
         if not mode:
             continue
         part = refine.balance(fine.gv, fine.ge, part, k, ub, seed=seed).part
-        part = refine.refine(fine.gv, fine.ge, part, k, ub, rounds, mode, alpha, beta, seed).part
+        part = refine.refine(fine.gv, fine.ge, part, k, ub, rounds, mode, alpha, beta, seed, stop).part
     if connectivity and len(levels) > 1:
         for _ in range(3):
             fixed = repair.enforce_connectivity(gv, ge, part, k, ub * 1.10)

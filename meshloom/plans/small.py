@@ -19,8 +19,8 @@ MOST_EDGES = 2_000_000
 Solver = Callable[[Graph, int], tuple[list[int], float]]
 
 
-def fits(gv: DataFrame, ge: DataFrame) -> bool:
-    return gv.limit(MOST_VERTICES + 1).count() <= MOST_VERTICES and ge.limit(MOST_EDGES + 1).count() <= MOST_EDGES
+def fits(gv: DataFrame, ge: DataFrame, most: int = MOST_VERTICES) -> bool:
+    return gv.limit(most + 1).count() <= most and ge.limit(MOST_EDGES + 1).count() <= MOST_EDGES
 
 
 def graph_of(rows: pd.DataFrame) -> tuple[Graph, np.ndarray]:
