@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meshloom.operators.dual import prefix_sums
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """df with n, the place of each row in the order of a unique key, from 0."""
+    return prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), key, "_one", "n").drop("_one")
+
+
 def order_elements(spark: SparkSession, sf_dir: str, n: int, geom_type: int) -> DataFrame:
     """elements: an order with exactly n distinct suppliers, its suppliers as vertices."""
     orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("verts"))
@@ -57,7 +64,7 @@ def chain(gv: DataFrame) -> DataFrame:
 
 
 def event_chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """gv, ge, part: a user's events as a path; breaks where the type is `error` or the id is a multiple of 17; part: id modulo 2."""
+    """gv, ge, part: a user's events as a path that breaks behind ids that are multiples of 17; part: the user modulo 3."""
     e = table(spark, sf_dir, "events")
     nxt = F.lead("event_id").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     step = e.withColumn("b", nxt).where("b is not null").where(F.col("event_id") % 17 != 0).select(F.col("event_id").alias("a"), "b")

@@ -16,6 +16,7 @@ FACES = {
     (2, 3): ((0, 1), (1, 2), (2, 0)),
     (2, 4): ((0, 1), (1, 2), (2, 3), (3, 0)),
     (3, 4): ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)),
+    (3, 5): ((0, 1, 2, 3), (0, 1, 4), (1, 2, 4), (2, 3, 4), (3, 0, 4)),
     (3, 6): ((0, 1, 2), (3, 4, 5), (0, 1, 4, 3), (1, 2, 5, 4), (2, 0, 3, 5)),
     (3, 8): ((0, 1, 2, 3), (4, 5, 6, 7), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7)),
 }

@@ -12,14 +12,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshloom.functions.geometry import FACES, GMSH_DIMENSION, local_parts
+from meshloom.shared import written
+
+#: Rows that one window of prefix_sums sees, about.
+RANGE_ROWS = 50_000
 
 
 def faces(elements: DataFrame, dim: int) -> DataFrame:
     """(elem_id, face): each local face as its sorted vertices. By dimension and number of vertices, not by geometry code.
 
-    Other numbers of vertices, or other dimensions than 2 and 3, give no face. A prism's faces are an extension.
+    Elements with fewer vertices than the dimension's simplex, those of lower dimension, have no face. Any other number of vertices is an
+    error. Faces of prisms and pyramids are an extension.
     """
-    found = F.array().cast("array<array<bigint>>")
+    wrong = F.raise_error(F.concat(F.lit(f"no faces of an element of dimension {dim} with this number of vertices: "), F.size("verts").cast("string")))
+    found = F.when(F.size("verts") <= dim, F.array().cast("array<array<bigint>>")).otherwise(wrong.cast("array<array<bigint>>"))
     for (d, n), table in FACES.items():
         if d == dim:
             found = F.when(F.size("verts") == n, local_parts(F.col("verts"), table)).otherwise(found)
@@ -66,6 +72,13 @@ def supported(elements: DataFrame) -> DataFrame:
     return elements
 
 
+def supported_gmsh(elements: DataFrame) -> DataFrame:
+    """elements (gmsh_type), unless one has a type that no dual graph is made for: then an error."""
+    if elements.where(~F.col("gmsh_type").isin(2, 3, 4, 5, 6, 7)).limit(1).count():
+        raise ValueError("unsupported element type: only triangles, squares, tetrahedra, cubes, prisms and pyramids have a dual graph")
+    return elements
+
+
 def highest_dimension(elements: DataFrame) -> DataFrame:
     """The elements of the highest dimension that the table of Gmsh elements (elem_id, gmsh_type, verts) has."""
     kind = F.create_map(*[F.lit(x) for kv in GMSH_DIMENSION.items() for x in kv])
@@ -97,13 +110,15 @@ def csr(gv: DataFrame, ge: DataFrame) -> DataFrame:
 def prefix_sums(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """df with the sum of `value` over all rows before this one in the order of a unique key.
 
-    Rows are cut into ranges of the key by approximate quantiles, so that no window sees all rows.
+    Rows are written and cut into ranges of about RANGE_ROWS by approximate quantiles of the key, so that no window sees all rows.
     """
-    bounds = F.percentile_approx(order, F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(10_000))
+    df = written(df)
+    parts = max(2, -(-df.count() // RANGE_ROWS))
+    bounds = F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000))
     cut = df.agg(bounds.alias("_b"))
     ranged = df.crossJoin(F.broadcast(cut)).withColumn("_r", F.size(F.filter("_b", lambda b: b < F.col(order)))).drop("_b")
     sums = ranged.groupBy("_r").agg(F.sum(value).alias("_s"))
-    starts = sums.select("_r", F.coalesce(F.sum("_s").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # 64 rows
+    starts = sums.select("_r", F.coalesce(F.sum("_s").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # a row a range
     inside = F.coalesce(F.sum(value).over(W.partitionBy("_r").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return ranged.withColumn("_in", inside).join(F.broadcast(starts), "_r").withColumn(name, (F.col("_start") + F.col("_in")).cast("long")).drop("_r", "_in", "_start")
 

@@ -13,7 +13,10 @@ from meshloom.operators import dual, fem, kmeans, metrics, refine, repair
 from meshloom.plans import options
 from meshloom.plans import partition as plans
 from meshloom.registry import query
-from meshloom.shared import written
+from meshloom.shared import own_path, written
+from meshloom.sources.mesh_text import Mesh, read_mesh, write_mesh
+from meshloom.sources.msh41 import read_msh, write_msh
+from meshloom.sources.part_file import read_parts, write_parts
 
 K, UB = 4, 1.03
 
@@ -29,7 +32,10 @@ def _faces(n: int, table: tuple[tuple[int, ...], ...]) -> str:
     return f"e as ({_orders(n)}), f as (select elem_id, unnest([{parts}]) face from e)"
 
 
-_TRI, _QUAD, _TET = dual.FACES[2, 3], dual.FACES[2, 4], dual.FACES[3, 4]
+# Fixed values, stated apart from the operators' own: the edges of a triangle and of a square, the faces of a tetrahedron.
+_TRI = ((0, 1), (0, 2), (1, 2))
+_QUAD = ((0, 1), (0, 3), (1, 2), (2, 3))
+_TET = ((1, 2, 3), (0, 2, 3), (0, 1, 3), (0, 1, 2))
 _OWNED = "o as (select elem_id, face, min(elem_id) over (partition by face) as owner from f)"
 _PAIRS = "p as (select elem_id, owner, count(*) n from o where elem_id <> owner group by 1, 2), de as (select elem_id src, owner dst, n w from p union all select owner, elem_id, n from p)"
 _DUAL = f"{_faces(3, _TRI)}, {_OWNED}, {_PAIRS}"
@@ -154,18 +160,8 @@ def csr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("v", "xadj", F.array_join("adjncy", ",").alias("adjncy"), F.array_join("adjwgt", ",").alias("adjwgt"))
 
 
-@query(
-    f"with {_SUPP}, f as (select v, vwgt, vsize, x, y, z from gv where v < 40), c as (select a.v, b.v u, case when exists(select 1 from ge where src = a.v and dst = b.v) then '1' else '0' end b from f a cross join f b) "
-    "select v, string_agg(b, ' ' order by u) as cells from c group by v"
-)
+@query(f"with {_SUPP}, c as (select a.v, b.v u, case when g.src is null then '0' else '1' end b from gv a cross join gv b left join ge g on g.src = a.v and g.dst = b.v) select v, string_agg(b, ' ' order by u) as cells from c group by v")
 def dense_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the induced subgraph on the suppliers below 40: a dense print is for few vertices."""
-    gv, ge = fx.supplier_graph(spark, sf_dir)
-    return dual.dense_rows(*dual.induced(gv, ge, gv.where("v < 40")))
-
-
-@query()
-def dense_adjacency_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all suppliers: the whole matrix."""
     return dual.dense_rows(*fx.supplier_graph(spark, sf_dir))
 
@@ -276,7 +272,7 @@ def _embedding(f):  # noqa: ANN001, ANN202
 
 
 query(f"with {_EMB} select part, {_r('cx', 'cy', 'cz')}, w from cent", name="centroids")(_embedding(lambda gv, ge, part, cent: _rounded(cent, "cx", "cy", "cz")))
-query(f"with {_EMB}, {_NEAR} select v, part, {_r('d2')} from near", name="nearest_centroid")(_embedding(lambda gv, ge, part, cent: _rounded(kmeans.nearest(gv, cent), "d2")))
+query(f"with {_EMB}, {_NEAR} select v, part, {_r('d2')} from near", name="nearest_centroid")(_embedding(lambda gv, ge, part, cent: _rounded(kmeans.nearest(gv, cent).select("v", "part", "d2"), "d2")))
 _STEP = (
     f"{_NEAR}, g as (select near.part, sum(vwgt * x) / sum(vwgt) nx, sum(vwgt * y) / sum(vwgt) ny, sum(vwgt * z) / sum(vwgt) nz, sum(vwgt)::bigint nw, sum(d2) i from near join ev using (v) group by 1), "
     "st as (select cent.part, coalesce(nx, cx)::double cx, coalesce(ny, cy)::double cy, coalesce(nz, cz)::double cz, coalesce(nw, 0)::bigint w, coalesce(i, 0.0)::double inertia from cent left join g using (part))"
@@ -398,7 +394,9 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = fem.round_robin(e, K).select("elem_id", F.col("rank").alias("part"))
     return _rounded(fem.line_segments(e, fx.supplier_vertices(spark, sf_dir), part), "x0", "x1")
 
-# --- whole algorithms: rows only; tests hold them to their invariants ------------------------------------
+# --- whole algorithms --------------------------------------------------------------------------------------
+# Their partitions are heuristic, so each query runs the algorithm and states facts about what it gave: numbers that SQL works out
+# from the tables (vertices, weight, the start's cut), and what must hold whatever the choices.
 
 
 def _triangles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -408,127 +406,236 @@ def _triangles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return written(gv), written(ge)
 
 
-def _box(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _box(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """The dual graph of 9,600 tetrahedra in a flat box."""
     elements, vertices = fx.grid(spark, "tet", 20, 20, 4)
     gv, ge = dual.element_graph(elements, vertices, 3)
     return written(gv), written(ge)
 
 
-@query()
+def _row(spark: SparkSession, **values) -> DataFrame:  # noqa: ANN003
+    kinds = {bool: "boolean", int: "long", float: "double"}
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in values.items()))
+
+
+def _facts(gv: DataFrame, ge: DataFrame, part: DataFrame, k: int, ub: float) -> dict:
+    """What holds of a partition. balanced: no part is above ub times the ideal by more than the heaviest vertex."""
+    of = part.join(gv, "v")
+    sums = of.agg(F.count("*").alias("n"), F.countDistinct("v").alias("vertices"), F.min("part").alias("low"), F.max("part").alias("high"), F.sum("vwgt").alias("weight"), F.max("vwgt").alias("top")).first()
+    heaviest = max(r["w"] for r in metrics.part_weights(gv, part, k).collect())
+    return {"n": sums["n"], "vertices": sums["vertices"], "weight": sums["weight"], "in_range": sums["low"] >= 0 and sums["high"] < k, "balanced": heaviest <= ub * sums["weight"] / k + sums["top"]}
+
+
+_COVER = "n, n as vertices, n as weight, true as in_range, true as balanced"
+_CUT_DEALT = "(select (coalesce(sum(w), 0) // 2)::bigint from de where src % {k} <> dst % {k})"
+
+
+def _partition_query(name: str, run, k: int, ub: float) -> None:  # noqa: ANN001
+    """A partitioner over the triangles, against elements dealt round robin."""
+
+    def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        gv, ge = _triangles(spark, sf_dir)
+        part = written(run(gv, ge))
+        dealt = metrics.edge_cut(ge, gv.select("v", F.pmod("v", F.lit(k)).cast("int").alias("part"))).first()["cut"]
+        cut = metrics.edge_cut(ge, part).first()["cut"]
+        return _row(spark, **_facts(gv, ge, part, k, ub), dealt_cut=dealt, below_dealt=cut < dealt)
+
+    query(f"with {_DUAL}, c as (select count(*) n from e) select {_COVER}, {_CUT_DEALT.format(k=k)} as dealt_cut, true as below_dealt from c", name=name)(facts)
+
+
+_partition_query("bisect", lambda gv, ge: plans.bisect(gv, ge).part, 2, 1.03)
+_partition_query("recursive_bisect", lambda gv, ge: plans.recursive_bisect(gv, ge, options.RecursiveOptions(k=6, post_refine="both")).part, 6, 1.10)
+_partition_query("kway_partition", lambda gv, ge: plans.kway_partition(gv, ge, options.KwayOptions(k=8)).part, 8, 1.03)
+_partition_query("kway_volume_partition", lambda gv, ge: plans.kway_partition(gv, ge, options.KwayOptions(k=8, objective="volume")).part, 8, 1.03)
+_partition_query("geo_kway_partition", lambda gv, ge: plans.geo_kway_partition(gv, ge, options.GeoOptions(k=8)).part, 8, 1.10)
+
+
+@query(f"with {_DUAL}, c as (select count(*) n from e) select n, n as vertices, n as weight, true as pairs, true as along_edges, true as maximal from c")
 def matching_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matching of all triangles: each is in a pair or alone, pairs are edges, and no edge has both ends alone."""
     gv, ge = _triangles(spark, sf_dir)
-    return co.match(gv, co.weight_scores(gv, ge), 42)
+    cmap = written(co.match(gv, co.weight_scores(gv, ge), 42, 64))
+    size = written(cmap.groupBy("cv").agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b")))
+    alone = size.where("c = 1").select(F.col("a").alias("v"))
+    pairs = size.where("c = 2").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    free = ge.join(alone.toDF("src"), "src", "left_semi").join(alone.toDF("dst"), "dst", "left_semi")
+    weight = co.contract_vertices(gv, cmap).agg(F.sum("vwgt")).first()[0]
+    return _row(spark, n=cmap.count(), vertices=cmap.join(gv, "v").select("v").distinct().count(), weight=weight, pairs=size.where("c > 2").isEmpty(), along_edges=pairs.join(ge, ["src", "dst"], "left_anti").isEmpty(), maximal=free.isEmpty())
 
 
-@query()
+@query(f"with {_DUAL}, c as (select count(*) n from e) select n, n as least_weight, n as most_weight, true as falling, true as edges_kept from c")
 def coarsen_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(level, n) of a coarsening by weights and distances."""
-    levels = co.coarsen(*_triangles(spark, sf_dir), limit=400, lam=0.5, max_weight=60, ratio=0.95)
-    return spark.createDataFrame([(i, x.n) for i, x in enumerate(levels)], "level int, n long")
+    """A coarsening by weights and distances: every level weighs the same, has fewer vertices, and loses the weight of the edges inside."""
+    gv, ge = _triangles(spark, sf_dir)
+    levels = co.coarsen(gv, ge, limit=gv.count() // 4, lam=0.5, max_weight=60, ratio=0.95)
+    weights = [x.gv.agg(F.sum("vwgt")).first()[0] for x in levels]
+    kept = []
+    for fine, coarse in zip(levels, levels[1:]):
+        inner = metrics.labelled_edges(fine.ge, fine.cmap.toDF("v", "part")).where("p_src = p_dst").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+        total, left = (x.ge.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0] for x in (fine, coarse))
+        kept.append(left == total - inner)
+    return _row(spark, n=levels[0].n, least_weight=min(weights), most_weight=max(weights), falling=all(b.n < a.n for a, b in zip(levels, levels[1:])) and len(levels) > 1, edges_kept=all(kept))
 
 
-@query()
+@query(f"with {_EMB} select 8::bigint as k, 8::bigint as distinct_seeds, true as are_points, true as spread from (select count(*) from ev)")
 def kmeans_pp_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight seeds by k-means++: different points of the table, that serve all points better than the first of them alone."""
     gv, _ = fx.embedding_points(spark, sf_dir)
-    return spark.createDataFrame(kmeans.seeds(gv, 8, 42), "part int, cx double, cy double, cz double")
+    found = kmeans.seeds(gv, 8, 42)
+    cent = spark.createDataFrame(found, "part int, cx double, cy double, cz double")
+    inside = cent.join(gv.select(F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz")).distinct(), ["cx", "cy", "cz"]).count()
+    inertia = lambda c: kmeans.nearest(gv, c).agg(F.sum("d2")).first()[0]
+    return _row(spark, k=len(found), distinct_seeds=len({x[1:] for x in found}), are_points=inside == len(found), spread=inertia(cent) < inertia(cent.where("part = 0")))
 
 
-@query()
+@query(f"with {_EMB}, c as (select count(*) n, sum(vwgt)::bigint w from ev) select n, n as vertices, w as weight, true as in_range, true as nearest, true as not_above_seeds from c")
 def kmeans_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lloyd's iterations to the end: each point is in the part of its nearest centre, and inertia isn't above that of the seeds."""
     gv, _ = fx.embedding_points(spark, sf_dir)
-    return kmeans.kmeans(gv, 8, 42).part
+    run = kmeans.kmeans(gv, 8, 42)
+    facts = _facts(gv, gv, run.part, 8, 8.0)
+    best = kmeans.nearest(gv, run.cent)
+    off = best.join(run.part.toDF("v", "mine"), "v").where("part <> mine").isEmpty()
+    seeds = spark.createDataFrame(kmeans.seeds(gv, 8, 42), "part int, cx double, cy double, cz double")
+    return _row(spark, n=facts["n"], vertices=facts["vertices"], weight=facts["weight"], in_range=facts["in_range"], nearest=off, not_above_seeds=run.inertia <= kmeans.nearest(gv, seeds).agg(F.sum("d2")).first()[0] + 1e-9)
 
 
-@query()
+@query(f"with {_EMB}, c as (select count(*) n, sum(vwgt)::bigint w from ev) select n, n as vertices, w as weight, true as in_range, 6::bigint as parts_used from c")
 def bfs_seed_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-means parts grown from seeds, balanced and connected."""
     gv, _ = fx.embedding_points(spark, sf_dir)
-    return plans.kmeans_partition(gv, fx.chain(gv), 6).part
-
+    gv, ge = written(gv), written(fx.chain(gv))
+    part = plans.kmeans_partition(gv, ge, 6).part
+    facts = _facts(gv, ge, part, 6, 6.0)
+    return _row(spark, n=facts["n"], vertices=facts["vertices"], weight=facts["weight"], in_range=facts["in_range"], parts_used=part.select("part").distinct().count())
 
-@query()
-def bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.bisect(*_triangles(spark, sf_dir)).part
 
-
-@query()
-def recursive_bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.recursive_bisect(*_triangles(spark, sf_dir), options.RecursiveOptions(k=6, post_refine="both")).part
+_BY_Y = f"yy as (select elem_id v, least({K - 1}, floor(sum(s_nationkey) / 3.0 * {K} / 25))::int part from (select elem_id, unnest(verts) s from e) join supplier on s = s_suppkey group by 1)"
 
 
 def _refine_query(name: str, **more) -> None:  # noqa: ANN003
+    """From parts dealt by coordinate, whose cut or boundary volume SQL states: rounds of independent moves."""
+    volume = more.get("mode") == "volume"
+    start = (
+        "(select count(distinct src)::bigint from le where p <> q)" if volume else "(select (coalesce(sum(w), 0) // 2)::bigint from le where p <> q)"
+    )
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """From parts dealt by coordinate: a few rounds of independent moves."""
         gv, ge = _triangles(spark, sf_dir)
         part = written(gv.select("v", F.least(F.lit(K - 1), F.floor(F.col("y") * K / 25)).cast("int").alias("part")))
-        return refine.refine(gv, ge, part, K, 1.5, 4, **more).part
+        value = lambda p: metrics.boundary_volume(gv, ge, p).first()["volume"] if volume else metrics.edge_cut(ge, p).first()["cut"]
+        done = refine.refine(gv, ge, part, K, 1.5, 4, **more)
+        start, end = value(part), value(done.part)
+        facts = _facts(gv, ge, done.part, K, 1.5)
+        return _row(spark, n=facts["n"], vertices=facts["vertices"], weight=facts["weight"], in_range=facts["in_range"], start=start, not_above=end <= start, stated=end == done.objective, fell=end < start)
 
-    query(name=name)(run)
+    query(
+        f"with {_DUAL}, {_BY_Y}, le as (select src, dst, w, a.part p, b.part q from de join yy a on a.v = src join yy b on b.v = dst), c as (select count(*) n from e) "
+        f"select n, n as vertices, n as weight, true as in_range, {start} as start, true as not_above, true as stated, true as fell from c",
+        name=name,
+    )(run)
 
 
 _refine_query("refine_cut")
 _refine_query("refine_volume", mode="volume")
 _refine_query("refine_geo_cut", alpha=0.7)
 _refine_query("refine_geo_volume", alpha=0.7, mode="volume")
+_refine_query("refine_geo_cut_early_stop", alpha=0.7, stop_on_no_cut_gain=True)
 
 
-@query()
+@query(f"with {_DUAL}, c as (select count(*) n from e) select n, n as vertices, n as weight, true as in_range, true as fewer_components from c")
 def enforce_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Islands of parts dealt by parity go to a neighbour: parts have fewer components than before."""
     gv, ge = _triangles(spark, sf_dir)
     part = written(gv.select("v", (F.col("v") % 2).cast("int").alias("part")))
-    return repair.enforce_connectivity(gv, ge, part, 2).part
+    after = repair.enforce_connectivity(gv, ge, part, 2).part
+    count = lambda p: cc.component_counts(cc.part_components(gv, ge, p)).agg(F.sum("n_components")).first()[0]
+    facts = _facts(gv, ge, after, 2, 2.0)
+    return _row(spark, n=facts["n"], vertices=facts["vertices"], weight=facts["weight"], in_range=facts["in_range"], fewer_components=count(after) < count(part))
 
 
-@query()
-def post_balance_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gv, ge = _triangles(spark, sf_dir)
-    part = written(gv.select("v", F.when(F.col("y") < 8, 0).otherwise(1).alias("part")))
-    return refine.balance(gv, ge, part, 2, 1.05, 6).part
+_BY_8 = "yy as (select elem_id v, case when sum(s_nationkey) < 24 then 0 else 1 end part from (select elem_id, unnest(verts) s from e) join supplier on s = s_suppkey group by 1)"
 
 
-@query()
-def balance_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gv, ge = _triangles(spark, sf_dir)
-    part = written(gv.select("v", F.when(F.col("y") < 8, 0).otherwise(1).alias("part")))
-    return refine.geometric_balance(gv, ge, part, 2, 1.10, 6).part
-
+def _even_query(name: str, run) -> None:  # noqa: ANN001
+    """From two uneven parts, whose weights SQL states: the heavier one gets lighter."""
 
-@query()
-def kway_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.kway_partition(*_triangles(spark, sf_dir), options.KwayOptions(k=8)).part
+    def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        gv, ge = _triangles(spark, sf_dir)
+        part = written(gv.select("v", F.when(F.col("y") < 8, 0).otherwise(1).alias("part")))
+        after = run(gv, ge, part).part
+        top = lambda p: max(r["w"] for r in metrics.part_weights(gv, p, 2).collect())
+        seen, start = _facts(gv, ge, after, 2, 2.0), top(part)
+        return _row(spark, n=seen["n"], vertices=seen["vertices"], weight=seen["weight"], in_range=seen["in_range"], heaviest_before=start, lighter=top(after) < start)
 
+    query(f"with {_DUAL}, {_BY_8}, c as (select count(*) n from e) select n, n as vertices, n as weight, true as in_range, (select max(k)::bigint from (select count(*) k from yy group by part)) as heaviest_before, true as lighter from c", name=name)(facts)
 
-@query()
-def kway_volume_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.kway_partition(*_triangles(spark, sf_dir), options.KwayOptions(k=8, objective="volume")).part
 
+_even_query("post_balance_fix", lambda gv, ge, part: refine.balance(gv, ge, part, 2, 1.05, 6))
+_even_query("balance_repair", lambda gv, ge, part: refine.geometric_balance(gv, ge, part, 2, 1.10, 6))
 
-@query()
-def geo_kway_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.geo_kway_partition(*_triangles(spark, sf_dir), options.GeoOptions(k=8)).part
 
+def _box_query(name: str, run, ub: float = 1.03) -> None:  # noqa: ANN001
+    """Eight parts of the box. cut_in_reach: within a tenth of the published mean cut of 636.1."""
 
-def _ablation_query(name: str, flags: dict) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        gv, ge = _box(spark, sf_dir)
-        return _rounded(plans.geo_kway_partition(gv, ge, options.GeoOptions(k=8, **flags)).stats, "max_imb", "avg_imb")
+    def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        gv, ge = _box(spark)
+        done = run(gv, ge)
+        stats = done.stats.first()
+        seen = _facts(gv, ge, done.part, 8, ub)
+        return _row(spark, **seen, edges=ge.count() // 2, cut_in_reach=stats["cut"] <= 1.1 * 636.1, connected=stats["components"] == 8)
 
-    query(name=f"geo_kway_box_{name}")(run)
+    query("select 9600::bigint as n, 9600::bigint as vertices, 9600::bigint as weight, true as in_range, true as balanced, 18080::bigint as edges, true as cut_in_reach, true as connected", name=name)(facts)
 
 
 for _name, _flags in options.ABLATION.items():
-    _ablation_query(_name, _flags)
+    _box_query(f"geo_kway_box_{_name}", lambda gv, ge, flags=_flags: plans.geo_kway_partition(gv, ge, options.GeoOptions(k=8, **flags)))
+_box_query("kway_box", lambda gv, ge: plans.kway_partition(gv, ge, options.KwayOptions(k=8)))
+# by DataFrame rounds above 3,000 vertices: how a graph that fits no task is partitioned
+_box_query("kway_box_by_rounds", lambda gv, ge: plans.geo_kway_partition(gv, ge, options.GeoOptions(k=8), most=3000))
+
+
+# --- files -------------------------------------------------------------------------------------------------
+
+
+def _triangle_mesh(spark: SparkSession, sf_dir: str) -> Mesh:
+    """Orders of three suppliers as a mesh whose vertices are all suppliers, numbered from 0 in the order of their keys."""
+    number = fx.numbered(fx.supplier_vertices(spark, sf_dir), "vert_id")
+    named = number.select("vert_id", F.col("n").alias("i"))
+    corner = fx.order_elements(spark, sf_dir, 3, 2).select("elem_id", "attribute", "geom_type", F.posexplode("verts").alias("p", "vert_id")).join(named, "vert_id")
+    e = corner.groupBy("elem_id", "attribute", "geom_type").agg(F.sort_array(F.collect_list(F.struct("p", "i")))["i"].alias("verts"))
+    elements = fx.numbered(e, "elem_id").select(F.col("n").alias("elem_id"), "attribute", "geom_type", "verts")
+    return Mesh(2, elements, elements.limit(0), number.select(F.col("n").alias("vert_id"), "x", "y", "z"))
+
+
+_MESH = f"e as ({_orders(3)}), sn as (select s_suppkey s, row_number() over (order by s_suppkey) - 1 i, s_acctbal / 100 x, s_nationkey::double y, (s_suppkey % 7)::double z from supplier)"
+
+
+@query(
+    f"with {_MESH}, en as (select elem_id, row_number() over (order by elem_id) - 1 n, verts from e) "
+    "select n::bigint as elem_id, 1 as attribute, 2 as geom_type, (select string_agg(i::varchar, ',' order by i) from sn where s in (verts[1], verts[2], verts[3])) as verts from en"
+)
+def mesh_file_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All triangles written as a mesh text file and read again."""
+    got = read_mesh(spark, write_mesh(_triangle_mesh(spark, sf_dir), own_path(spark)))
+    return got.elements.select("elem_id", "attribute", "geom_type", F.array_join("verts", ",").alias("verts"))
+
+
+@query(f"with {_MESH} select i::bigint as vert_id, round(x, 6) as x, y, z from sn")
+def mesh_file_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers as the vertices of a mesh text file, written and read again."""
+    return _rounded(read_mesh(spark, write_mesh(_triangle_mesh(spark, sf_dir), own_path(spark))).vertices, "x")
 
 
-@query()
-def kway_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gv, ge = _box(spark, sf_dir)
-    return _rounded(plans.kway_partition(gv, ge, options.KwayOptions(k=8)).stats, "max_imb", "avg_imb")
+@query("select row_number() over (order by vec_id) - 1 as v, label::int as part from embeddings")
+def part_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of all vectors as a partition file, written and read again."""
+    _, part = fx.embedding_points(spark, sf_dir)
+    return read_parts(spark, write_parts(part, 10, own_path(spark)))
 
 
-@query()
-def kway_box_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by DataFrame rounds above 3,000 vertices: how a graph that fits no task is partitioned."""
-    gv, ge = _box(spark, sf_dir)
-    return _rounded(plans.geo_kway_partition(gv, ge, options.GeoOptions(k=8), most=3000).stats, "max_imb", "avg_imb")
+@query(f"with {_MESH}, {_faces(3, _TRI)[_faces(3, _TRI).index('f as'):]}, {_OWNED}, {_PAIRS}, en as (select elem_id, row_number() over (order by elem_id) n from e) select a.n::bigint as src, b.n::bigint as dst, w::bigint as w from de join en a on a.elem_id = src join en b on b.elem_id = dst")
+def msh_dual_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All triangles written as an ASCII MSH file, read again, and their dual graph by element tags, which count from 1."""
+    mesh = read_msh(spark, write_msh(_triangle_mesh(spark, sf_dir), own_path(spark)))
+    return dual.dual_edges(dual.supported_gmsh(mesh.elements), 2)

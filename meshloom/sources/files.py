@@ -1,0 +1,32 @@
+"""One file, written by the driver piece by piece, on any file system that Spark can reach."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import SparkSession
+
+#: Bytes that are handed to the file system at once.
+PIECE_BYTES = 1 << 20
+
+
+@contextmanager
+def file_of(spark: SparkSession, path: str) -> Iterator[Callable[[bytes], None]]:
+    """A function that appends bytes to a new file; a path without a scheme is one of the session's default file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    waiting = bytearray()
+
+    def put(data: bytes) -> None:
+        waiting.extend(data)
+        if len(waiting) >= PIECE_BYTES:
+            out.write(bytes(waiting))
+            waiting.clear()
+
+    try:
+        yield put
+        if waiting:
+            out.write(bytes(waiting))
+    finally:
+        out.close()

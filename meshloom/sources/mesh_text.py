@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meshloom.functions.geometry import arity
 from meshloom.operators.dual import prefix_sums
 
+from .files import file_of
 from .lines import numbered_lines
 
 _SECTIONS = ("dimension", "elements", "boundary", "vertices", "nodes")
@@ -100,14 +101,16 @@ def _nodes(spark: SparkSession, lines: DataFrame, starts: dict, ends: dict, coun
     return rows.groupBy("vert_id").agg(*[F.coalesce(F.max(F.when(F.col("d") == d, F.col("value"))), F.lit(0.0)).alias(x) for d, x in enumerate("xyz")])
 
 
-def write_mesh(mesh: Mesh, path: str) -> None:
-    """The mesh as one text file on the driver's disk, streamed partition by partition; for tools that read such files."""
-    with open(path, "w") as out:
-        out.write(f"mesh v1.0\n\ndimension\n{mesh.dimension}\n")
+def write_mesh(mesh: Mesh, path: str) -> str:
+    """The mesh as one text file, streamed partition by partition; for tools that read such files. Returns the path."""
+    with file_of(mesh.elements.sparkSession, path) as put:
+        line = lambda *words: put((" ".join(map(str, words)) + "\n").encode())
+        put(f"mesh v1.0\n\ndimension\n{mesh.dimension}\n".encode())
         for name, table in (("elements", mesh.elements), ("boundary", mesh.boundary)):
-            out.write(f"\n{name}\n{table.count()}\n")
+            put(f"\n{name}\n{table.count()}\n".encode())
             for r in table.orderBy("elem_id").toLocalIterator():
-                out.write(" ".join(map(str, (r["attribute"], r["geom_type"], *r["verts"]))) + "\n")
-        out.write(f"\nvertices\n{mesh.vertices.count()}\n3\n")
+                line(r["attribute"], r["geom_type"], *r["verts"])
+        put(f"\nvertices\n{mesh.vertices.count()}\n3\n".encode())
         for r in mesh.vertices.orderBy("vert_id").toLocalIterator():
-            out.write(f"{r['x']!r} {r['y']!r} {r['z']!r}\n")
+            line(repr(r["x"]), repr(r["y"]), repr(r["z"]))
+    return path

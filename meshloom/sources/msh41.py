@@ -13,7 +13,9 @@ from meshloom.functions.geometry import GMSH_ARITY
 from meshloom.operators.dual import highest_dimension
 from meshloom.shared import written
 
+from .files import file_of
 from .lines import numbered_lines
+from .mesh_text import Mesh
 
 
 @dataclass(frozen=True)
@@ -76,5 +78,38 @@ def read_msh(spark: SparkSession, path: str) -> GmshMesh:
     return GmshMesh(highest_dimension(elements), vertices, parsed.where("kind = 2").select("tag", F.col("type").alias("dimension"), "name"))
 
 
+#: Nodes of a block that is written, whose tags a reader holds.
+BLOCK_NODES = 50_000
+
+
+def write_msh(mesh: Mesh, path: str) -> str:
+    """The mesh as an ASCII MSH 4.1 file, tags counted from 1, streamed partition by partition; returns the path.
+
+    Nodes lie in blocks of BLOCK_NODES, elements in a block for each type. Codes of types are those of geometries.
+    """
+    kinds = sorted((r["geom_type"], r["count"]) for r in mesh.elements.groupBy("geom_type").count().collect())  # a row a type
+    n, count = mesh.vertices.count(), sum(x for _, x in kinds)
+    with file_of(mesh.elements.sparkSession, path) as put:
+        line = lambda *words: put((" ".join(map(str, words)) + "\n").encode())
+        line("$MeshFormat\n4.1 0 8\n$EndMeshFormat\n$Nodes")
+        line(-(-n // BLOCK_NODES), n, 1, n)
+        nodes = mesh.vertices.orderBy("vert_id").toLocalIterator()
+        for start in range(0, n, BLOCK_NODES):
+            block = [next(nodes) for _ in range(min(BLOCK_NODES, n - start))]
+            line(mesh.dimension, 1, 0, len(block))
+            for r in block:
+                line(r["vert_id"] + 1)
+            for r in block:
+                line(repr(r["x"]), repr(r["y"]), repr(r["z"]))
+        line("$EndNodes\n$Elements")
+        line(len(kinds), count, 1, count)
+        for kind, size in kinds:
+            line(mesh.dimension, 1, kind, size)
+            for r in mesh.elements.where(F.col("geom_type") == kind).orderBy("elem_id").toLocalIterator():
+                line(r["elem_id"] + 1, *[v + 1 for v in r["verts"]])
+        line("$EndElements")
+    return path
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "tag", "type", "verts", "x", "y", "z", "name"])

@@ -9,18 +9,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import file_of
 
-def write_parts(part: DataFrame, k: int, path: str) -> None:
-    """One file on the driver's disk in the order of v, streamed partition by partition. Parquet is the sink for large results."""
-    with open(path, "wb") as out:
-        out.write(struct.pack("<QQ", k, part.count()))
-        block: list[int] = []
+
+def write_parts(part: DataFrame, k: int, path: str) -> str:
+    """One file in the order of v, streamed partition by partition; returns the path. Parquet is the sink for large results."""
+    with file_of(part.sparkSession, path) as put:
+        put(struct.pack("<QQ", k, part.count()))
         for row in part.orderBy("v").select("part").toLocalIterator():
-            block.append(row["part"])
-            if len(block) == 1 << 16:
-                out.write(np.array(block, "<i4").tobytes())
-                block.clear()
-        out.write(np.array(block, "<i4").tobytes())
+            put(struct.pack("<i", row["part"]))
+    return path
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
