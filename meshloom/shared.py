@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,23 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
                 _SCOPES[-1].append(path)
 
 
+def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, whose result is written, and whose own tables are deleted then. Its first argument is a DataFrame."""
+
+    @wraps(f)
+    def run(df: DataFrame, *args, **more) -> DataFrame:  # noqa: ANN002, ANN003
+        with scratch(df.sparkSession) as keep:
+            return keep(written(f(df, *args, **more)))
+
+    return run
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table of written() that df is; of no use to other frames."""
+    if path := getattr(df, "meshloom_path", None):
+        _delete(df.sparkSession, path)
+
+
 def _own_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/meshloom/{spark.sparkContext.applicationId}"
 
