@@ -4,7 +4,7 @@ Each shingle is a Poisson process whose rate is its weight; each arrival falls o
 keeps its earliest arrival. Two texts agree in a register with the probability Jaccard of their weighted shingles. All
 weights are 1, so that it is the set similarity, by which links are defined, however often a shingle is repeated. A
 document stops drawing when its next arrivals are later than the latest register. Copies are collapsed first, by a
-fingerprint of all words. Documents that agree in a band are compared exactly, by their whole shingle sets.
+fingerprint of all words: a node is a different text. Nodes that agree in a band are compared exactly, by their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Packed, mixed, text_parts, written
+from meshloom.operators.components import linked, looked_up
+
+from .common import LOWER, Packed, mixed, text_parts, tidied, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -27,8 +29,14 @@ BAND = 5
 FILTER_BITS = 1 << 25
 #: Documents of a band that are compared in one group.
 BLOCK = 512
-#: Texts of more than this part of all rows are looked up without a shuffle.
+#: Bands of more than this part of all rows are looked up without a shuffle; there are under 32 times as many.
 HOT = 1000
+#: Rows of one leader that a task compares with it.
+SALT_ROWS = 512
+#: Rounds in which bands of many texts in several classes are compared with a new leader, before all their pairs are.
+LEADER_ROUNDS = 4
+#: Up to so many ids of dropped rows are broadcast; beyond, they are joined.
+MOST_BROADCAST_IDS = 1_000_000
 _U = np.uint64
 
 
@@ -75,39 +83,50 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(1, len(both) - common)
 
 
+def _prints(p: Packed, texts: int) -> list[np.ndarray]:
+    """Two 64-bit numbers of each text's words in their order."""
+    word, of = p.word_hashes(), p.word_docs()
+    place = (np.arange(len(word)) - p.first[of]).astype(np.uint64)
+    prints = [np.zeros(texts, np.uint64) for _ in range(2)]
+    for j, x in enumerate(prints):
+        np.add.at(x, of, mixed(word * _U(2 * j + 1) + mixed(place + _U(j << 40))))
+    return prints
+
+
+def _rows(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def _sketched(documents: DataFrame, words: int, registers: int, band: int) -> DataFrame:
-    """A row a document with words: doc_id, a 128-bit fingerprint of its words (f1, f2), and bands."""
+    """A row a document: doc_id, a 128-bit fingerprint of its words (f1, f2), and bands; without an id or words only doc_id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for a, b, texts in text_parts(batch.column(1)):
+            named = ids.is_valid().to_numpy(zero_copy_only=False)
+            for a, b, raw in text_parts(batch.column(1)):
+                texts = [t if ok else b"" for t, ok in zip(raw, named[a:b], strict=True)]
                 p = Packed(texts, LOWER)
-                word = p.word_hashes()
-                of = p.word_docs()
-                place = np.arange(len(word)) - p.first[of]
-                prints = [np.zeros(b - a, np.uint64) for _ in range(2)]
-                for j, x in enumerate(prints):
-                    np.add.at(x, of, mixed(word * _U(2 * j + 1) + mixed(place.astype(np.uint64) + _U(j << 40))))
                 docs, elements, weights = weighted(*p.shingles(words))
                 band_hashes = bands(sketches(docs, elements, weights, b - a, registers), band).view(np.int64)
-                some = np.flatnonzero(np.diff(p.first))
+                some = np.diff(p.first) > 0
                 flat, m = band_hashes[some].ravel(), band_hashes.shape[1]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * m), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(some)), pa.array(prints[0][some].view(np.int64)), pa.array(prints[1][some].view(np.int64)), lists], names=["doc_id", "f1", "f2", "bands"])
+                ends = np.concatenate([[0], np.cumsum(some) * m]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                prints = [pa.array(x.view(np.int64), mask=~some) for x in _prints(p, b - a)]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *prints, lists], names=["doc_id", "f1", "f2", "bands"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id long, f1 long, f2 long, bands array<long>")
+    return _rows(documents).mapInArrow(run, "doc_id long, f1 long, f2 long, bands array<long>")
 
 
-def _shingles_of(documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id and the sorted 32-bit hashes of the distinct shingles, of the documents `ids` and a few others, written.
+def _shingles_of(documents: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node and the sorted 32-bit hashes of the distinct shingles of `nodes` (node, exact_id, f1, f2), written.
 
-    A bitmap of FILTER_BITS, gathered by words of 64 bits, tells which documents to take; the more ids there are, the more
+    A bitmap of FILTER_BITS, gathered by words of 64 bits, tells which documents to take; the more nodes there are, the more
     others pass, which costs their work but changes no result.
     """
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bits = ids.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("m"))
+    place = F.pmod(F.xxhash64("exact_id"), F.lit(FILTER_BITS))
+    bits = nodes.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("m"))
     found = bits.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
     bitmap = np.zeros(FILTER_BITS >> 6, np.int64)
     bitmap[found["w"].to_numpy()] = found["m"].to_numpy()
@@ -115,33 +134,29 @@ def _shingles_of(documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            taken = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1) == 1))
-            for a, b, texts in text_parts(taken.column(1)):
+            at = batch.column(1).to_numpy()
+            taken = batch.column(0).filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1) == 1))
+            for a, b, texts in text_parts(taken):
                 p = Packed(texts, LOWER)
                 docs, hashes = p.shingles(words)
                 # 32 bits of a shingle are enough to compare two documents
                 key = np.unique((docs.astype(np.uint64) << _U(32)) | (hashes >> _U(32)))
                 cut = np.searchsorted(key >> _U(32), np.arange(b - a + 1).astype(np.uint64))
                 small = (key & _U(0xFFFFFFFF)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([taken.column(0).slice(a, b - a), pa.array([small[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
+                sets = pa.array([small[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in _prints(p, b - a)], sets], names=["f1", "f2", "shingles"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    rows = _rows(documents).where("doc_id is not null and text is not null")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    return written(rows.withColumn("at", place).mapInArrow(run, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
-
-
-def _with_exact_id(rows: DataFrame, copies: DataFrame) -> DataFrame:
-    """(doc_id, exact_id): rows of texts that have more than a HOT-th of all rows get it by a broadcast of those texts, of which
-    there are under HOT; the others by a join, in which no text has many rows."""
-    hot = F.broadcast(copies.where(F.col("n") > max(1, rows.count() // HOT)).select("f1", "f2", "exact_id"))
-    looked = rows.join(hot, ["f1", "f2"], "left")
-    cold = looked.where("exact_id is null").select("doc_id", "f1", "f2").join(copies.select("f1", "f2", "exact_id"), ["f1", "f2"])
-    return looked.where("exact_id is not null").select("doc_id", "exact_id").unionByName(cold.select("doc_id", "exact_id"))
+    sets = rows.select("text", place.alias("at")).mapInArrow(run, "f1 long, f2 long, shingles binary").dropDuplicates(["f1", "f2"])
+    return written(sets.join(nodes.select("node", "f1", "f2"), ["f1", "f2"]).select("node", "shingles"))
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of `least` or more."""
+    """The pairs (a, b), written, whose shingle sets have a Jaccard similarity of `least` or more; no b has two a.
+
+    An a of many pairs has its shingles copied for each SALT_ROWS of them, so that they are compared in many tasks.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,44 +164,39 @@ def _verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
             ok = [min(len(x), len(y)) >= least * max(len(x), len(y)) and jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least - 1e-9 for x, y in zip(left, right, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    sized = shingles.select("doc_id", "shingles")
-    both = pairs.join(sized.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sized.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("copies"))
+    of_a = shingles.toDF("a", "sa").join(copies, "a")
+    of_a = of_a.select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    salted = looked_up(pairs, "a", copies).select("a", "b", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("salt"))
+    both = salted.join(shingles.toDF("b", "sb"), "b").join(of_a, ["a", "salt"])
+    return written(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each connected component, for the nodes of `edges` (a, b).
+def _labelled(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """(h, node, n, label), written, of the bands whose nodes are of several classes."""
+    known = written(shared.select("h", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    several = known.groupBy("h").agg((F.min("label") < F.max("label")).alias("several")).where("several")
+    return written(looked_up(known, "h", several).where("several").drop("several"))
 
-    Labels fall to the least of the neighbours' and then jump to their label's label, until none changes. `nodes` has a first
-    label for each node, no less than the component's least node.
-    """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = nodes
-    while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
-        # a label is a node: take over what it has found
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        stepped = written(lower.join(jump, "label", "left").select("node", "was", F.least("label", "to").alias("label")))
-        labels = stepped.select("node", "label")
-        if stepped.where("label <> was").limit(1).count() == 0:
-            return labels
-
-
-def _linked_in_bands(shared: DataFrame, label: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that join what the pairs of each band join, where its documents are of several classes.
+
+def _led(rows: DataFrame, salt: int) -> DataFrame:
+    """(a, b), written: of the bands (h, node, label) one that has a leader of another class than b, and its leader a."""
+    leader = rows.groupBy("h").agg(F.min(_drawn(F.col("node"), salt, "label")).alias("chief"))
+    met = looked_up(rows, "h", leader).where("chief.d <> node and chief.label <> label")
+    return written(met.groupBy(F.col("node").alias("b")).agg(F.min(F.struct(F.xxhash64("chief.d", F.lit(salt)).alias("h"), F.col("chief.d").alias("d")))["d"].alias("a")).select("a", "b"))
+
+
+def _linked_in_bands(members: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
+    """Links (a, b), written, that join what the pairs of each band join, of the bands of _labelled.
 
     All pairs of a band are compared exactly, but only links that join two classes become rows. A band of more than
-    BLOCK documents is cut into blocks, and each two blocks are a group.
+    BLOCK nodes is cut into blocks, and each two blocks are a group.
     """
-    known = label.select(F.col("node").alias("doc_id"), "label")
-    labelled = shared.select("h", "doc_id", "n").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    several = labelled.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id", "h"), blocks).cast("int")
-    members = labelled.join(several, "h").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = members.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "label").join(shingles, "doc_id")
-    dealt = rows.select("h", "i", "j", "mine", "doc_id", "label", "shingles").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    mine = F.pmod(F.xxhash64("node", "h"), blocks).cast("int")
+    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = dealt.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label").join(shingles, "node")
+    groups = rows.select("h", "i", "j", "mine", "node", "label", "shingles").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -208,12 +218,12 @@ def _linked_in_bands(shared: DataFrame, label: DataFrame, shingles: DataFrame, l
         if held:
             yield solve()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return written(groups.mapInArrow(run, "a long, b long").distinct())
 
 
 def _links_of_group(group: pa.Table, least: float) -> tuple[list[int], list[int]]:
-    """A forest of links between classes: of documents of one block, or across two."""
-    docs, labels, mine = (group[c].to_numpy() for c in ("doc_id", "label", "mine"))
+    """A forest of links between classes: of nodes of one block, or across two."""
+    docs, labels, mine = (group[c].to_numpy() for c in ("node", "label", "mine"))
     across = group["i"][0].as_py() != group["j"][0].as_py()
     sets = [np.frombuffer(x, np.uint32) for x in group["shingles"].to_pylist()]
     size = np.array([len(x) for x in sets])
@@ -253,64 +263,91 @@ def _links_of_group(group: pa.Table, least: float) -> tuple[list[int], list[int]
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label), written, after links join classes; nodes that are no row of label are classes of their own."""
-    of_a, of_b = (label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    named = written(links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct())
-    merged = components(_ends(named).withColumn("label", F.col("node")), named)
-    moved = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
-    old = label.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return written(old.unionByName(merged.join(label, "node", "left_anti").select("node", "label")))
-
-
-def _ends(links: DataFrame) -> DataFrame:
-    return links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-
-
-def _drawn(doc: Column, salt: int) -> Column:
-    return F.struct(F.xxhash64(doc, F.lit(salt)).alias("h"), doc.alias("d"))
-
-
+    return _classed(links.select("a", "b").unionByName(label.toDF("a", "b")))
+
+
+def _classed(links: DataFrame) -> DataFrame:
+    return linked(links).toDF("node", "label")
+
+
+def _drawn(node: Column, salt: int, *more: str) -> Column:
+    return F.struct(F.xxhash64(node, F.lit(salt)).alias("h"), node.alias("d"), *more)
+
+
+def _grouped(documents: DataFrame, copies: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, label), written, of the nodes that a link or a label names; `copies` has a row a node with its bands."""
+    node = F.col("node")
+    bucket = copies.select("node", F.explode("bands").alias("h"))
+    leader = bucket.groupBy("h").agg(F.min(_drawn(node, 0))["d"].alias("leader"), F.count("*").alias("n"), F.bit_xor(F.xxhash64(node, F.lit(1))).alias("x"), F.sum(F.xxhash64(node, F.lit(2)).bitwiseAND(0xFFFFFFFF)).alias("s"))
+    # bands of the same nodes are one
+    leader = written(leader.where("n > 1").groupBy("n", "x", "s", "leader").agg(F.min("h").alias("h")).select("h", "leader", "n"))
+    hot = F.broadcast(leader.where(F.col("n") > max(HOT, copies.count() // HOT)))
+    first = bucket.join(hot, "h", "left")
+    shared = written(first.where("leader is not null").unionByName(first.where("leader is null").select("node", "h").join(leader, "h"), allowMissingColumns=True).select("h", "node", "leader", "n"))
+    met = written(shared.where("leader <> node").groupBy(node.alias("b")).agg(F.min(_drawn(F.col("leader"), 0))["d"].alias("a")).select("a", "b"))
+    near = written(copies.select("node", "exact_id", "f1", "f2").join(shared.select("node").distinct(), "node", "left_semi"))
+    shingles = _shingles_of(documents, near, words)
+    label = _classed(_verified(met, shingles, similarity))
+    open_bands = _labelled(shared, label)
+    for salt in range(1, LEADER_ROUNDS + 1):
+        many = open_bands.where(F.col("n") > BLOCK)
+        if many.isEmpty():
+            break
+        links = _verified(_led(many, salt), shingles, similarity)
+        if links.isEmpty():
+            break
+        label = _joined(label, links)
+        open_bands = _labelled(open_bands, label)
+    return _joined(label, _linked_in_bands(open_bands, shingles, similarity))
+
+
+@tidied
 def classes(documents: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, registers: int = REGISTERS, band: int = BAND) -> DataFrame:
     """doc_id, class_id, exact_id for every row: class_id is the least doc_id of a class of near-duplicates.
 
-    A class is a connected component of the links between documents whose sets of `words`-word shingles have a Jaccard
+    A class is a connected component of the links between texts whose sets of `words`-word shingles have a Jaccard
     similarity of `similarity` or more; words are runs of letters and digits without regard to case A-Z. exact_id is the least
-    doc_id of the documents of the same words. A text of fewer words, but not none, is one shingle. Null text and
+    doc_id of the documents of the same words. A text of fewer words, but not none, is one shingle; very long texts are taken whole. Null text and
     text without words are like nothing: their class is their own doc_id; so is that of a null id. Repeated rows each give
-    a row. Rows of one doc_id with different texts are taken as different texts of that document. Other columns aren't read.
+    a row. Rows of one doc_id with different texts are texts of one document: they are of one class, and the exact_id is the least
+    of theirs. Empty input gives no rows. Other columns aren't read.
 
-    Each document is first compared with one leader of its bands. Where the documents of a band are then still of several
-    classes, all its pairs are compared. So two documents that share a band and are similar are always of one class.
+    Each text is first compared with one leader of its bands. Bands of very many texts that are then of several classes try other
+    leaders. Where the texts of a band are still of several classes, all its pairs are compared. So two texts that
+    share a band and are similar are always of one class.
     """
     sketched = written(_sketched(documents, words, registers, band))
-    copies = written(sketched.groupBy("f1", "f2").agg(F.min("doc_id").alias("exact_id"), F.count("*").alias("n")))
-    member = written(_with_exact_id(sketched.select("doc_id", "f1", "f2"), copies).distinct())
-    # each different text once, under its least doc_id
-    text = sketched.join(copies.select(F.col("exact_id").alias("doc_id")), "doc_id", "left_semi")
-    bucket = text.select("doc_id", F.explode("bands").alias("h"))
-    doc = F.col("doc_id")
-    leader = bucket.groupBy("h").agg(F.min(_drawn(doc, 0))["d"].alias("leader"), F.count("*").alias("n"), F.bit_xor(F.xxhash64(doc, F.lit(1))).alias("x"), F.sum(F.xxhash64(doc, F.lit(2)).bitwiseAND(0xFFFFFFFF)).alias("s"))
-    # bands of the same documents are one
-    leader = leader.where("n > 1").groupBy("n", "x", "s", "leader").agg(F.min("h").alias("h")).select("h", "leader", "n")
-    shared = written(bucket.join(leader, "h").select("h", "doc_id", "leader", "n"))
-    first = shared.where("leader <> doc_id").groupBy(doc.alias("b")).agg(F.min(_drawn(F.col("leader"), 0))["d"].alias("a")).select("a", "b")
-    shingles = _shingles_of(documents, shared.select(doc.alias("id")).distinct(), words)
-    label = documents.sparkSession.createDataFrame([], "node long, label long")
-    label = _joined(label, written(_verified(first, shingles, similarity)))
-    label = _joined(label, written(_linked_in_bands(shared, label, shingles, similarity)))
+    some = sketched.where("f1 is not null")
+    # each different text once
+    copies = written(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("exact_id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    label = _grouped(documents, copies, words, similarity)
+    member = written(looked_up(some.select("doc_id", F.struct("f1", "f2").alias("f")), "f", copies.select(F.struct("f1", "f2").alias("f"), F.struct("node", "exact_id").alias("t")), some.select(F.struct("f1", "f2").alias("f"))).select("doc_id", "t.*").distinct())
     # a document of several texts links their classes
-    of = member.join(label, member["exact_id"] == label["node"], "left").select("doc_id", "exact_id", F.coalesce("label", "exact_id").alias("class_id"))
-    one = of.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("exact_id").alias("exact_id"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.join(one, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("exact_id", "doc_id").alias("exact_id"))
+    several = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b < high").select("doc_id", "b")
+    more = written(looked_up(member, "doc_id", several).where("b is not null").select(F.col("node").alias("a"), "b"))
+    if not more.isEmpty():
+        label = _joined(label, more)
+    known = written(copies.select("node", "exact_id").join(label, "node", "left").select("node", "exact_id", F.coalesce("label", "node").alias("label")))
+    least = known.groupBy("label").agg(F.min("exact_id").alias("class_id"))
+    of_node = looked_up(known, "label", least).select("node", "class_id")
+    of = written(looked_up(member, "node", of_node).select("doc_id", "class_id", "exact_id"))
+    one = of.groupBy("doc_id").agg(F.struct(F.min("class_id").alias("class_id"), F.min("exact_id").alias("exact_id")).alias("o"))
+    return looked_up(sketched.select("doc_id"), "doc_id", one).select("doc_id", F.coalesce("o.class_id", "doc_id").alias("class_id"), F.coalesce("o.exact_id", "doc_id").alias("exact_id"))
 
 
 def drop_near_duplicates(documents: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of documents, all columns as they are, that stay: of each class the row of the least doc_id.
+    """The rows of documents, all columns as they are, that stay: of each class the rows of the least doc_id.
 
-    Rows of null id, null text or text without words stay; of rows repeated under one doc_id one stays.
+    Rows of null id stay, and so do null texts and texts without words. Of rows of one id and equal text one stays, the
+    one whose other columns come first; an id's different texts all stay. Empty input gives no rows.
     """
-    dropped = classes(documents, words, similarity).where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = documents.join(dropped, documents["doc_id"] == F.col("_gone"), "left_anti")
-    again = documents.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
-    once = left.join(again, left["doc_id"] == F.col("_again"), "left_anti")
-    return once.unionByName(left.join(again, left["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+    of = written(classes(documents, words, similarity).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")).where("class_id <> doc_id or n > 1"))
+    flagged = of.select(F.col("doc_id").alias("_near_id"), (F.col("class_id") == F.col("doc_id")).alias("_near_again"))
+    if of.count() <= MOST_BROADCAST_IDS:
+        flagged = F.broadcast(flagged)
+    rows = documents.join(flagged, documents["doc_id"] == F.col("_near_id"), "left")
+    once = rows.where("_near_id is null").select(*[documents[c] for c in documents.columns])
+    again = rows.where("_near_again").select(*[documents[c] for c in documents.columns])
+    rest = [c for c in documents.columns if c not in ("doc_id", "text")]
+    one = again.groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_near_rest")) if rest else again.distinct()
+    return once.unionByName(one.select(*[F.col(f"_near_rest.`{c}`") if c in rest else F.col(f"`{c}`") for c in documents.columns]))
