@@ -285,13 +285,17 @@ def identify_languages(documents: DataFrame, model: LanguageModel, held_mod: int
 
 
 def keep_identified(documents: DataFrame, model: LanguageModel, confident: float = CONFIDENT) -> DataFrame:
-    """The rows of documents, all columns as they are, whose language is known: not `und`, with a score of `confident` or more."""
-    shared, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index("text")
+    """The rows of documents, all columns as they are, whose language is known: not `und`, with a score of `confident` or more.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Null text, and text without a letter, goes. Repeated rows and null ids are judged by their text alone; very long texts are read whole. Only
+    the text is handed to Python, and only the decision comes back. Empty input gives no rows.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         identifier = Identifier(shared.value)
-        for batch in batches:
-            found = list(identifier.identify_all(batch.column(at)))
-            yield batch.filter(pa.array([x != "und" and s >= confident for x, s in found], pa.bool_()))
+        for column in texts:
+            yield pa.array([x != "und" and s >= confident for x, s in identifier.identify_all(column)], pa.bool_())
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.where(known(F.col("text").cast("string")))
