@@ -35,8 +35,6 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.meshloom_path = path
-    if _SCOPES:
-        _SCOPES[-1].append(path)
     return out
 
 
@@ -87,8 +85,11 @@ def _own_folder(spark: SparkSession) -> str:
 
 
 def own_path(spark: SparkSession) -> str:
-    """A new path in this application's folder."""
-    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    """A new path in this application's folder, which belongs to the innermost scratch()."""
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def _delete(spark: SparkSession, name: str) -> None:
