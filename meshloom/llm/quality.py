@@ -16,7 +16,8 @@ from .common import arrow_rows, doc_remainder, text_parts
 #: Bounds of the labelled sample that the classifier is fitted on: rows of a class, and bytes of a sampled row's whole text.
 SAMPLE_ROWS = 1500
 SAMPLE_TEXT_BYTES = 32 << 10
-DICT_BYTES = 64 << 10
+#: Bytes of a dictionary, which all sampled texts of a class share.
+DICT_BYTES = 1 << 20
 LEVEL = 6
 #: The whole text is compressed in pieces of so many bytes; in longer ones its own repeats hide what a dictionary gives.
 PIECE_BYTES = 400
@@ -55,10 +56,15 @@ def _raw(dictionary: bytes) -> zstandard.ZstdCompressionDict:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """A segment of each text, so that the dictionary isn't the text of a few documents."""
-    each = max(256, DICT_BYTES // max(1, len(texts)))
-    parts = [t[(len(t) - each) // 2 if len(t) > each else 0 :][:each] for t in texts]
-    return b"\n".join(parts)[-DICT_BYTES:].ljust(64)
+    """Of every text the same number of bytes, from its middle, or all of a shorter one: as many as fit DICT_BYTES."""
+    left, each = DICT_BYTES - len(texts), 0
+    for i, n in enumerate(sorted(map(len, texts))):
+        each = left // (len(texts) - i)
+        if n > each:
+            break
+        left, each = left - n, n
+    parts = [t[max(0, (len(t) - each) // 2) :][:each] for t in texts]
+    return b"\n".join(parts).ljust(64)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -106,7 +112,7 @@ def fit(good: list[bytes], bad: list[bytes], prior: float) -> CompressionClassif
 
 def train(documents: DataFrame, labels: DataFrame, held_mod: int = 5, held_rest: int = 0, sample_rows: int = SAMPLE_ROWS) -> CompressionClassifier:
     """Fit on a bounded sample of labelled rows, chosen by a hash of the id: at most `sample_rows` of each class,
-    none over SAMPLE_TEXT_BYTES long.
+    none over SAMPLE_TEXT_BYTES long. All that are sampled are in the dictionaries and in the calibration.
 
     Labels of ids with crc32 mod `held_mod` equal to `held_rest` are never read. Null labels, ids and texts take no part;
     an id labelled twice has the larger label. The prior comes from all training labels.
@@ -121,7 +127,7 @@ def train(documents: DataFrame, labels: DataFrame, held_mod: int = 5, held_rest:
     picked = None
     for q in (0, 1):
         rate = int(min(1.0, 1.5 * sample_rows / max(1, counts.get(q, 0))) * 1_000_000)
-        part = chosen.where((F.col("_q") == q) & (F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < rate)).limit(2 * sample_rows)
+        part = chosen.where((F.col("_q") == q) & (F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < rate)).orderBy(F.xxhash64("_id"), "_id").limit(2 * sample_rows)
         picked = part if picked is None else picked.unionByName(part)
     # picked has at most 4 * sample_rows ids, so it is broadcast; an id of several texts counts once
     rows = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_q").agg(F.min("_t").alias("_t")).orderBy(F.xxhash64("_id"), "_id").collect()
@@ -133,7 +139,8 @@ def train(documents: DataFrame, labels: DataFrame, held_mod: int = 5, held_rest:
 def score_quality(documents: DataFrame, model: CompressionClassifier, held_mod: int = 5, held_rest: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, from the whole text alone.
 
-    Null or empty text scores the prior; a null id isn't held out; repeated rows each give a row; other columns aren't read.
+    Null or empty text scores the prior; very long texts are compressed whole. A null id isn't held out; repeated rows each give a row;
+    empty input gives no rows; other columns aren't read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
