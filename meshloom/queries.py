@@ -180,6 +180,14 @@ def graph_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(dual.totals(dual.with_defaults(fx.supplier_graph(spark, sf_dir)[0])), "invtvwgt", digits=12)
 
 
+@query(f"with {_SUPP} select v, case when v % 3 = 0 then 1 else vwgt end as vwgt, case when v % 2 = 0 then 1 else vsize end as vsize from gv")
+def graph_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers, a third of them without a weight and half of them without a size."""
+    gv, _ = fx.supplier_graph(spark, sf_dir)
+    some = gv.withColumn("vwgt", F.when(F.col("v") % 3 != 0, F.col("vwgt"))).withColumn("vsize", F.when(F.col("v") % 2 != 0, F.col("vsize")))
+    return dual.with_defaults(some).select("v", "vwgt", "vsize")
+
+
 _SUB = "su as (select gv.* from gv join part using (v) where part.part = 1), se as (select ge.* from ge where src in (select v from su) and dst in (select v from su))"
 
 
@@ -463,9 +471,9 @@ def matching_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _row(spark, n=cmap.count(), vertices=cmap.join(gv, "v").select("v").distinct().count(), weight=weight, pairs=size.where("c > 2").isEmpty(), along_edges=pairs.join(ge, ["src", "dst"], "left_anti").isEmpty(), maximal=free.isEmpty())
 
 
-@query(f"with {_DUAL}, c as (select count(*) n from e) select n, n as least_weight, n as most_weight, true as falling, true as edges_kept from c")
+@query(f"with {_DUAL}, c as (select count(*) n from e) select n, n as least_weight, n as most_weight, true as falling, true as edges_kept, true as under_cap from c")
 def coarsen_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A coarsening by weights and distances: every level weighs the same, has fewer vertices, and loses the weight of the edges inside."""
+    """A coarsening by weights and distances: every level weighs the same, has fewer vertices, and loses the weight of the edges inside; no vertex weighs more than the cap of 60."""
     gv, ge = _triangles(spark, sf_dir)
     levels = co.coarsen(gv, ge, limit=gv.count() // 4, lam=0.5, max_weight=60, ratio=0.95)
     weights = [x.gv.agg(F.sum("vwgt")).first()[0] for x in levels]
@@ -474,7 +482,7 @@ def coarsen_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         inner = metrics.labelled_edges(fine.ge, fine.cmap.toDF("v", "part")).where("p_src = p_dst").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
         total, left = (x.ge.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0] for x in (fine, coarse))
         kept.append(left == total - inner)
-    return _row(spark, n=levels[0].n, least_weight=min(weights), most_weight=max(weights), falling=all(b.n < a.n for a, b in zip(levels, levels[1:])) and len(levels) > 1, edges_kept=all(kept))
+    return _row(spark, n=levels[0].n, least_weight=min(weights), most_weight=max(weights), falling=all(b.n < a.n for a, b in zip(levels, levels[1:])) and len(levels) > 1, edges_kept=all(kept), under_cap=all(x.gv.agg(F.max("vwgt")).first()[0] <= 60 for x in levels))
 
 
 @query(f"with {_EMB} select 8::bigint as k, 8::bigint as distinct_seeds, true as are_points, true as spread from (select count(*) from ev)")
