@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidied, written
 
 #: Weights of the sources in their order, over and over; the share of all sizes that the mix has; most repeats of a source.
 WEIGHTS = (3, 1, 2)
@@ -75,7 +75,8 @@ def _drawn(documents: DataFrame, weight: Column | None, seed: str) -> list[Colum
 def _placed(drawn: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
     """drawn with source_size, target, epochs, and whether the document is in the part beyond complete epochs (chosen)."""
     order = [F.asc_nulls_last("_mix_source"), F.asc("_mix_key"), F.asc("_mix_id"), F.asc("_mix_size")]
-    ranged = written(drawn.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    # written first, since ranges are cut by a pass of its own: the text is read once
+    ranged = written(written(drawn).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     parts = ranged.groupBy("_mix_source", "_part").agg(F.sum("_mix_size").alias("_words"))
     targets = source_targets(parts.groupBy(F.col("_mix_source").alias("source")).agg(F.sum("_words").alias("source_size")), weights, share, most)
     # a row for each source and range that meet: partitions plus sources
@@ -92,14 +93,15 @@ def _placed(drawn: DataFrame, weights: tuple[int, ...], share: float, most: int)
     return rows.withColumn("epochs", epochs).withColumn("chosen", middle <= F.col("target") - F.col("epochs") * F.col("source_size"))
 
 
+@tidied
 def mix_documents(documents: DataFrame, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row.
 
     taken: words that the mix takes of the document, repeats counted. A document is taken whole: as often as its source
     has complete epochs, and once more if the middle of its run of words in key order lies within the rest of the
     target, so a source ends within half a document of it. Null text has size 0, takes nothing. Null is a source of its
-    own, the last. A null id draws as the text `null` does; rows of one id follow each other, by size. Empty input gives
-    no rows. Other columns aren't read.
+    own, the last. A null id draws as the text `null` does; rows of one id follow each other, by size. Very long texts count whole.
+    Empty input gives no rows. Other columns aren't read.
     """
     rows = _placed(documents.select(*_drawn(documents, weight, seed)), weights, share, most)
     taken = F.col("_mix_size") * (F.col("epochs") + F.when(F.col("chosen"), 1).otherwise(0))
