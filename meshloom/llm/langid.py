@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, doc_remainder
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bounds of the training sample: documents of a language, bytes of a sampled document's whole text, distinct words of a language.
+#: Bounds of the training sample: documents of a language, bytes of a sampled document's whole text.
 SAMPLE_DOCS = 300
 SAMPLE_TEXT_BYTES = 32 << 10
-SAMPLE_WORDS = 8000
 EM_ROUNDS = 4
 #: Probability of a character that no piece covers, and the mass that smoothing gives each piece.
 UNKNOWN = 1e-7
@@ -39,6 +38,8 @@ CONFIDENT = 0.5
 
 #: Words of more characters are summed one by one, with rescaling.
 LONG_WORD = 24
+#: Words of one length that are summed at once in training.
+STEP_WORDS = 2048
 _KEY = np.uint64(0x100000001B3)
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -97,34 +98,95 @@ def expected_counts(word: str, n: int, prob: dict[str, float], longest: int, int
                 into[p] = into.get(p, 0.0) + n * forward[i] * q * backward[j] / forward[size]
 
 
-def learn_pieces(words: Counter, vocab: set[str], longest: int, rounds: int = EM_ROUNDS) -> dict[str, float]:
-    """Piece probabilities of one language by expectation-maximisation, from its most frequent words."""
-    kept = sorted(words.items(), key=lambda x: (-x[1], x[0]))[:SAMPLE_WORDS]
-    count: dict[str, float] = {}
-    for w, n in kept:
-        for ends in _lattice(w, vocab, longest):
+def _key(piece: str) -> int:
+    h = 0
+    for c in piece:
+        h = (h * int(_KEY) + ord(c)) % (1 << 64)
+    return h
+
+
+class PieceIndex:
+    """Pieces by a hash of their characters, in arrays."""
+
+    def __init__(self, pieces: Iterable[str]):
+        order = sorted((_key(p), p) for p in pieces)
+        self.names = [p for _, p in order]
+        self.keys = np.array([k for k, _ in order] + [(1 << 64) - 1], np.uint64)
+        self.longest = max(map(len, self.names), default=1)
+
+    def spans(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(i, j, number of the piece that each word has from i to j; the number of pieces if none), for words of one length."""
+        size = len(words[0])
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), size).T.astype(np.uint64)
+        for i in range(size):
+            key = np.zeros(len(words), np.uint64)
+            for j in range(i, min(size, i + self.longest)):
+                key = key * _KEY + chars[j]
+                at = np.searchsorted(self.keys, key)
+                yield i, j + 1, np.where(self.keys[at] == key, at, len(self.names))
+
+
+def _expected_all(groups: list[tuple[list[str], np.ndarray]], index: PieceIndex, prob: np.ndarray) -> np.ndarray:
+    """expected_counts() of groups of words of one length with their counts; prob ends with a 0 for no piece."""
+    into = np.zeros(len(prob))
+    for words, n in groups:
+        size = len(words[0])
+        forward, backward = np.zeros((2, size + 1, len(words)))
+        forward[0] = backward[size] = 1.0
+        spans = list(index.spans(words))
+        alone = lambda i, j, q: np.where(q == 0, UNKNOWN, q) if j == i + 1 else q  # noqa: E731  a character without a piece
+        for i, j, of in spans:
+            forward[j] += forward[i] * alone(i, j, prob[of])
+        for i, j, of in reversed(spans):
+            backward[i] += backward[j] * alone(i, j, prob[of])
+        share = n / np.maximum(forward[size], 1e-300)
+        for i, j, of in spans:
+            into += np.bincount(of, share * forward[i] * prob[of] * backward[j], len(prob))
+    into[-1] = 0.0
+    return into
+
+
+def learn_pieces(words: Counter, vocab: set[str] | PieceIndex, longest: int, rounds: int = EM_ROUNDS) -> dict[str, float]:
+    """Piece probabilities of one language by expectation-maximisation, from all words of its sample."""
+    index = vocab if isinstance(vocab, PieceIndex) else PieceIndex(vocab)
+    long = [(w, n) for w, n in sorted(words.items()) if len(w) > LONG_WORD]
+    by_size: dict[int, list[tuple[str, int]]] = {}
+    for w, n in sorted(words.items()):
+        if w and len(w) <= LONG_WORD:
+            by_size.setdefault(len(w), []).append((w, n))
+    groups = [([w for w, _ in part], np.array([n for _, n in part], float)) for x in by_size.values() for a in range(0, len(x), STEP_WORDS) for part in [x[a : a + STEP_WORDS]]]
+    count = np.zeros(len(index.names) + 1)
+    number = {p: i for i, p in enumerate(index.names)}
+    for group, n in groups:
+        for _, _, of in index.spans(group):
+            count += np.bincount(of, n, len(count))
+    for w, n in long:
+        for ends in _lattice(w, number, longest):
             for _, p in ends:
                 if p:
-                    count[p] = count.get(p, 0.0) + n
+                    count[number[p]] += n
+    count[-1] = 0.0
     for _ in range(rounds):
-        total = sum(count.values()) or 1.0
-        prob = {p: c / total for p, c in count.items() if c > 1e-4}
-        count = {}
-        for w, n in kept:
-            expected_counts(w, n, prob, longest, count)
-    return count
+        prob = np.where(count > 1e-4, count / (count.sum() or 1.0), 0.0)
+        count = _expected_all(groups, index, prob)
+        if long:
+            table, found = {p: prob[i] for p, i in number.items() if prob[i] > 0}, {}
+            for w, n in long:
+                expected_counts(w, n, table, longest, found)
+            for p, c in found.items():
+                count[number[p]] += c
+    return {index.names[i]: float(count[i]) for i in np.flatnonzero(count)}
 
 
 def fit(samples: dict[str, list[str]], vocab: list[str], priors: dict[str, float]) -> LanguageModel:
     """A model of the languages of `samples`; all pieces that any language uses are smoothed in every language."""
-    languages, known = sorted(samples), set(vocab)
-    longest = max(map(len, known), default=1)
+    languages, index = sorted(samples), PieceIndex(vocab)
     counts = []
     for x in languages:
         words: Counter = Counter()
         for text in samples[x]:
             words.update(words_of(text))
-        counts.append(learn_pieces(words, known, longest))
+        counts.append(learn_pieces(words, index, index.longest))
     used = sorted({p for c in counts for p, n in c.items() if n > 0.05})
     totals = [sum(c.get(p, 0.0) for p in used) + SMOOTH * len(used) for c in counts]
     pieces = {p: [(c.get(p, 0.0) + SMOOTH) / t for c, t in zip(counts, totals, strict=True)] for p in used}
@@ -151,13 +213,6 @@ def train(documents: DataFrame, held_mod: int = 4, held_rest: int = 2, vocab_pat
     return fit(samples, vocabulary(vocab_path), {k: n / total for k, n in counts.items()})
 
 
-def _key(piece: str) -> int:
-    h = 0
-    for c in piece:
-        h = (h * int(_KEY) + ord(c)) % (1 << 64)
-    return h
-
-
 class Identifier:
     """Sums over segmentations with a trie of pieces; keeps each word's log-likelihoods."""
 
@@ -173,10 +228,8 @@ class Identifier:
         #: Row of each kept word in rows, its log-likelihoods.
         self.kept: dict[str, int] = {}
         self.rows = np.zeros((1 << 12, self.n))
-        self.longest = max(map(len, model.pieces), default=1)
-        order = sorted((_key(p), p) for p in model.pieces)
-        self.keys = np.array([k for k, _ in order] + [(1 << 64) - 1], np.uint64)
-        self.probs = np.array([model.pieces[p] for _, p in order] + [[0.0] * self.n]).reshape(len(order) + 1, self.n)
+        self.index = PieceIndex(model.pieces)
+        self.probs = np.array([model.pieces[p] for p in self.index.names] + [[0.0] * self.n]).reshape(len(self.index.names) + 1, self.n)
 
     def word(self, word: str) -> list[float]:
         """log of the sum, over all segmentations, of the product of piece probabilities; one for each language."""
@@ -219,18 +272,13 @@ class Identifier:
             if size > LONG_WORD or len(group) < 16:
                 self._keep(group, np.array([self.word(w) for w in group]))
                 continue
-            chars = np.frombuffer("".join(group).encode("utf-32-le"), np.uint32).reshape(len(group), size).T.astype(np.uint64)
             rows = np.zeros((size + 1, len(group), self.n))
             rows[0] = 1.0
-            for i in range(size):
-                key = np.zeros(len(group), np.uint64)
-                for j in range(i, min(size, i + self.longest)):
-                    key = key * _KEY + chars[j]
-                    at = np.searchsorted(self.keys, key)
-                    probs = self.probs[np.where(self.keys[at] == key, at, -1)]
-                    if j == i:
-                        probs = np.where(probs == 0, UNKNOWN, probs)  # smoothing leaves no piece a zero
-                    rows[j + 1] += rows[i] * probs
+            for i, j, of in self.index.spans(group):
+                probs = self.probs[of]
+                if j == i + 1:
+                    probs = np.where(probs == 0, UNKNOWN, probs)  # smoothing leaves no piece a zero
+                rows[j] += rows[i] * probs
             self._keep(group, np.log(np.maximum(rows[size], 1e-300)))
 
     def _keep(self, words: list[str], logs: np.ndarray) -> None:
@@ -269,7 +317,8 @@ def identify_languages(documents: DataFrame, model: LanguageModel, held_mod: int
     """doc_id, held_out, lang_pred, score for every row, from the whole text alone.
 
     Null text, or text without a letter, is `und` with score 0, and so is all text where no language could be learnt.
-    A null id isn't held out; repeated rows each give a row; equal likelihoods go to the first language by code point.
+    A null id isn't held out; repeated rows each give a row; equal likelihoods go to the first language by code point. Very long texts are
+    read whole; empty input gives no rows; other columns aren't read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
