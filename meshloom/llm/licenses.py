@@ -7,11 +7,16 @@ every possible match needs (anchors, worked out from the templates) leave most t
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshloom.operators.components import looked_up
+
+from .common import tidied, written
+
 RUN = 5
 CONTAINED = 0.8
 #: Windows of 16 words (12 runs), a new one each 4 words, and of 5 words (1 run), a new one each word.
@@ -20,7 +25,7 @@ WINDOW, STEP, HASHES = 16, 4, 12
 #: 16-word windows at least one is hit to 0.8 and lies within 2 words of a window of the text: a Jaccard of 0.5 or more,
 #: so none of 12 one-row bands collides with a probability of 0.5 ** 12 at most, and there are several such windows.
 SHORT = 24
-#: The driver holds the templates as a constant of the plan.
+#: Up to so many words the templates are a constant of the plan; beyond, they are a table.
 MOST_TEMPLATE_WORDS = 100_000
 
 # Public license notices.
@@ -94,6 +99,9 @@ _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_MATCHES = "array<struct<license string, containment double, first_word int>>"
+
+
 def lowered(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
@@ -121,7 +129,8 @@ def _first(some: Column, of: Column) -> Column:
 
 
 def _plain_words(text: str) -> list[str]:
-    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    """As lowered() and _words() do: only A-Z has a lower case, and all beyond ASCII is a part of a word."""
+    return re.findall(_WORD, text.translate(str.maketrans(_UPPER, _LOWER)))
 
 
 def _text_runs(text: str) -> list[tuple[str, ...]]:
@@ -147,17 +156,15 @@ def anchors(templates: dict[str, str], contained: float = CONTAINED) -> list[str
     return chosen
 
 
-def _prepared(spark: SparkSession, templates: dict[str, str]) -> list[tuple[str, list[int], list[int], int]]:
-    """Name, retrieval hashes, distinct run hashes and words of each template, by the expressions that the texts go through."""
-    if sum(len(_plain_words(t)) for t in templates.values()) > MOST_TEMPLATE_WORDS:
-        raise ValueError("templates are a constant of the plan: scan for more of them in several calls")
+def _prepared(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """Name, retrieval hashes k, distinct run hashes d and number of words n of each template, by the expressions that texts go through."""
     rows = spark.createDataFrame([(n, t) for n, t in sorted(templates.items()) if _plain_words(t)], "name string, text string")
     words = rows.withColumn("w", _words(lowered(F.col("text")))).withColumn("n", F.size("w"))
     length = F.least(F.col("n"), F.lit(RUN))
     at = F.sequence(F.lit(1), F.col("n") - length + 1)
     runs = words.withColumn("r", F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, length), " "))))
     keys = F.when(F.col("n") < SHORT, F.col("r")).otherwise(_bands(F.col("r"), STEP))
-    return [(x["name"], x["k"], x["d"], x["n"]) for x in runs.select("name", keys.alias("k"), F.array_distinct("r").alias("d"), "n").collect()]
+    return runs.select("name", keys.alias("k"), F.array_distinct("r").alias("d"), "n")
 
 
 def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED) -> DataFrame:
@@ -166,14 +173,16 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None,
     containment: the share of the template's distinct runs that the whole text has, `contained` or more; a template of fewer
     than five words is one run. first_word: the number, from 0, of the first word of the first run that they share.
     Null or empty text has no match; so has all text if there are no templates. Repeated rows and null ids each give
-    their row; other columns aren't read. One narrow projection: nothing is shuffled or gathered.
+    their row; very long texts are read whole; empty input gives no rows; other columns aren't read. One narrow projection: nothing is
+    shuffled or gathered. More than MOST_TEMPLATE_WORDS of templates are joined as a table instead, by the same hashes.
     """
     templates = TEMPLATES if templates is None else templates
-    known = _prepared(documents.sparkSession, templates)
-    kind = "array<struct<license string, containment double, first_word int>>"
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
+    if sum(len(_plain_words(t)) for t in templates.values()) > MOST_TEMPLATE_WORDS:
+        return _scan_table(rows, written(_prepared(documents.sparkSession, templates)), contained)
+    known = [(x["name"], x["k"], x["d"], x["n"]) for x in _prepared(documents.sparkSession, templates).collect()]
     if not known:
-        return rows.select("doc_id", F.array().cast(kind).alias("matches"))
+        return rows.select("doc_id", F.array().cast(_MATCHES).alias("matches"))
     anchor = F.lit(False)
     for a in anchors(templates, contained):
         anchor = anchor | F.contains(F.col("_l"), F.lit(a))
@@ -193,4 +202,24 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None,
         share = F.size(common) / F.lit(float(len(runs)))
         found.append(F.when(retrieved, F.when(share >= contained - 1e-9, F.struct(F.lit(name).alias("license"), share.alias("containment"), first.alias("first_word")))))
     matches = F.when(F.col("_w").isNotNull(), F.filter(F.array(*found), lambda x: x.isNotNull()))
-    return rows.select("doc_id", F.coalesce(matches, F.array().cast(kind)).alias("matches"))
+    return rows.select("doc_id", F.coalesce(matches, F.array().cast(_MATCHES)).alias("matches"))
+
+
+@tidied
+def _scan_table(rows: DataFrame, known: DataFrame, contained: float) -> DataFrame:
+    """scan_licenses with the templates as a table: a text's hashes are looked up, and what they retrieve is verified by its runs."""
+    few = sorted(r["n"] for r in known.select("n").where(F.col("n") < RUN).distinct().collect())  # 4 at most
+    words = rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", _words(lowered(F.col("_t"))).alias("_w"))
+    runs = words.withColumn("_r", _runs(F.col("_w"), RUN)).withColumn("_s", F.concat(F.array().cast("array<bigint>"), *[_runs(F.col("_w"), n) for n in few]))
+    texts = written(runs.drop("_w"))
+    keys = written(texts.select("_row", F.explode(F.array_distinct(F.concat("_r", "_s", _bands(F.col("_r"), 2)))).alias("key")))
+    of = known.select("name", F.explode("k").alias("key")).groupBy("key").agg(F.collect_set("name").alias("names"))
+    pairs = written(looked_up(keys, "key", of).where("names is not null").select("_row", F.explode("names").alias("name")).distinct())
+    both = looked_up(pairs, "name", known.select("name", F.struct("d", "n").alias("t"))).join(texts.drop("doc_id"), "_row")
+    of_text = F.when(F.col("t.n") >= RUN, F.col("_r")).otherwise(F.col("_s"))
+    common = F.array_intersect("t.d", of_text)
+    first = F.when((F.col("t.n") >= RUN) | F.lit(len(few) < 2), _first(common, of_text))
+    share = F.size(common) / F.size("t.d").cast("double")
+    found = both.select("_row", F.struct(F.col("name").alias("license"), share.alias("containment"), first.alias("first_word")).alias("m")).where(F.col("m.containment") >= contained - 1e-9)
+    matches = found.groupBy("_row").agg(F.sort_array(F.collect_list("m")).alias("matches"))
+    return texts.select("_row", "doc_id").join(matches, "_row", "left").select("doc_id", F.coalesce("matches", F.array().cast(_MATCHES)).alias("matches"))
