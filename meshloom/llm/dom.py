@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from html import unescape
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_QUOTED = r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)"
+_START = re.compile(rf"<([a-zA-Z][^\s/>]*){_QUOTED}>")
+#: How far a start tag's quotes can be read where no > follows them.
+_BROKEN = re.compile(rf"<[a-zA-Z][^\s/>]*{_QUOTED}")
+_PLAIN = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)>")
+_END = re.compile(r"</([a-zA-Z][^\s/>]*)[^>]*>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -37,12 +39,53 @@ IMPLIED = {
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
 }
 _P_BOUNDS = frozenset("td th table caption button object article section body html".split())
+_P = frozenset(["p"])
 _END_BOUNDS = frozenset("td th table caption body html".split())
+#: End tags that reach through the bounds.
+_END_ANYWHERE = frozenset("table tr tbody thead tfoot body html article main section div".split())
+
+
+class _Open:
+    """Open elements. For each name the places of its open elements, so that no search walks the stack."""
+
+    def __init__(self) -> None:
+        self.nodes, self.names = [0], ["#document"]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.names.append(name)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.nodes.pop()
+            self.places[self.names.pop()].pop()
+
+    def last(self, names: Iterable[str]) -> int:
+        """The place of the last open element of these names, 0 if there is none."""
+        return max((at[-1] for n in names if (at := self.places.get(n))), default=0)
+
+    def close(self, names: frozenset, bounds: frozenset, once: bool) -> None:
+        """Ends elements of these names that no bound holds; `once`: only the last of them."""
+        while (at := self.last(names)) > self.last(bounds):
+            self.cut(at)
+            if once:
+                return
+
+    def end(self, name: str) -> None:
+        at = self.last((name,))
+        if at and (name in _END_ANYWHERE or at >= self.last(_END_BOUNDS)):
+            self.cut(at)
 
 
 class Page:
     """tag, parent, tokens (words of class, id and role), marks (data-y, for training pages) and hidden of each element;
-    element 0 is the document. texts: (element, decoded text, whether a block began or ended before it)."""
+    element 0 is the document. texts: (element, decoded text, whether a block began or ended before it).
+
+    Reading takes time in proportion to the page, whatever its nesting and however much of it is left open. A < that begins no
+    tag is text. A tag whose quotes aren't closed ends at its first >, and so does every tag up to the open quote.
+    """
 
     def __init__(self, html: str):
         self.tag: list[str] = ["#document"]
@@ -54,75 +97,79 @@ class Page:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        stack, at, size, broken = [0], 0, len(html), True
-        tag, texts = self.tag, self.texts
-        while at < size:
-            m = _TOKEN.search(html, at)
-            stop = m.start() if m else size
-            if stop > at:
-                text = html[at:stop]
-                texts.append((stack[-1], unescape(text) if "&" in text else text, broken))
+        stack, size, broken = _Open(), len(html), True
+        last, plain_until, roots = html.rfind(">"), 0, set()
+        start = at = 0  # where the text before the next tag begins; where to look for one
+        while start < size:
+            at = html.find("<", at)
+            if at < 0:
+                at = size
+            stop, name, attrs, ends = at, "", None, False
+            after = html[at + 1 : at + 2]
+            if at == size:
+                start_after = size
+            elif html.startswith("<!--", at):
+                close = html.find("-->", at + 4)
+                start_after = close + 3 if close >= 0 else size
+            elif at > last:
+                at += 1
+                continue
+            elif after in ("!", "?"):
+                start_after = html.find(">", at + 2) + 1
+            else:
+                m = None
+                if after == "/":
+                    m, ends = _END.match(html, at), True
+                elif after.isalpha() and after.isascii():
+                    m = _START.match(html, at) if at >= plain_until else None
+                    if not m:
+                        plain_until = max(plain_until, _BROKEN.match(html, at).end()) if at >= plain_until else plain_until
+                        m = _PLAIN.match(html, at)
+                if not m:
+                    at += 1
+                    continue
+                name, start_after = m.group(1).lower(), m.end()
+                attrs = None if ends else m.group(2)
+            if stop > start:
+                text = html[start:stop]
+                self.texts.append((stack.nodes[-1], unescape(text) if "&" in text else text, broken))
                 broken = False
-            if not m:
-                break
-            at = m.end()
-            end, start, attrs = m.group(1), m.group(2) or m.group(4), m.group(3) or m.group(5)
-            if end:
-                name = end.lower()
-                if name in BLOCK:
-                    broken = True
-                self._end(stack, name)
-            elif start:
-                name = start.lower()
-                if name in BLOCK:
-                    broken = True
+            start = at = start_after
+            if name in BLOCK:
+                broken = True
+            if ends:
+                stack.end(name)
+            elif name:
                 if name in ENDS_P:
-                    self._close(stack, frozenset(["p"]), _P_BOUNDS)
+                    stack.close(_P, _P_BOUNDS, True)
                 if name in IMPLIED:
-                    self._close(stack, *IMPLIED[name])
-                if name in ("html", "body") and name in tag:
-                    continue
-                node = self._add(name, stack[-1], attrs)
+                    stack.close(*IMPLIED[name], False)
+                if name in ("html", "body"):
+                    if name in roots:
+                        continue
+                    roots.add(name)
+                node = self._add(name, stack.nodes[-1], attrs)
                 if name in RAW:
-                    close = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-                    at = close.end() if close else size
+                    close = re.compile(rf"</{name}\b", re.I).search(html, at)
+                    start = at = html.find(">", close.end()) + 1 or size if close else size
                 elif name not in VOID and not (attrs and attrs.endswith("/") and name in ("svg", "path")):
-                    stack.append(node)
+                    stack.push(node, name)
 
     def _add(self, name: str, parent: int, attrs: str | None) -> int:
-        tokens: tuple[str, ...] = ()
+        tokens: list[str] = []
         mark, hidden = None, False
         if attrs and not attrs.isspace():
             for m in _ATTRIBUTE.finditer(attrs):
                 key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
                 if key in ("class", "id", "role"):
-                    tokens += tuple(x.lower() for x in _NAME.findall(value))
+                    tokens += [x.lower() for x in _NAME.findall(value)]
                 elif key == "hidden" or (key == "style" and "display:none" in value.replace(" ", "").lower()):
                     hidden = True
                 elif key == "data-y":
                     mark = value
         self.tag.append(name)
         self.parent.append(parent)
-        self.tokens.append(tokens)
+        self.tokens.append(tuple(tokens))
         self.mark.append(mark)
         self.hidden.append(hidden)
         return len(self.tag) - 1
-
-    def _close(self, stack: list[int], names: frozenset, bounds: frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            name = self.tag[stack[i]]
-            if name in names:
-                del stack[i:]
-                if names == frozenset(["p"]):
-                    return
-                return self._close(stack, names, bounds)
-            if name in bounds:
-                return
-
-    def _end(self, stack: list[int], name: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[i]] == name:
-                del stack[i:]
-                return
-            if self.tag[stack[i]] in _END_BOUNDS and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "article", "main", "section", "div"):
-                return

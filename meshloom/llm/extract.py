@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boost
-from .common import arrow_rows
+from .common import arrow_rows, text_parts
 from .dom import SILENT, Page
 
 TRAIN_PAGES = 700
@@ -294,7 +294,7 @@ def trained(pages: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> boost.BoostedTr
     return boost.fit(np.concatenate(x), np.concatenate(y), np.concatenate(w))
 
 
-def extract_pages(html: list[str | None], model: boost.BoostedTrees) -> Iterator[str]:
+def extract_pages(html: Iterable[str | None], model: boost.BoostedTrees) -> Iterator[str]:
     """The main text of each page; empty for null, for pages without elements or text, and if nothing stays."""
     pages: list[Page] = []
     held = 0
@@ -321,15 +321,16 @@ def extract_pages(html: list[str | None], model: boost.BoostedTrees) -> Iterator
 def extract_text(pages: DataFrame, model: boost.BoostedTrees | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every row.
 
-    The whole html is read; null and empty give empty text. Text outside any element belongs to the document and stays.
-    Repeated rows and null ids each give their row; other columns aren't read.
+    The whole html is read, however long or deep; null and empty give empty text. Text outside any element belongs to the document and
+    stays. Repeated rows and null ids each give their row; empty input gives no rows; other columns aren't read.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = list(extract_pages(batch.column(2).to_pylist(), shared.value))
-            yield arrow_rows({"page_id": batch.column(0), "url": batch.column(1), "text": text, "n_chars": [len(t) for t in text]}, schema)
+            for a, b, raw in text_parts(batch.column(2)):
+                text = list(extract_pages((x.decode("utf-8", "replace") for x in raw), shared.value))
+                yield arrow_rows({"page_id": batch.column(0).slice(a, b - a), "url": batch.column(1).slice(a, b - a), "text": text, "n_chars": [len(t) for t in text]}, schema)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -37,22 +37,28 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    spans = F.array_join(F.transform("char_spans", lambda x: F.concat_ws("-", x[0].cast("string"), x[1].cast("string"))), ",")
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", spans.alias("hit_spans"))
 
 
-#: Word windows of each length that an item asks for, looked up among the documents' runs of that many words.
+#: Word windows of each length that an item asks for, looked up among the documents' runs of that many words. A word's end in the
+#: original text is the length of all pieces (what is between words, and a word) up to it.
 _OP7_SQL = r"""
-with d as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+with d as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w, text from documents),
 b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where item_id is not null),
 bs as (select item_id, w, least(10, len(w)) n from b where len(w) > 0),
 win as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') s from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) i from bs)),
 lens as (select distinct n from win),
 runs as (select rid, n, i, array_to_string(w[i:i + n - 1], ' ') s from (select rid, w, n, unnest(range(1, len(w) - n + 2)) i from d cross join lens where len(w) >= n)),
 hit as (select rid, item_id, r.n, i from runs r join win using (n, s)),
-pos as (select rid, count(distinct p) n_hit from (select rid, unnest(range(i, i + n)) p from hit) group by rid),
+words as (select distinct rid, unnest(range(i, i + n)) p from hit),
+pos as (select rid, count(*) n_hit from words group by rid),
+run as (select rid, min(p) a, max(p) z from (select rid, p, p - row_number() over (partition by rid order by p) g from words) group by rid, g),
+piece as (select rid, w, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') c from d where rid in (select rid from pos)),
+span as (select rid, string_agg(length(array_to_string(c[1:a], '')) - length(w[a]) || '-' || length(array_to_string(c[1:z], '')), ',' order by a) spans from run join piece using (rid) group by rid),
 its as (select rid, count(*) n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) ids from (select distinct rid, item_id from hit) group by rid)
-select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-from d left join pos using (rid) left join its using (rid)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated, coalesce(spans, '') hit_spans
+from d left join pos using (rid) left join its using (rid) left join span using (rid)
 """
 
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
