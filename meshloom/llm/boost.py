@@ -36,6 +36,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 80, depth
     binned = [np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)]  # bin > b means x > cuts[b]
     two = [j for j, c in enumerate(cuts) if len(c) == 1]
     above = np.stack([binned[j] > 0 for j in two], 1).astype(np.float64) if two else np.zeros((len(x), 0))
+    every = np.arange(len(x))
     base = float(np.log(max((weight * y).sum(), 1e-6) / max((weight * (1 - y)).sum(), 1e-6)))
     score = np.full(len(x), base)
     features, thresholds, leaves = [], [], []
@@ -48,7 +49,9 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 80, depth
             best = (-1.0, 0, 0.0, 0)
             if two:
                 whole_g, whole_h = (np.bincount(at, v, 1 << d)[:, None] for v in (g, h))
-                right_g, right_h = (np.stack([(v * (at == leaf)) @ above for leaf in range(1 << d)]) for v in (g, h))
+                of_leaf = np.zeros((2 << d, len(x)))
+                of_leaf[at, every], of_leaf[at + (1 << d), every] = g, h
+                right_g, right_h = np.split(of_leaf @ above, 2)
                 gain = ((whole_g - right_g) ** 2 / (whole_h - right_h + ridge) + right_g**2 / (right_h + ridge)).sum(0)
                 i = int(np.argmax(gain))
                 best = (float(gain[i]), two[i], float(cuts[two[i]][0]), 0)
