@@ -277,34 +277,95 @@ def refine(g: Graph, where: list[int], k: int, ub: float, passes: int, alpha: fl
 
 
 def even_out(g: Graph, where: list[int], k: int, caps: list[int], floors: list[int]) -> int:
-    """Moves boundary vertices out of the heaviest part over its cap, or into the lightest under its floor, best score first."""
+    """Moves boundary vertices out of the heaviest part over its cap, or into the lightest under its floor, best score first. Where no
+    boundary vertex can go, vertices without any edge do, which costs no cut.
+
+    A heap a part has its vertices' scores as they were when pushed. What is popped is scored anew and goes back if it has got worse; a move
+    pushes its neighbours again.
+    """
     load = g.loads(where, k)
     ideal = g.total / k
-    moves = 0
+    heaps: dict[int, list[tuple[float, int]]] = {}
+    fronts: dict[int, set[int]] = {}  # vertices beside a part
+
+    def best_move(v: int) -> tuple[float, int] | None:
+        src, links = where[v], _links(g, where, v)
+        able = [(w - links.get(src, 0) + 0.5 * (ideal - load[p]) / (ideal + 1), -p) for p, w in links.items() if p != src and load[p] + g.weight[v] <= max(caps[p], load[src] - g.weight[v])]
+        return (max(able)[0], -max(able)[1]) if able else None
+
+    def heap_of(part: int) -> list[tuple[float, int]]:
+        out = [(-m[0], v) for v in range(g.n) if where[v] == part and (m := best_move(v))]
+        heapq.heapify(out)
+        return out
+
+    def popped(part: int) -> tuple[int, int] | None:
+        heap = heaps[part]
+        while heap:
+            score, v = heapq.heappop(heap)
+            now = best_move(v) if where[v] == part else None
+            if now and now[0] >= -score - 1e-9:
+                return v, now[1]
+            if now:
+                heapq.heappush(heap, (-now[0], v))
+        return None
+
+    def lifted(light: int) -> tuple[int, int] | None:
+        """The vertex beside `light` whose part is the heaviest that can spare it."""
+        if light not in fronts:
+            fronts[light] = {v for u in range(g.n) if where[u] == light for v in g.near[u] if where[v] != light}
+        able = [v for v in fronts[light] if load[where[v]] - g.weight[v] >= floors[where[v]] and load[light] + g.weight[v] <= caps[light]]
+        return (max(able, key=lambda v: (load[where[v]], -v)), light) if able else None
+
+    loose: dict[int, list[int]] = {}  # vertices without an edge, the heaviest last
+    for v in sorted((v for v in range(g.n) if not g.near[v] and g.weight[v] > 0), key=lambda v: g.weight[v]):
+        loose.setdefault(where[v], []).append(v)
+
+    def dealt(src: int, dst: int) -> tuple[int, int] | None:
+        """The heaviest loose vertex of src by whose move the two parts get closer."""
+        mine = loose.get(src, [])
+        for i in range(len(mine) - 1, -1, -1):
+            if load[dst] + g.weight[mine[i]] < load[src]:
+                loose.setdefault(dst, []).append(mine[i])
+                return mine.pop(i), dst
+        return None
+
+    moves, dry = 0, set()  # dry: parts without an able boundary vertex, as far as moves along edges go
     while moves < g.n:
         heavy = max((p for p in range(k) if load[p] > caps[p]), key=lambda p: load[p], default=None)
         light = min((p for p in range(k) if load[p] < floors[p]), key=lambda p: load[p], default=None)
-        best = None
+        step = None
         if heavy is not None:
-            for v in (v for v in range(g.n) if where[v] == heavy):
-                links = _links(g, where, v)
-                for p, w in links.items():
-                    if p != heavy and load[p] + g.weight[v] <= max(caps[p], load[heavy] - g.weight[v]):
-                        score = w - links.get(heavy, 0) + 0.5 * (ideal - load[p]) / (ideal + 1)
-                        if best is None or score > best[0]:
-                            best = (score, v, p)
-        if best is None and light is not None:
-            for v in (v for v in range(g.n) if where[v] != light):
-                p = where[v]
-                if load[p] - g.weight[v] >= floors[p] and load[light] + g.weight[v] <= caps[light] and any(where[u] == light for u in g.near[v]):
-                    if best is None or load[p] > best[0]:
-                        best = (load[p], v, light)
-        if best is None:
+            step = popped(heavy) if heavy in heaps else None
+            if step is None and heavy not in dry:  # none that was pushed is able: others may have become so
+                heaps[heavy] = heap_of(heavy)
+                step = popped(heavy)
+                if step is None:
+                    dry.add(heavy)
+        if step is None and light is not None:
+            step = lifted(light)
+        if step is not None:
+            dry.clear()
+        if step is None and (heavy is not None or light is not None):
+            least = min(range(k), key=lambda p: load[p])
+            step = next((x for p in sorted(range(k), key=lambda p: -load[p]) if p != least and (x := dealt(p, least))), None)
+        if step is None:
             break
-        _, v, p = best
+        v, p = step
         load[where[v]] -= g.weight[v]
         load[p] += g.weight[v]
         where[v] = p
+        for q, front in fronts.items():
+            front.discard(v)
+            if q != p and any(where[u] == q for u in g.near[v]):
+                front.add(v)
+            for u in g.near[v]:
+                if where[u] != q and (q == p or any(where[x] == q for x in g.near[u])):
+                    front.add(u)
+                else:
+                    front.discard(u)
+        for u in (v, *g.near[v]):
+            if where[u] in heaps and (m := best_move(u)):
+                heapq.heappush(heaps[where[u]], (-m[0], u))
         moves += 1
     return moves
 
