@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.shared import written  # noqa: F401  used by the operators
+from meshloom.shared import tidied, written  # noqa: F401  used by the operators
 
 #: Text bytes that one vectorised step takes; a longer text is one step of its own.
 BLOCK_BYTES = 1 << 20

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, Packed, doc_remainder, mixed, text_parts, written
+from .common import LOWER, NON_SPACE, Packed, doc_remainder, mixed, text_parts, tidied, written
 
 #: Bytes of context. A key is a context and the byte after it, so 7 bytes of 64 bits.
 ORDER = 6
@@ -448,6 +448,7 @@ def _settle(scale: float, total: int):  # noqa: ANN202
     return run
 
 
+@tidied
 def score_documents(documents: DataFrame, held_mod: int = 7, held_rest: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
