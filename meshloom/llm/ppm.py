@@ -12,7 +12,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -420,30 +419,44 @@ class Block:
         return _batch([(_DOCS, None, self.number, None, sink.getvalue().to_pybytes(), sizes[0], _steps(deep), sizes[1], _steps(rare.astype(np.uint64)), _squeezed(times.astype(np.int64))), *asked], BLOCKS)
 
 
+def _settled(row: dict, answers: dict[int, list[bytes]], scale: float, total: int) -> pa.RecordBatch:
+    """A block's documents, with what the answers (of each kind, by bucket) add to their scores."""
+    docs = pa.ipc.open_stream(row["docs"]).read_all()
+    count = len(docs)
+
+    def values(kind: int, form: str, expected: int) -> np.ndarray:
+        found = np.concatenate([np.zeros(0, form), *[_opened(x, form) for x in answers.get(kind, [])]])
+        if len(found) != expected:
+            raise ValueError("a block has other answers than it has asked for")
+        return found
+
+    value = values(ORDER, "<f4", row["n_deep"])
+    of, which = np.divmod(_unstepped(row["deep"]).astype(np.int64), max(1, row["n_deep"]))
+    score = docs["score"].to_numpy() + np.bincount(of, value[which].astype(np.float64), count)
+    n = values(_TOKEN, "<i8", row["n_rare"])
+    of, which = np.divmod(_unstepped(row["rare"]).astype(np.int64), max(1, row["n_rare"]))
+    times = _opened(row["rare_n"], "<i8")
+    base = docs["base_score"].to_numpy() + np.bincount(of, times * (np.log10(n[which] + 1.0) - scale), count)
+    known = docs["n_known"].to_numpy() + np.bincount(of, times * (n[which] > 0), count).astype(np.int64)
+    columns = [docs["doc_id"].combine_chunks(), docs["held_out"].combine_chunks(), docs["n_tokens"].combine_chunks(), pa.array(known), pa.array(np.full(count, total)), pa.array(base), pa.array(score)]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in OUT.split(", ")])
+
+
 def _settle(scale: float, total: int):  # noqa: ANN202
-    def run(rows: pa.Table) -> pa.Table:
-        """A block's documents, with what the answers add to their scores."""
-        row = rows.filter(pc.equal(rows["kind"], _DOCS)).to_pylist()[0]
-        docs = pa.ipc.open_stream(row["docs"]).read_all()
-        count = len(docs)
-
-        def answers(kind: int, form: str, expected: int) -> np.ndarray:
-            mine = rows.filter(pc.equal(rows["kind"], kind)).sort_by("bucket")
-            values = np.concatenate([np.zeros(0, form), *[_opened(x, form) for x in mine["values"].to_pylist()]])
-            if len(values) != expected:
-                raise ValueError("a block has other answers than it has asked for")
-            return values
-
-        value = answers(ORDER, "<f4", row["n_deep"])
-        code = _unstepped(row["deep"]).astype(np.int64)
-        of, which = np.divmod(code, max(1, row["n_deep"]))
-        score = docs["score"].to_numpy() + np.bincount(of, value[which].astype(np.float64), count)
-        n = answers(_TOKEN, "<i8", row["n_rare"])
-        code, times = _unstepped(row["rare"]).astype(np.int64), _opened(row["rare_n"], "<i8")
-        of, which = np.divmod(code, max(1, row["n_rare"]))
-        base = docs["base_score"].to_numpy() + np.bincount(of, times * (np.log10(n[which] + 1.0) - scale), count)
-        known = docs["n_known"].to_numpy() + np.bincount(of, times * (n[which] > 0), count).astype(np.int64)
-        return pa.table([docs["doc_id"], docs["held_out"], docs["n_tokens"], pa.array(known), pa.array(np.full(count, total)), pa.array(base), pa.array(score)], names=[x.split()[0] for x in OUT.split(", ")])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by block, its documents first, then the answers of each kind by bucket; a task holds one block."""
+        row, answers = None, {}
+        for batch in batches:
+            for i in range(len(batch)):
+                kind = batch.column("kind")[i].as_py()
+                if kind == _DOCS:
+                    if row:
+                        yield _settled(row, answers, scale, total)
+                    row, answers = {c: batch.column(c)[i].as_py() for c in ("docs", "n_deep", "deep", "n_rare", "rare", "rare_n")}, {}
+                else:
+                    answers.setdefault(kind, []).append(batch.column("values")[i].as_py())
+        if row:
+            yield _settled(row, answers, scale, total)
 
     return run
 
@@ -515,4 +528,5 @@ def score_documents(documents: DataFrame, held_mod: int = 7, held_rest: int = 2)
     blocks = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(score, BLOCKS))
     answers = answered(counts, blocks.where(F.col("kind") != _DOCS).select("kind", "bucket", "block", "keys"), low)
     of = blocks.where(F.col("kind") == _DOCS).drop("bucket", "keys")
-    return of.unionByName(answers, allowMissingColumns=True).groupBy("block").applyInArrow(_settle(scale, total), OUT)
+    rows = of.unionByName(answers, allowMissingColumns=True).repartition("block")
+    return rows.sortWithinPartitions("block", "kind", "bucket").mapInArrow(_settle(scale, total), OUT)
