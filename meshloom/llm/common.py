@@ -28,6 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have, whatever the case of its names."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(name: str) -> Column:
+    """The column of exactly this name, which may have dots or backticks in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def doc_remainder(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(m)).cast("int")

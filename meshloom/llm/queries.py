@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, langid, licenses, mix, neardup, ppm, quality, shard, topk
+from . import audit, decontaminate, exact, extract, langid, licenses, mix, neardup, ppm, quality, shard, topk, whiten
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +119,43 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Each order is played step by step over the counts of documents that fail the same filters, and Shapley sums add up what came of it.
+_OP11_SQL = r"""
+with d as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t, min(doc_id) over (partition by coalesce(text, '')) least from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w from d),
+m as (select doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] f from w),
+l as (select doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic from labels group by doc_id),
+c as (select part, f, count(*) n, count(*) filter (good) good, count(*) filter (toxic) toxic from m left join l using (doc_id) group by part, f),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) i),
+o as (select a.i || b.i || c.i || d.i || e.i filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s as (select part, filter_order, step::int step, f[strpos('ABCDE', filter_order[step])] fails, len(list_filter(range(1, step), lambda k: f[strpos('ABCDE', filter_order[k])])) > 0 gone, len(list_filter(f, lambda y: y)) = 1 one, n, good, toxic from c, o, range(1, 6) r(step)),
+r as (select part, filter_order, step, filter_order[step] i, sum(case when not gone and not fails then n else 0 end)::bigint kept, sum(case when fails and not gone then n else 0 end)::bigint removed, sum(case when fails and gone then n else 0 end)::bigint redundant,
+  sum(case when fails and one then n else 0 end)::bigint unique_fails, sum(case when fails and not gone then good else 0 end)::bigint good_lost, sum(case when fails and not gone then toxic else 0 end)::bigint toxic_lost from s group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, i))::bigint shapley from r
+"""
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+_OP12_SQL = """
+with d as (select doc_id, coalesce(text, '') t from documents)
+select doc_id, first_value(doc_id) over g keep_id, count(*) over (partition by t) group_size, row_number() over g = 1 kept, sha256(t) text_sha256
+from d window g as (partition by t order by doc_id desc nulls last)
+"""
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_extract": op2_extract,
@@ -130,6 +167,9 @@ QUERIES: dict[str, Query] = {
     "op8_mix": op8_mix,
     "op9_licenses": op9_licenses,
     "op10_topk": op10_topk,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_whiten": op13_whiten,
 }
 
 ORACLES: dict[str, str] = {
@@ -137,4 +177,6 @@ ORACLES: dict[str, str] = {
     "op8_mix": _OP8_SQL,
     "op9_licenses": _OP9_SQL,
     "op10_topk": _OP10_SQL,
+    "op11_filter_audit": _OP11_SQL,
+    "op12_exact_dedup": _OP12_SQL,
 }
