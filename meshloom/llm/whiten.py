@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, tidied, written
@@ -40,24 +40,24 @@ def whole_vectors(embeddings: DataFrame) -> DataFrame:
 
 def column_sums(rows: DataFrame, column: str, d: int) -> tuple[int, list]:
     """How many rows there are and the sum of each entry of an array column, in one aggregation."""
-    n, *sums = rows.agg(F.count("*"), *[F.sum(F.get(column, F.lit(i))) for i in range(d)]).first()
+    n, sums = rows.selectExpr("count(*)", "array(" + ", ".join(f"sum({column}[{i}])" for i in range(d)) + ")").collect()[0]
     return n, sums
 
 
-def triangle_sums(centred: list[Column], pairs: list[tuple[int, int]]) -> list[Column]:
-    """An expression for each pair of dimensions: the sum of the products of their centred entries."""
-    return [F.sum(centred[i] * centred[j]).alias(f"p{i}_{j}") for i, j in pairs]
+def triangle_sums(pairs: list[tuple[int, int]]) -> str:
+    """An SQL expression: for each pair of dimensions the sum of the products of their centred entries, columns c0, c1, ..."""
+    return "array(" + ", ".join(f"sum(c{i} * c{j})" for i, j in pairs) + ")"
 
 
 def covariance(rows: DataFrame, column: str, n: int, means: list[float]) -> np.ndarray:
     """The covariance of an array column, divisor n, entries centred before they are multiplied."""
     d = len(means)
     upper = [(i, j) for i in range(d) for j in range(i, d)]
-    columns = rows.select(*[(F.get(column, F.lit(i)).cast("double") - F.lit(float(m))).alias(f"c{i}") for i, m in enumerate(means)])
+    centred = rows.selectExpr(*[f"cast({column}[{i}] as double) - {float(m)!r}D as c{i}" for i, m in enumerate(means)])
     out = np.zeros((d, d))
     for start in range(0, len(upper), MOST_PAIRS):
         pairs = upper[start : start + MOST_PAIRS]
-        sums = columns.agg(*triangle_sums([F.col(f"c{i}") for i in range(d)], pairs)).first()
+        (sums,) = centred.selectExpr(triangle_sums(pairs)).collect()[0]
         for (i, j), s in zip(pairs, sums, strict=True):
             out[i, j] = out[j, i] = s / n
     return out
