@@ -25,6 +25,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bounds of the training sample: documents of a language, bytes of a sampled document's whole text.
 SAMPLE_DOCS = 300
 SAMPLE_TEXT_BYTES = 32 << 10
+#: Characters of a longer text that teach: 4 bytes each at most.
+RUN_CHARS = SAMPLE_TEXT_BYTES // 4
 EM_ROUNDS = 4
 #: Probability of a character that no piece covers, and the mass that smoothing gives each piece.
 UNKNOWN = 1e-7
@@ -84,18 +86,25 @@ def expected_counts(word: str, n: int, prob: dict[str, float], longest: int, int
     """Adds n times each piece's expected number in the word, over all its segmentations (forward and backward sums)."""
     lattice = _lattice(word, prob, longest)
     size = len(word)
-    forward = [1.0] + [0.0] * size
+    # logarithms, since the products of a long word are below any double
+    logs = [[(i, p, math.log(prob.get(p, UNKNOWN))) for i, p in ends] for ends in lattice]
+    forward, ahead = [0.0] * (size + 1), [[] for _ in range(size + 1)]
     for j in range(1, size + 1):
-        forward[j] = sum(forward[i] * prob.get(p, UNKNOWN) for i, p in lattice[j])
-    if forward[size] <= 0:
-        return
-    backward = [0.0] * size + [1.0]
-    for j in range(size, 0, -1):
-        for i, p in lattice[j]:
-            q = prob.get(p, UNKNOWN)
-            backward[i] += backward[j] * q
+        forward[j] = _log_sum([forward[i] + q for i, _, q in logs[j]])
+        for i, _, q in logs[j]:
+            ahead[i].append((j, q))
+    backward = [0.0] * (size + 1)
+    for i in range(size - 1, -1, -1):
+        backward[i] = _log_sum([backward[j] + q for j, q in ahead[i]])
+    for j in range(1, size + 1):
+        for i, p, q in logs[j]:
             if p:
-                into[p] = into.get(p, 0.0) + n * forward[i] * q * backward[j] / forward[size]
+                into[p] = into.get(p, 0.0) + n * math.exp(forward[i] + q + backward[j] - forward[size])
+
+
+def _log_sum(terms: list[float]) -> float:
+    top = max(terms)
+    return top + math.log(sum(math.exp(x - top) for x in terms))
 
 
 def _key(piece: str) -> int:
@@ -197,14 +206,20 @@ def fit(samples: dict[str, list[str]], vocab: list[str], priors: dict[str, float
 def train(documents: DataFrame, held_mod: int = 4, held_rest: int = 2, vocab_path: str = VOCABULARY) -> LanguageModel:
     """Learn from text and non-null lang of the rows whose crc32(doc_id) mod `held_mod` isn't `held_rest`.
 
-    A sample of at most SAMPLE_DOCS documents of a language, chosen by a hash of the id, fits the pieces; priors are counts of all.
+    A sample of at most SAMPLE_DOCS documents of a language, chosen by a hash of id and text, fits the pieces; priors are counts of all.
+    Of a text above SAMPLE_TEXT_BYTES a run of RUN_CHARS is taken. Repeated rows are one before the driver reads the sample.
     """
     usable = documents.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null").where(doc_remainder(F.col("doc_id"), held_mod) != held_rest)
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    sized = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("different")).collect()  # a row a language
+    counts = {r["lang"]: r["n"] for r in sized}
     if not counts:
         return LanguageModel([], {}, [])
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(1_000_000 * min(1.0, 1.3 * SAMPLE_DOCS / n)))])
-    rows = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate[F.col("lang")]).where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).select("lang", "text", F.xxhash64("doc_id").alias("_o")).collect()
+    rate = F.create_map(*[F.lit(x) for r in sized for x in (r["lang"], int(1_000_000 * min(1.0, 1.3 * SAMPLE_DOCS / max(1, r["different"]))))])
+    drawn = usable.withColumn("_o", F.xxhash64("doc_id", "text")).where(F.pmod("_o", F.lit(1_000_000)) < rate[F.col("lang")])
+    start = F.pmod(F.col("_o"), F.greatest(F.length("text") - RUN_CHARS, F.lit(1))) + 1
+    run = F.when(F.octet_length("text") <= SAMPLE_TEXT_BYTES, F.col("text")).otherwise(F.substring("text", start.cast("int"), RUN_CHARS))
+    once = drawn.groupBy("lang", "_o").agg(F.first(run).alias("text"))
+    rows = once.orderBy("_o", "lang", "text").limit(2 * SAMPLE_DOCS * len(counts)).collect()
     samples: dict[str, list[str]] = {x: [] for x in counts}
     for r in sorted(rows, key=lambda r: (r["_o"], r["text"])):
         if len(samples[r["lang"]]) < SAMPLE_DOCS:
@@ -233,15 +248,17 @@ class Identifier:
 
     def word(self, word: str) -> list[float]:
         """log of the sum, over all segmentations, of the product of piece probabilities; one for each language."""
-        size, n, trie = len(word), self.n, self.trie
+        size, n, trie, longest = len(word), self.n, self.trie, self.index.longest
         rows: list[list[float] | None] = [None] * (size + 1)
         rows[0] = [1.0] * n
         shift = 0.0
         for i in range(size):
             here = rows[i]
-            if i and i % 24 == 0 and (top := max(here)) > 0:  # long words would underflow: rescale all rows ahead
+            rows[i] = None
+            if i and i % 24 == 0 and (top := max(here)) > 0:  # long words would underflow: rescale all rows that a piece has reached
                 shift += math.log(top)
-                for r in rows[i:]:
+                here = [x / top for x in here]
+                for r in rows[i + 1 : i + longest + 1]:
                     if r is not None:
                         r[:] = [x / top for x in r]
             node = trie

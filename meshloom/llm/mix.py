@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import tidied, written
+from .common import fresh, named, tidied, written
 
 #: Weights of the sources in their order, over and over; the share of all sizes that the mix has; most repeats of a source.
 WEIGHTS = (3, 1, 2)
@@ -118,13 +118,14 @@ def mixed_rows(documents: DataFrame, weight: Column | None = None, weights: tupl
     What mix_documents takes of a source is a run of its key order, so the run's last key says of each row whether it is taken.
     Rows of one id and size are taken alike.
     """
-    columns = documents.columns
-    drawn = documents.select("*", *_drawn(documents, weight, seed))
-    key = F.struct("_mix_key", F.coalesce("_mix_id", F.lit(-(1 << 63))).alias("i"), "_mix_size")
+    own, of, epochs, final, copy = fresh(documents, "mix", "mix_of", "mix_epochs", "mix_last", "mix_copy")
+    drawn = documents.withColumn(own, F.struct(*_drawn(documents, weight, seed)))
+    key = lambda x, i, size: F.struct(F.col(x).alias("_mix_key"), F.coalesce(F.col(i), F.lit(-(1 << 63))).alias("i"), F.col(size).alias("_mix_size"))
     placed = _placed(documents.select(*_drawn(documents, weight, seed)), weights, share, most)
-    last = written(placed.groupBy(F.col("_mix_source").alias("_of")).agg(F.max("epochs").alias("_epochs"), F.max(F.when(F.col("chosen"), key)).alias("_last")))
+    last = written(placed.groupBy(F.col("_mix_source").alias(of)).agg(F.max("epochs").alias(epochs), F.max(F.when(F.col("chosen"), key("_mix_key", "_mix_id", "_mix_size"))).alias(final)))
     if last.count() <= MOST_BROADCAST_SOURCES:
         last = F.broadcast(last)
-    rows = drawn.join(last, F.col("_mix_source").eqNullSafe(F.col("_of")))
-    times = F.when(F.col("_mix_size") > 0, F.col("_epochs") + F.when(key <= F.col("_last"), 1).otherwise(0)).otherwise(0).cast("int")
-    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), times))).where(F.col("_mix_copy") > 0).select(*[F.col(f"`{c}`") for c in columns])
+    rows = drawn.join(last, F.col(f"{own}._mix_source").eqNullSafe(F.col(of)))
+    again = F.when(key(f"{own}._mix_key", f"{own}._mix_id", f"{own}._mix_size") <= F.col(final), 1).otherwise(0)
+    times = F.when(F.col(f"{own}._mix_size") > 0, F.col(epochs) + again).otherwise(0).cast("int")
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(0), times))).where(F.col(copy) > 0).select([named(c) for c in documents.columns])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from meshloom.operators.components import linked, looked_up
 
-from .common import LOWER, Packed, mixed, text_parts, tidied, written
+from .common import LOWER, Packed, fresh, mixed, named, text_parts, tidied, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -339,15 +339,14 @@ def drop_near_duplicates(documents: DataFrame, words: int = WORDS, similarity: f
     """The rows of documents, all columns as they are, that stay: of each class the rows of the least doc_id.
 
     Rows of null id stay, and so do null texts and texts without words. Of rows of one id and equal text one stays, the
-    one whose other columns come first; an id's different texts all stay. Empty input gives no rows.
+    one whose other columns come first as JSON; an id's different texts all stay. Empty input gives no rows.
     """
     of = written(classes(documents, words, similarity).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")).where("class_id <> doc_id or n > 1"))
-    flagged = of.select(F.col("doc_id").alias("_near_id"), (F.col("class_id") == F.col("doc_id")).alias("_near_again"))
+    near, again, rest = fresh(documents, "near_id", "near_again", "near_rest")
+    flagged = of.select(F.col("doc_id").alias(near), (F.col("class_id") == F.col("doc_id")).alias(again))
     if of.count() <= MOST_BROADCAST_IDS:
         flagged = F.broadcast(flagged)
-    rows = documents.join(flagged, documents["doc_id"] == F.col("_near_id"), "left")
-    once = rows.where("_near_id is null").select(*[documents[c] for c in documents.columns])
-    again = rows.where("_near_again").select(*[documents[c] for c in documents.columns])
-    rest = [c for c in documents.columns if c not in ("doc_id", "text")]
-    one = again.groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_near_rest")) if rest else again.distinct()
-    return once.unionByName(one.select(*[F.col(f"_near_rest.`{c}`") if c in rest else F.col(f"`{c}`") for c in documents.columns]))
+    rows = documents.join(flagged, F.col("doc_id") == F.col(near), "left")
+    columns = [named(c) for c in documents.columns]
+    one = rows.where(F.col(again)).groupBy("doc_id", "text").agg(F.min_by(F.struct(columns), F.to_json(F.struct(columns))).alias(rest))
+    return rows.where(F.col(near).isNull()).select(columns).unionByName(one.select(f"{rest}.*"))
