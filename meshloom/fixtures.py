@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshloom.operators.dual import prefix_sums
+from meshloom.operators.prefix import ranks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
     """df with n, the place of each row in the order of a unique key, from 0."""
-    return prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), key, "_one", "n").drop("_one")
+    return ranks(df, key, "n")
 
 
 def order_elements(spark: SparkSession, sf_dir: str, n: int, geom_type: int) -> DataFrame:

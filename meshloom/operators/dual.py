@@ -12,10 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshloom.functions.geometry import FACES, GMSH_DIMENSION, local_parts
-from meshloom.shared import written
 
-#: Rows that one window of prefix_sums sees, about.
-RANGE_ROWS = 50_000
+from .prefix import prefix_sums, ranks
 
 
 def faces(elements: DataFrame, dim: int) -> DataFrame:
@@ -107,22 +105,6 @@ def csr(gv: DataFrame, ge: DataFrame) -> DataFrame:
     return prefix_sums(each.withColumn("_d", F.size("adjncy").cast("long")), "v", "_d", "xadj").drop("_d").select("v", "xadj", "adjncy", "adjwgt")
 
 
-def prefix_sums(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """df with the sum of `value` over all rows before this one in the order of a unique key.
-
-    Rows are written and cut into ranges of about RANGE_ROWS by approximate quantiles of the key, so that no window sees all rows.
-    """
-    df = written(df)
-    parts = max(2, -(-df.count() // RANGE_ROWS))
-    bounds = F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000))
-    cut = df.agg(bounds.alias("_b"))
-    ranged = df.crossJoin(F.broadcast(cut)).withColumn("_r", F.size(F.filter("_b", lambda b: b < F.col(order)))).drop("_b")
-    sums = ranged.groupBy("_r").agg(F.sum(value).alias("_s"))
-    starts = sums.select("_r", F.coalesce(F.sum("_s").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # a row a range
-    inside = F.coalesce(F.sum(value).over(W.partitionBy("_r").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("_in", inside).join(F.broadcast(starts), "_r").withColumn(name, (F.col("_start") + F.col("_in")).cast("long")).drop("_r", "_in", "_start")
-
-
 def induced(gv: DataFrame, ge: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The subgraph on the vertices `keep(v)`: weights as they are."""
     ends = keep.select("v").distinct()
@@ -138,7 +120,7 @@ def induced_by_part(gv: DataFrame, ge: DataFrame, part: DataFrame, p: int) -> tu
 
 def relabelled(gv: DataFrame, ge: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices numbered from 0 in the order of their ids."""
-    number = prefix_sums(gv.select("v").withColumn("_one", F.lit(1).cast("long")), "v", "_one", "n").select("v", "n")
+    number = ranks(gv.select("v"), "v", "n")
     out_v = gv.join(number, "v").drop("v").withColumnRenamed("n", "v")
     out_e = ge.join(number.toDF("src", "_s"), "src").join(number.toDF("dst", "_d"), "dst").select(F.col("_s").alias("src"), F.col("_d").alias("dst"), "w")
     return out_v, out_e
@@ -147,7 +129,7 @@ def relabelled(gv: DataFrame, ge: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dense_rows(gv: DataFrame, ge: DataFrame) -> DataFrame:
     """(v, cells): a row of the 0/1 adjacency matrix as text, columns in the order of the ids. Each row is as long as there are vertices."""
     n = gv.count()
-    number = prefix_sums(gv.select("v").withColumn("_one", F.lit(1).cast("long")), "v", "_one", "i").select(F.col("v").alias("dst"), "i")
+    number = ranks(gv.select("v"), "v", "i").select(F.col("v").alias("dst"), "i")
     near = ge.join(number, "dst").groupBy(F.col("src").alias("v")).agg(F.collect_set("i").alias("_n"))
 
     def run(batches):  # noqa: ANN001, ANN202

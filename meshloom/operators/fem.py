@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from meshloom.functions.geometry import EDGES, local_parts
 
+from .prefix import ranks
+
 
 def round_robin(elements: DataFrame, ranks: int) -> DataFrame:
     """elements with the rank elem_id modulo ranks."""
@@ -26,7 +28,7 @@ def shared_vertices(ranked: DataFrame) -> DataFrame:
 
 def local_dofs(ranked: DataFrame) -> DataFrame:
     """(rank, vert_id, dof): a rank's vertices numbered from 0 in the order of their ids."""
-    return rank_vertices(ranked).withColumn("dof", (F.row_number().over(W.partitionBy("rank").orderBy("vert_id")) - 1).cast("long"))
+    return ranks(rank_vertices(ranked), "vert_id", "dof", ["rank"])
 
 
 def global_offsets(ranked: DataFrame) -> DataFrame:

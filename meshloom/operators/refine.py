@@ -17,6 +17,7 @@ from meshloom.shared import scratch, written
 
 from .kmeans import calibrated_beta, centroids, with_geo
 from .metrics import boundary_volume, cut_of, edge_cut, exposed, links, moves_of, part_weights, volume_info
+from .prefix import prefix_sums
 
 
 @dataclass(frozen=True)
@@ -40,25 +41,19 @@ def independent(ge: DataFrame, candidates: DataFrame, seed: int) -> DataFrame:
     return candidates.join(rival, "v", "left_anti")
 
 
-#: Rows that a window of running() sees, about.
-RANGE_ROWS = 50_000
+#: Up to so many rows a plain window does it.
+WINDOW_ROWS = 50_000
 
 
 def running(rows: DataFrame, by: list[str], value: str, name: str, n: int) -> DataFrame:
     """The sum of `value` from a group's first row up to this one, in the order of falling `rank`, then v. n: how many rows there are.
 
-    More than RANGE_ROWS are cut into ranges at quantiles of rank, so that a group isn't one task's; rank() tells equal gains apart.
+    More than WINDOW_ROWS go over ranges of (group, rank, v), so that a group isn't one task's.
     """
     order = [F.desc("rank"), F.asc("v")]
-    if n <= RANGE_ROWS:
+    if n <= WINDOW_ROWS:
         return rows.withColumn(name, F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
-    ranges = -(-n // RANGE_ROWS)
-    cut = rows.agg(F.percentile_approx("rank", F.array(*[F.lit(i / ranges) for i in range(1, ranges)])).alias("_c"))
-    cut_rows = rows.crossJoin(F.broadcast(cut)).withColumn("_r", F.size(F.filter("_c", lambda c: c >= F.col("rank")))).drop("_c")
-    sums = cut_rows.groupBy(*by, "_r").agg(F.sum(value).alias("_s"))
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_s").over(W.partitionBy(*by).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    inside = F.sum(value).over(W.partitionBy(*by, "_r").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return cut_rows.withColumn("_in", inside).join(starts, [*by, "_r"]).withColumn(name, F.col("_start") + F.col("_in")).drop("_r", "_in", "_start")
+    return prefix_sums(rows, order, value, name, by, inclusive=True)
 
 
 def rank(seed: int) -> Column:

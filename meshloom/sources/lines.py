@@ -10,7 +10,7 @@ from meshloom.shared import written
 
 
 def numbered_lines(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
-    """(n, tokens): the words of each line that has any, comments cut off, numbered from 0 in the order of the file.
+    """(n, tokens, split): the words of each line that has any, comments cut off, numbered from 0 in the order of the file.
 
     A split is numbered by itself and starts at the number of lines before it; the driver reads a row a split.
     """
@@ -23,4 +23,4 @@ def numbered_lines(spark: SparkSession, path: str, comment: str = "#") -> DataFr
         out.append((r["b"], start))
         start += r["count"]
     offsets = spark.createDataFrame(out, "b long, start long")
-    return at.join(F.broadcast(offsets), "b").select((F.col("start") + F.col("i") - 1).alias("n"), "tokens")
+    return at.join(F.broadcast(offsets), "b").select((F.col("start") + F.col("i") - 1).alias("n"), "tokens", F.col("b").alias("split"))

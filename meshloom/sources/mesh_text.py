@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshloom.functions.geometry import arity
-from meshloom.operators.dual import prefix_sums
+from meshloom.operators.prefix import prefix_sums
 
-from .files import file_of
 from .lines import numbered_lines
+from .placed import write_lines
 
 _SECTIONS = ("dimension", "elements", "boundary", "vertices", "nodes")
 
@@ -101,16 +101,14 @@ def _nodes(spark: SparkSession, lines: DataFrame, starts: dict, ends: dict, coun
     return rows.groupBy("vert_id").agg(*[F.coalesce(F.max(F.when(F.col("d") == d, F.col("value"))), F.lit(0.0)).alias(x) for d, x in enumerate("xyz")])
 
 
-def write_mesh(mesh: Mesh, path: str) -> str:
-    """The mesh as one text file, streamed partition by partition; for tools that read such files. Returns the path."""
-    with file_of(mesh.elements.sparkSession, path) as put:
-        line = lambda *words: put((" ".join(map(str, words)) + "\n").encode())
-        put(f"mesh v1.0\n\ndimension\n{mesh.dimension}\n".encode())
-        for name, table in (("elements", mesh.elements), ("boundary", mesh.boundary)):
-            put(f"\n{name}\n{table.count()}\n".encode())
-            for r in table.orderBy("elem_id").toLocalIterator():
-                line(r["attribute"], r["geom_type"], *r["verts"])
-        put(f"\nvertices\n{mesh.vertices.count()}\n3\n".encode())
-        for r in mesh.vertices.orderBy("vert_id").toLocalIterator():
-            line(repr(r["x"]), repr(r["y"]), repr(r["z"]))
-    return path
+def write_mesh(mesh: Mesh, path: str, **options: str) -> str:
+    """The mesh as one text file, written by all tasks at once; for tools that read such files. Returns the path."""
+    spark = mesh.elements.sparkSession
+    heads = [(0, 0, f"mesh v1.0\n\ndimension\n{mesh.dimension}"), (1, -1, f"\nelements\n{mesh.elements.count()}"), (2, -1, f"\nboundary\n{mesh.boundary.count()}"), (3, -1, f"\nvertices\n{mesh.vertices.count()}\n3")]
+    lines = spark.createDataFrame(heads, "section int, i long, line string")
+    for section, table in ((1, mesh.elements), (2, mesh.boundary)):
+        words = F.concat_ws(" ", "attribute", "geom_type", F.col("verts").cast("array<string>"))
+        lines = lines.unionByName(table.select(F.lit(section).alias("section"), F.col("elem_id").cast("long").alias("i"), words.alias("line")))
+    at = F.concat_ws(" ", *[F.col(c).cast("double").cast("string") for c in "xyz"])
+    lines = lines.unionByName(mesh.vertices.select(F.lit(3).alias("section"), F.col("vert_id").cast("long").alias("i"), at.alias("line")))
+    return write_lines(lines, ["section", "i"], path, **options)
