@@ -87,16 +87,24 @@ def match(gv: DataFrame, scored: DataFrame, seed: int, rounds: int = 8) -> DataF
     return gv.select("v").join(pairs.select(F.col("u").alias("v"), F.col("v").alias("cv")), "v", "left").select("v", F.coalesce("cv", "v").alias("cv"))
 
 
-def pair_leftovers(gv: DataFrame, ge: DataFrame, cmap: DataFrame, max_weight: int = 0) -> DataFrame:
+#: Single vertices that one window pairs, about.
+PAIR_ROWS = 10_000
+
+
+def pair_leftovers(gv: DataFrame, ge: DataFrame, cmap: DataFrame, max_weight: int = 0, of: DataFrame | None = None) -> DataFrame:
     """cmap with single vertices paired that share their heaviest neighbour, or that have none: what no matching can merge.
 
-    Pairs are neighbours in the order of ids within 64 salts of a shared neighbour, or within hash buckets.
+    Pairs are neighbours in the order of ids within the salts of a shared neighbour, of which it has more the more leaves it has, or within
+    hash buckets. of (v, sub): only vertices of one sub-problem are paired.
     """
     single = cmap.join(cmap.groupBy("cv").count().where("count = 1").select("cv"), "cv", "left_semi").select("v").join(gv.select("v", "vwgt"), "v")
+    single = single.withColumn("sub", F.lit(0)) if of is None else single.join(of, "v")
     heavy = ge.where("src <> dst").groupBy(F.col("src").alias("v")).agg(F.max(F.struct("w", (-F.col("dst")).alias("d")))["d"].alias("near"))
-    salt = F.when(F.col("near").isNull(), F.pmod(F.xxhash64("v"), F.lit(4096))).otherwise(F.pmod(F.xxhash64("v"), F.lit(64)))
-    by = W.partitionBy("near", "salt").orderBy("v")
-    placed = single.join(heavy, "v", "left").withColumn("salt", salt).withColumn("i", F.row_number().over(by) - 1).withColumn("to", F.lag("v").over(by)).withColumn("w_to", F.lag("vwgt").over(by))
+    known = written(single.join(heavy, "v", "left"))
+    salts = known.groupBy("near", "sub").agg(F.ceil(F.count("*") / PAIR_ROWS).alias("salts")).where("salts > 1")  # of hubs only
+    salted = known.join(F.broadcast(salts.toDF("_near", "_sub", "salts")), F.col("near").eqNullSafe(F.col("_near")) & (F.col("sub") == F.col("_sub")), "left")
+    by = W.partitionBy("sub", "near", "salt").orderBy("v")
+    placed = salted.withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1)))).withColumn("i", F.row_number().over(by) - 1).withColumn("to", F.lag("v").over(by)).withColumn("w_to", F.lag("vwgt").over(by))
     fits = (F.col("i") % 2 == 1) & ((F.col("vwgt") + F.col("w_to") <= max_weight) if max_weight > 0 else F.lit(True))
     second = placed.where(fits).select("v", "to")
     return cmap.join(second, "v", "left").select("v", F.coalesce("to", "cv").alias("cv"))
@@ -119,9 +127,9 @@ def project(cmap: DataFrame, coarse_part: DataFrame) -> DataFrame:
     return cmap.join(coarse_part.withColumnRenamed("v", "cv"), "cv").select("v", "part")
 
 
-def coarsen(gv: DataFrame, ge: DataFrame, limit: int, ratio: float = 0.75, max_levels: int = 128, seed: int = 42, lam: float = 1.0, max_weight: int = 0, most_edges: int = 0) -> list[Level]:
+def coarsen(gv: DataFrame, ge: DataFrame, limit: int, ratio: float = 0.75, max_levels: int = 128, seed: int = 42, lam: float = 1.0, max_weight: int = 0, most_edges: int = 0, of: DataFrame | None = None) -> list[Level]:
     """Levels, finest first, until one has `limit` vertices or fewer (and most_edges directed edges, unless that is 0), or a level keeps
-    `ratio` of the vertices or more."""
+    `ratio` of the vertices or more. of (v, sub): the graph is many sub-problems side by side, and no vertices of two are merged."""
     levels = [Level(gv, ge, gv.count())]
     dense = lambda x: most_edges > 0 and x.ge.limit(most_edges + 1).count() > most_edges
     while (levels[-1].n > limit or (levels[-1].n > 1 and dense(levels[-1]))) and len(levels) <= max_levels:
@@ -129,7 +137,7 @@ def coarsen(gv: DataFrame, ge: DataFrame, limit: int, ratio: float = 0.75, max_l
         scored = match_scores(fine.gv, fine.ge, lam, max_weight) if lam < 1 else weight_scores(fine.gv, fine.ge, max_weight)
         cmap = written(match(fine.gv, scored, seed + 101 * len(levels)))
         if cmap.where("v = cv").count() > STALLED * fine.n:
-            cmap = written(pair_leftovers(fine.gv, fine.ge, cmap, max_weight))
+            cmap = written(pair_leftovers(fine.gv, fine.ge, cmap, max_weight, of))
         cv, ce = written(contract_vertices(fine.gv, cmap)), written(contract_edges(fine.ge, cmap))
         n = cv.count()
         if n >= fine.n:

@@ -12,7 +12,7 @@ from meshloom.shared import written
 
 from .components import component_weights, island_neighbours, part_components
 from .metrics import edge_cut, part_weights
-from .refine import moved
+from .refine import moved, running
 
 
 @dataclass(frozen=True)
@@ -39,13 +39,17 @@ def islands(weights: DataFrame, keep_largest: float) -> DataFrame:
 
 
 def enforce_connectivity(gv: DataFrame, ge: DataFrame, part: DataFrame, k: int, ub: float = 1.05, keep_largest: float = 0.95) -> Repaired:
-    """Up to k rounds; in each, an island moves as a whole to the part with the most edge weight into it that stays within ub of the
-    ideal, else to the one with the most. An island beside another island that moves in the same round waits, so that they
-    don't swap. Without any outside edge it stays."""
+    """Rounds in which an island moves as a whole to the part with the most edge weight into it of those that it fits into, within ub of the
+    ideal. Islands that choose one part in a round come one after another, and those that it then has no room for choose again in the next round.
+
+    An island that fits nowhere goes to the lightest part that it touches, and then one such island a part and round, or as many as
+    leave that part no heavier than the heaviest. An island beside another one that moves in the same round waits, so that they don't swap. Without any
+    outside edge it stays. In the last of 2 k + 8 rounds all that is left moves.
+    """
     now, isolated, count, still = written(part), 0, 0, False
     limit = int(ub * gv.agg(F.coalesce(F.sum("vwgt"), F.lit(0))).first()[0] / max(k, 1) + 0.5)
-    connected = True
-    for _ in range(max(k, 1)):
+    connected, rounds = True, 2 * max(k, 1) + 8
+    for r in range(rounds):
         parts = written(part_components(gv, ge, now))
         lost = written(islands(component_weights(gv, parts), keep_largest))
         n = lost.count()
@@ -53,18 +57,28 @@ def enforce_connectivity(gv: DataFrame, ge: DataFrame, part: DataFrame, k: int,
             still = True
             connected = parts.groupBy("part").agg(F.countDistinct("label").alias("c")).where("c > 1").limit(1).count() == 0
             break
-        isolated += n
         into = island_neighbours(ge, parts).join(lost.select("part", "label", "w"), ["part", "label"])
-        room = F.broadcast(part_weights(gv, now, k).toDF("nbr_part", "w_dst"))
-        best = into.join(room, "nbr_part").groupBy("part", "label").agg(F.max_by("nbr_part", F.struct(F.col("w_dst") + F.col("w") <= limit, "ed", -F.col("nbr_part"))).alias("dst_part"))
+        loads = written(part_weights(gv, now, k))
+        room = F.broadcast(loads.toDF("nbr_part", "w_dst"))
+        fits = F.col("w_dst") + F.col("w") <= limit
+        order = F.struct(fits, F.when(fits, F.col("ed")).otherwise(-F.col("w_dst")).alias("first"), "ed", -F.col("nbr_part"))
+        choice = into.join(room, "nbr_part").groupBy("part", "label").agg(F.max_by(F.struct(F.col("nbr_part").alias("dst_part"), "w", "w_dst", "ed", fits.alias("fits")), order).alias("c")).select("part", "label", "c.*")
         # of islands side by side only the one of the lowest label moves
         of = parts.join(lost.select("part", "label"), ["part", "label"]).select("v", "label")
         beside = ge.join(of.toDF("src", "ls"), "src").join(of.toDF("dst", "ld"), "dst").where("ls > ld").select(F.col("ls").alias("label")).distinct()
-        moves = written(parts.join(best.join(beside, "label", "left_anti"), ["part", "label"]).select("v", "dst_part"))
+        # those that fit come first; of them, those with the most weight into the part
+        rank = F.when(F.col("fits"), F.col("ed") + F.lit(1.0)).otherwise(-F.col("w")).cast("double")
+        able = written(choice.join(beside, "label", "left_anti").withColumn("v", F.col("label")).withColumn("rank", rank))
+        top = max((x["w"] for x in loads.collect()), default=0)  # k rows
+        queue = running(able, ["dst_part"], "w", "arrived", able.count())
+        room_left = F.col("w_dst") + F.col("arrived") <= F.when(F.col("fits"), F.lit(limit)).otherwise(F.lit(top))
+        go = queue.where(room_left | (F.col("arrived") == F.col("w")) | F.lit(r == rounds - 1)).select("part", "label", "dst_part")
+        moves = written(parts.join(go, ["part", "label"]).select("v", "dst_part"))
         m = moves.count()
         if not m:
-            still, connected = True, False
+            still, connected, isolated = True, False, isolated + n
             break
+        isolated += parts.join(moves.select("v"), "v", "left_semi").select("label").distinct().count()
         now = written(moved(now, moves))
         count += m
     else:

@@ -15,10 +15,16 @@ from meshloom.operators import coarsen as co
 from meshloom.operators import kernel, kmeans, metrics, refine, repair
 from meshloom.shared import written
 
-from . import small
+from . import recursion, small
 from .options import BisectOptions, GeoOptions, KMeansOptions, KwayOptions, RecursiveOptions
 
 
+#: Tentative batches of moves that lose, on each level of a graph above one task's size.
+CLIMB = 4
+#: Vertices a part that the coarsest graph has at least, for a k-way start on it.
+VERTICES_A_PART = 20
+
+
 @dataclass(frozen=True)
 class Partitioned:
     """part(v, part); stats: one row of metrics.partition_stats; levels of coarsening; inertia of the k-means start."""
@@ -34,21 +40,32 @@ def _done(gv: DataFrame, ge: DataFrame, part: DataFrame, k: int, ub: float, leve
 
 
 def bisect(gv: DataFrame, ge: DataFrame, o: BisectOptions = BisectOptions(), most: int = 0) -> Partitioned:
-    """Two parts; a trial a task. target0 is the first part's weight, half of all if it is 0.
-
-    Rounds on larger graphs balance and refine towards equal parts, so with a target0 the coarse parts are projected as they are.
-    """
+    """Two parts; a trial a task. target0 is the first part's weight, half of all if it is 0. On a graph above one task's size rounds
+    balance and refine towards both targets on each level."""
+    most = most or small.MOST_VERTICES
+    if o.target0 and not small.fits(gv, ge, most):
+        total = gv.agg(F.sum("vwgt")).first()[0]
+        of = gv.select("v", F.lit(0).alias("sub"))
+        side = recursion.bisect_all(gv, ge, of, {0: recursion.halves(0, 2, min(1.0, o.target0 / total))}, o.trials, o.passes, o.ub, o.seed, most, CLIMB)
+        return _done(gv, ge, side.select("v", F.col("side").alias("part")), 2, o.ub, 2)
 
     def solver(g: kernel.Graph, seed: int) -> tuple[list[int], float]:
         t1 = max(g.total - (o.target0 or g.total // 2), 1)
         return kernel.bisect(g, (g.total - t1, t1), 1, o.passes, o.ub, seed), 0.0
 
     trials = [o.seed * 1009 + t for t in range(o.trials)]
-    return _multilevel(gv, ge, 2, o.ub, most or small.MOST_VERTICES, solver, trials, o.seed, o.passes, "" if o.target0 else "cut")
+    return _multilevel(gv, ge, 2, o.ub, most, solver, trials, o.seed, o.passes)
 
 
 def recursive_bisect(gv: DataFrame, ge: DataFrame, o: RecursiveOptions = RecursiveOptions(), most: int = 0) -> Partitioned:
-    """k parts by halving, then refined for the cut, the boundary volume, both or neither."""
+    """k parts by halving, then refined for the cut, the boundary volume, both or neither. Above one task's size all sub-problems of a depth
+    are halved at once (plans.recursion), until each fits a task."""
+    most = most or small.MOST_VERTICES
+    if not small.fits(gv, ge, most):
+        part, depth = recursion.recursive_parts(gv, ge, o.k, o.trials, o.passes, o.ub, o.seed, most, CLIMB)
+        for mode in {"cut": ("cut",), "volume": ("volume",), "both": ("cut", "volume")}.get(o.post_refine, ()):
+            part = refine.refine(gv, ge, part, o.k, o.ub, o.post_passes, mode, seed=o.seed, climb=CLIMB).part
+        return _done(gv, ge, part, o.k, o.ub, 1 + depth)
 
     def solver(g: kernel.Graph, seed: int) -> tuple[list[int], float]:
         where = kernel.recursive_bisection(g, o.k, o.trials, o.passes, o.ub, seed)
@@ -58,11 +75,8 @@ def recursive_bisect(gv: DataFrame, ge: DataFrame, o: RecursiveOptions = Recursi
             kernel.refine(g, where, o.k, o.ub, o.post_passes, volume=True)
         return where, 0.0
 
-    done = _multilevel(gv, ge, o.k, o.ub, most or small.MOST_VERTICES, solver, [o.seed], o.seed, o.post_passes, "volume" if o.post_refine == "volume" else "cut")
-    if o.post_refine == "both" and done.levels > 1:
-        part = refine.refine(gv, ge, done.part, o.k, o.ub, o.post_passes, "volume", seed=o.seed).part
-        return _done(gv, ge, part, o.k, o.ub, done.levels)
-    return done
+    part, _ = small.solve(gv, ge, solver, [o.seed], o.k, o.ub)
+    return _done(gv, ge, part, o.k, o.ub)
 
 
 def kmeans_partition(gv: DataFrame, ge: DataFrame, k: int, o: KMeansOptions = KMeansOptions(), most: int = small.MOST_VERTICES) -> Partitioned:
@@ -143,14 +157,18 @@ def _multilevel(
     gv: DataFrame, ge: DataFrame, k: int, ub: float, most: int, solver: small.Solver, trials: list[int], seed: int, rounds: int, mode: str = "cut", ratio: float = 0.75, max_levels: int = 128,
     lam: float = 1.0, cap: int = 0, alpha: float = 1.0, beta: float | None = None, connectivity: bool = False, stop: bool = False,
 ) -> Partitioned:
+    if k * VERTICES_A_PART > most and not small.fits(gv, ge, most):
+        # more parts than a coarse graph of one task can start: halve until they fit
+        part, depth = recursion.recursive_parts(gv, ge, k, 1, rounds, ub, seed, most, CLIMB)
+        part = refine.balance(gv, ge, part, k, ub, seed=seed).part
+        part = refine.refine(gv, ge, part, k, ub, rounds, mode, alpha, beta, seed, stop, climb=CLIMB).part
+        return _done(gv, ge, part, k, ub, 1 + depth)
     levels = _coarse(gv, ge, k, most, 1.0 if ratio >= 1 else max(ratio, 0.95), max_levels, seed, lam, cap)
     part, inertia = _solved(levels[-1], solver, trials, k, ub)
     for fine in reversed(levels[:-1]):
         part = written(co.project(fine.cmap, part))
-        if not mode:
-            continue
         part = refine.balance(fine.gv, fine.ge, part, k, ub, seed=seed).part
-        part = refine.refine(fine.gv, fine.ge, part, k, ub, rounds, mode, alpha, beta, seed, stop).part
+        part = refine.refine(fine.gv, fine.ge, part, k, ub, rounds, mode, alpha, beta, seed, stop, climb=CLIMB if fine is levels[0] else 0).part
     if connectivity and len(levels) > 1:
         for _ in range(3):
             fixed = repair.enforce_connectivity(gv, ge, part, k, ub * 1.10)
