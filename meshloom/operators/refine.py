@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshloom.functions.geometry import d2
 from meshloom.shared import scratch, written
 
 from .kmeans import calibrated_beta, centroids, with_geo
@@ -234,9 +233,10 @@ def geometric_balance(gv: DataFrame, ge: DataFrame, part: DataFrame, k: int, ub:
             w = gv.sparkSession.createDataFrame(list(have.items()), "part int, w long")
             cent = centroids(gv, now, k).select("part", "cx", "cy", "cz")
             edge = links(ge, now).where("nbr_part <> part").select("v", F.col("part").alias("src_part")).distinct().join(F.broadcast(w.toDF("src_part", "w_src")), "src_part").where(F.col("w_src") > ub * ideal)
-            at = edge.join(gv.select("v", "vwgt", "x", "y", "z"), "v").crossJoin(F.broadcast(cent.join(w, "part").toDF("dst_part", "cx", "cy", "cz", "w_dst"))).where("dst_part <> src_part")
-            near = at.where(F.col("w_dst") + F.col("vwgt") <= 1.05 * ub * ideal).withColumn("gain", -d2("x", "y", "z"))
-            pick = near.groupBy("v").agg(F.max_by(F.struct("src_part", "dst_part", "gain", "vwgt", "w_src", "w_dst"), F.struct("gain", (-F.col("dst_part")).alias("p"))).alias("b")).select("v", "b.*")
+            at = edge.join(gv.select("v", "vwgt", "x", "y", "z"), "v").crossJoin(F.broadcast(cent.join(w, "part").agg(F.collect_list(F.struct("part", "cx", "cy", "cz", "w")).alias("_cent"))))
+            able = F.filter("_cent", lambda c: (c["part"] != F.col("src_part")) & (c["w"] + F.col("vwgt") <= 1.05 * ub * ideal))
+            near = F.array_min(F.transform(able, lambda c: F.struct(((F.col("x") - c["cx"]) * (F.col("x") - c["cx"]) + (F.col("y") - c["cy"]) * (F.col("y") - c["cy"]) + (F.col("z") - c["cz"]) * (F.col("z") - c["cz"])).alias("d2"), c["part"].alias("dst_part"), c["w"].alias("w_dst"))))
+            pick = at.withColumn("_b", near).where("_b is not null").select("v", "src_part", F.col("_b.dst_part").alias("dst_part"), (-F.col("_b.d2")).alias("gain"), "vwgt", "w_src", F.col("_b.w_dst").alias("w_dst"))
             pick = written(pick.withColumn("rank", rank(r)))
             n = pick.count()
             fits = running(running(pick, ["dst_part"], "vwgt", "arrived", n), ["src_part"], "vwgt", "left", n)

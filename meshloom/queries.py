@@ -9,8 +9,8 @@ from meshloom import fixtures as fx
 from meshloom.functions.geometry import arity, element_dofs
 from meshloom.operators import coarsen as co
 from meshloom.operators import components as cc
-from meshloom.operators import dual, fem, kmeans, metrics, refine, repair
-from meshloom.plans import options
+from meshloom.operators import dual, fem, growth, kmeans, metrics, prefix, refine, repair
+from meshloom.plans import options, recursion
 from meshloom.plans import partition as plans
 from meshloom.registry import query
 from meshloom.shared import own_path, written
@@ -360,8 +360,7 @@ query(
 
 def _heavy(gv: DataFrame, ge: DataFrame, part: DataFrame) -> DataFrame:
     """Of the heaviest edges only, so that parts fall into components."""
-    n = ge.count()
-    bound = ge.select("w").orderBy("w").offset(max(0, -(-97 * n // 100) - 1)).limit(1).first()["w"]
+    bound = ge.agg(F.expr("percentile_disc(0.97) within group (order by w)")).first()[0]
     heavy = ge.where(F.col("w") >= bound)
     return cc.island_neighbours(heavy, cc.part_components(gv, heavy, part))
 
@@ -583,6 +582,105 @@ _even_query("post_balance_fix", lambda gv, ge, part: refine.balance(gv, ge, part
 _even_query("balance_repair", lambda gv, ge, part: refine.geometric_balance(gv, ge, part, 2, 1.10, 6))
 
 
+# --- graphs above one task's size: the bound is lowered, so that the given tables are above it ---------------------------------
+
+
+@query(
+    f"with {_SUPP}, mv as (select v, part src_part, ((part + 1) % {K})::int dst_part from part where v % 5 = 0), np as (select v, coalesce(dst_part, part.part)::int part from part left join mv using (v)) "
+    "select src as v, a.part, b.part as nbr_part, sum(w)::bigint as ed from ge join np a on a.v = src join np b on b.v = dst group by 1, 2, 3"
+)
+def links_after_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the suppliers move to the next part at once: the links, brought up to date by the moves."""
+    _, ge = fx.supplier_graph(spark, sf_dir)
+    part = fx.supplier_part(spark, sf_dir, K)
+    moves = written(part.where("v % 5 = 0").select("v", F.col("part").alias("src_part"), ((F.col("part") + 1) % K).cast("int").alias("dst_part")))
+    ge = written(ge)
+    return metrics.updated_links(written(metrics.links(ge, part)), ge, moves, moves.count()).select("v", "part", "nbr_part", "ed")
+
+
+@query("select l_suppkey, l_orderkey, l_linenumber, sum(l_quantity::bigint) over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity rows unbounded preceding)::bigint as upto from lineitem")
+def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running quantity of each supplier over all line items."""
+    item = fx.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", F.col("l_quantity").cast("long").alias("q"))
+    rows = prefix.prefix_sums(item, ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"], "q", "upto", ["l_suppkey"], inclusive=True)
+    return rows.select("l_suppkey", "l_orderkey", "l_linenumber", "upto")
+
+
+@query(f"with {_DUAL}, c as (select count(*) n from e) select {_COVER}, 6::bigint as parts_used, true as by_depths, true as near_one_task from c")
+def recursive_bisect_by_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six parts of the triangles by depths, six tenths of them a task at most; near_one_task: cut at most a tenth above what one task finds."""
+    gv, ge = _triangles(spark, sf_dir)
+    n = gv.count()
+    part, depth = recursion.recursive_parts(gv, ge, 6, 4, 3, 1.05, 42, max(20, 6 * n // 10), 2)
+    one = plans.recursive_bisect(gv, ge, options.RecursiveOptions(k=6, post_refine="none", trials=4, passes=4, ub=1.05)).part
+    cut = lambda p: metrics.edge_cut(ge, p).first()["cut"]
+    return _row(spark, **_facts(gv, ge, part, 6, 1.10), parts_used=part.select("part").distinct().count(), by_depths=depth >= 1, near_one_task=cut(part) <= 1.1 * cut(one) + 5)
+
+
+@query(f"with {_DUAL}, c as (select count(*) n from e) select n, n as vertices, n as weight, true as in_range, true as at_target from c")
+def bisect_target_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the triangles against two thirds, on a graph above one task: the first part is within 5 % of its target, and a vertex."""
+    gv, ge = _triangles(spark, sf_dir)
+    n = gv.count()
+    part = plans.bisect(gv, ge, options.BisectOptions(target0=n // 3, trials=3, passes=4), most=max(20, n // 2)).part
+    facts = _facts(gv, ge, part, 2, 2.0)
+    w = metrics.part_weights(gv, part, 2).where("part = 0").first()["w"]
+    return _row(spark, n=facts["n"], vertices=facts["vertices"], weight=facts["weight"], in_range=facts["in_range"], at_target=abs(w - n // 3) <= 0.05 * (n // 3) + 1)
+
+
+@query(f"with {_EMB}, c as (select count(*) n, sum(vwgt)::bigint w from ev) select n, n as vertices, w as weight, true as in_range, 6::bigint as components, true as within_a_layer from c")
+def grow_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six parts grown from seeds along the vectors' chain, a strip ten wide: each is connected, and within a layer of 20 vertices of its target."""
+    gv, _ = fx.embedding_points(spark, sf_dir)
+    line = gv.withColumn("x", F.col("v").cast("double")).withColumn("y", F.lit(0.0)).withColumn("z", F.lit(0.0))
+    gv, ge = written(line), written(fx.chain(gv))
+    goal = gv.agg(F.sum("vwgt")).first()[0] / 6
+    part, _ = growth.grow(gv, ge, growth.spread_seeds(gv, ge, 6), {p: goal for p in range(6)})
+    facts = _facts(gv, ge, part, 6, 6.0)
+    loads = [r["w"] for r in metrics.part_weights(gv, part, 6).collect()]
+    pieces = cc.component_counts(cc.part_components(gv, ge, part)).agg(F.sum("n_components")).first()[0]
+    return _row(spark, n=facts["n"], vertices=facts["vertices"], weight=facts["weight"], in_range=facts["in_range"], components=pieces, within_a_layer=max(abs(w - goal) for w in loads) <= 60)
+
+
+@query(f"with {_DUAL}, {_BY_Y}, le as (select src, dst, w, a.part p, b.part q from de join yy a on a.v = src join yy b on b.v = dst), c as (select count(*) n from e) select n, n as vertices, n as weight, true as in_range, (select (coalesce(sum(w), 0) // 2)::bigint from le where p <> q) as start, true as stated, true as not_above_without from c")
+def refine_cut_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of moves, then climbs out of local minima that are rolled back where they find nothing: not above the cut without them."""
+    gv, ge = _triangles(spark, sf_dir)
+    part = written(gv.select("v", F.least(F.lit(K - 1), F.floor(F.col("y") * K / 25)).cast("int").alias("part")))
+    plain, done = refine.refine(gv, ge, part, K, 1.5, 4), refine.refine(gv, ge, part, K, 1.5, 4, climb=6)
+    facts, end = _facts(gv, ge, done.part, K, 1.5), metrics.edge_cut(ge, done.part).first()["cut"]
+    start = metrics.edge_cut(ge, part).first()["cut"]
+    return _row(spark, n=facts["n"], vertices=facts["vertices"], weight=facts["weight"], in_range=facts["in_range"], start=start, stated=end == done.objective, not_above_without=end <= plain.objective)
+
+
+@query(f"with {_EMB}, c as (select count(*) n, sum(vwgt)::bigint w from ev) select n, n as vertices, w as weight, {K}::bigint as components, true as heaviest_under_cap from c")
+def enforce_connectivity_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Along the vectors' chain, blocks of parts with single vertices of other parts in them: those go back, and no part ends above the cap of 1.1."""
+    gv, _ = fx.embedding_points(spark, sf_dir)
+    gv, ge = written(gv), written(fx.chain(gv))
+    n = gv.count()
+    home = F.least(F.lit(K - 1), F.floor(F.col("v") * K / n)).cast("int")
+    part = written(gv.select("v", F.when(F.col("v") % 25 == 12, F.pmod(home + 2, F.lit(K))).otherwise(home).cast("int").alias("part")))
+    after = repair.enforce_connectivity(gv, ge, part, K, 1.1).part
+    facts = _facts(gv, ge, after, K, float(K))
+    pieces = cc.component_counts(cc.part_components(gv, ge, after)).agg(F.sum("n_components")).first()[0]
+    heaviest = max(r["w"] for r in metrics.part_weights(gv, after, K).collect())
+    return _row(spark, n=facts["n"], vertices=facts["vertices"], weight=facts["weight"], components=pieces, heaviest_under_cap=heaviest <= int(1.1 * facts["weight"] / K + 0.5))
+
+
+@query(f"with {_EMB} select 40::bigint as k, count(*) as n, true as near_single_draws, true as same_parts, true as fewer_distances from ev")
+def kmeans_many_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty centres: oversampled seeds are at most a tenth worse than seeds drawn one by one; iterations with bounds give the same parts and work out fewer distances."""
+    gv, _ = fx.embedding_points(spark, sf_dir)
+    gv = written(gv)
+    inertia = lambda c: kmeans.assigned(gv, c).agg(F.sum("d2")).first()[0]
+    start = kmeans.oversampled_seeds(gv, 40, 42)
+    near = inertia(start) <= 1.1 * inertia(kmeans.seeds(gv, 40, 42))
+    with_bounds, plain = (kmeans.kmeans(gv, 40, 42, 8, 1e-4, start, bounded) for bounded in (True, False))
+    same = with_bounds.part.join(plain.part.toDF("v", "other"), "v").where("part <> other").isEmpty()
+    return _row(spark, k=len(start), n=with_bounds.part.count(), near_single_draws=near, same_parts=same, fewer_distances=with_bounds.looked < plain.looked)
+
+
 def _box_query(name: str, run, ub: float = 1.03) -> None:  # noqa: ANN001
     """Eight parts of the box. cut_in_reach: within a tenth of the published mean cut of 636.1."""
 
