@@ -28,10 +28,31 @@ def _number(kind: type, low: float, high: float = float("inf")) -> Callable[[str
     return read
 
 
+def _mark(parser: argparse.ArgumentParser, namespace: argparse.Namespace, name: str, option: str | None) -> None:
+    """An error for an option that is given twice, of which one value would be lost."""
+    seen = vars(namespace).setdefault("given", set())
+    if name in seen:
+        parser.error(f"{option} is given twice")
+    seen.add(name)
+
+
+class _Once(argparse.Action):
+    def __call__(self, parser, namespace, values, option_string=None) -> None:  # noqa: ANN001
+        _mark(parser, namespace, self.dest, option_string)
+        setattr(namespace, self.dest, values)
+
+
+class _OnceYesNo(argparse.BooleanOptionalAction):
+    def __call__(self, parser, namespace, values, option_string=None) -> None:  # noqa: ANN001
+        _mark(parser, namespace, self.dest, option_string)
+        super().__call__(parser, namespace, values, option_string)
+
+
 def parser() -> argparse.ArgumentParser:
     """Lists are words on one option; of the runs that they make the best is kept: balanced first, then of least cut."""
     p = argparse.ArgumentParser(prog="meshloom", description=__doc__)
-    yes_no = argparse.BooleanOptionalAction
+    p.register("action", None, _Once)
+    yes_no = _OnceYesNo
     p.add_argument("mesh", help="mesh text file, or .msh")
     p.add_argument("-k", "--parts", type=_number(int, 1), default=4)
     p.add_argument("-w", "--method", choices=("geo", "kway", "rb"), default="geo")

@@ -158,5 +158,9 @@ def partition_stats(gv: DataFrame, ge: DataFrame, part: DataFrame, k: int, ub: f
     """One row: k, cut, volume, max_imb, avg_imb, balanced, components, island_parts (parts of several components)."""
     comps = part_components(gv, ge, part).groupBy("part").agg(F.countDistinct("label").alias("n"))
     counted = comps.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("components"), F.count(F.when(F.col("n") > 1, 1)).alias("island_parts"))
-    row = edge_cut(ge, part).select("cut").crossJoin(boundary_volume(gv, ge, part).select("volume")).crossJoin(imbalance(part_weights(gv, part, k), ub)).crossJoin(counted)
+    # cut and boundary from one join of the edges
+    out = F.sum(F.when(F.col("p_src") != F.col("p_dst"), F.col("w")).otherwise(0)).cast("long").alias("out")
+    by_vertex = gv.join(part.select("v"), "v").join(labelled_edges(ge, part).groupBy(F.col("src").alias("v")).agg(out), "v", "left")
+    sums = by_vertex.agg((F.coalesce(F.sum("out"), F.lit(0)) / 2).cast("long").alias("cut"), F.coalesce(F.sum(F.when(F.col("out") > 0, F.col("vsize"))), F.lit(0)).cast("long").alias("volume"))
+    row = sums.crossJoin(imbalance(part_weights(gv, part, k), ub)).crossJoin(counted)
     return row.select(F.lit(k).alias("k"), "cut", "volume", "max_imb", "avg_imb", "balanced", "components", "island_parts")
