@@ -1,7 +1,8 @@
 """Partitioners: bisection, recursive bisection, k-means, multilevel k-way, geometric multilevel k-way.
 
 A graph that fits one task is solved there, a task a trial. A larger one is coarsened by DataFrame rounds until it fits,
-solved, projected back level by level, and balanced and refined by rounds of independent moves on each level.
+solved, projected back level by level, and refined by rounds of independent moves on each level: all trials side by side, of which the
+best on the finest level is then balanced and refined for its objective.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from meshloom.operators import coarsen as co
 from meshloom.operators import kernel, kmeans, metrics, refine, repair
+from meshloom.operators import trials as side
 from meshloom.shared import written
 
 from . import recursion, small
@@ -21,6 +23,8 @@ from .options import BisectOptions, GeoOptions, KMeansOptions, KwayOptions, Recu
 
 #: Tentative batches of moves that lose, on each level of a graph above one task's size.
 CLIMB = 4
+#: Rounds in which all trials are refined side by side, on each level of such a graph.
+TRIAL_ROUNDS = 4
 #: Vertices a part that the coarsest graph has at least, for a k-way start on it.
 VERTICES_A_PART = 20
 
@@ -153,6 +157,16 @@ def _solved(coarse: co.Level, solver: small.Solver, trials: list[int], k: int, u
     return refine.balance(coarse.gv, coarse.ge, run.part, k, ub, seed=trials[0]).part, run.inertia
 
 
+def _best_projected(levels: list[co.Level], solver: small.Solver, trials: list[int], k: int, ub: float, seed: int) -> tuple[DataFrame, float]:
+    """The best of the trials once all are projected to the finest level, side by side, and refined on each; and its inertia."""
+    labels, inertias = small.solve_each(levels[-1].gv, levels[-1].ge, solver, trials, k, ub)
+    for fine in reversed(levels[:-1]):
+        tried = side.refine(fine.gv, fine.ge, side.project(fine.cmap, labels), len(trials), k, ub, TRIAL_ROUNDS, seed)
+        labels = tried.labels
+    chosen = side.best(levels[0].gv, tried, k, ub)
+    return written(side.part_of(labels, chosen)), inertias[chosen]
+
+
 def _multilevel(
     gv: DataFrame, ge: DataFrame, k: int, ub: float, most: int, solver: small.Solver, trials: list[int], seed: int, rounds: int, mode: str = "cut", ratio: float = 0.75, max_levels: int = 128,
     lam: float = 1.0, cap: int = 0, alpha: float = 1.0, beta: float | None = None, connectivity: bool = False, stop: bool = False,
@@ -164,9 +178,13 @@ def _multilevel(
         part = refine.refine(gv, ge, part, k, ub, rounds, mode, alpha, beta, seed, stop, climb=CLIMB).part
         return _done(gv, ge, part, k, ub, 1 + depth)
     levels = _coarse(gv, ge, k, most, 1.0 if ratio >= 1 else max(ratio, 0.95), max_levels, seed, lam, cap)
-    part, inertia = _solved(levels[-1], solver, trials, k, ub)
-    for fine in reversed(levels[:-1]):
-        part = written(co.project(fine.cmap, part))
+    several = len(trials) > 1 and len(levels) > 1 and small.fits(levels[-1].gv, levels[-1].ge, small.MOST_VERTICES)
+    if several:
+        part, inertia = _best_projected(levels, solver, trials, k, ub, seed)
+    else:
+        part, inertia = _solved(levels[-1], solver, trials, k, ub)
+    for fine in levels[:1] if several else reversed(levels[:-1]):
+        part = part if several else written(co.project(fine.cmap, part))
         part = refine.balance(fine.gv, fine.ge, part, k, ub, seed=seed).part
         part = refine.refine(fine.gv, fine.ge, part, k, ub, rounds, mode, alpha, beta, seed, stop, climb=CLIMB if fine is levels[0] else 0).part
     if connectivity and len(levels) > 1:

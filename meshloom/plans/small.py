@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.operators.kernel import Graph
+from meshloom.operators.trials import side_by_side
 from meshloom.shared import written
 
 #: A graph of more vertices or directed edges is never sent to one task.
@@ -35,8 +36,8 @@ def graph_of(rows: pd.DataFrame) -> tuple[Graph, np.ndarray]:
     return Graph(near, v["b"].astype(int).tolist(), v["w"].astype(int).tolist(), v[["x", "y", "z"]].fillna(0.0).to_numpy(float)), ids
 
 
-def solve(gv: DataFrame, ge: DataFrame, solver: Solver, trials: list[int], k: int, ub: float) -> tuple[DataFrame, float]:
-    """part of the best of the trials (seeds), and its inertia: within ub first, then of least cut, then the first.
+def _tried(gv: DataFrame, ge: DataFrame, solver: Solver, trials: list[int], k: int, ub: float) -> tuple[DataFrame, list]:
+    """(trial, v, part, ...) of all trials (seeds), written, and a row a trial: whether it is over ub, its cut and inertia.
 
     Each trial has a copy of the bounded graph in a task of its own; the driver reads a row a trial.
     """
@@ -53,8 +54,19 @@ def solve(gv: DataFrame, ge: DataFrame, solver: Solver, trials: list[int], k: in
         return pd.DataFrame({"trial": int(key[0]), "v": ids, "part": np.array(where, np.int32), "over": g.imbalance(where, k) + 1 > ub + 1e-9, "cut": g.cut(where), "inertia": inertia})
 
     out = written(each.groupBy("trial").applyInPandas(run, "trial int, v long, part int, over boolean, cut long, inertia double"))
-    tried = out.groupBy("trial").agg(F.first("over").alias("over"), F.first("cut").alias("cut"), F.first("inertia").alias("inertia")).collect()
+    return out, out.groupBy("trial").agg(F.first("over").alias("over"), F.first("cut").alias("cut"), F.first("inertia").alias("inertia")).collect()
+
+
+def solve(gv: DataFrame, ge: DataFrame, solver: Solver, trials: list[int], k: int, ub: float) -> tuple[DataFrame, float]:
+    """part of the best of the trials (seeds), and its inertia: within ub first, then of least cut, then the first."""
+    out, tried = _tried(gv, ge, solver, trials, k, ub)
     if not tried:
         return out.select("v", "part"), 0.0
     best = min(tried, key=lambda r: (r["over"], r["cut"], r["trial"]))
     return out.where(F.col("trial") == best["trial"]).select("v", "part"), float(best["inertia"])
+
+
+def solve_each(gv: DataFrame, ge: DataFrame, solver: Solver, trials: list[int], k: int, ub: float) -> tuple[DataFrame, list[float]]:
+    """labels of all trials (rising seeds) side by side, and the inertia of each."""
+    out, tried = _tried(gv, ge, solver, trials, k, ub)
+    return side_by_side(out), [float(r["inertia"]) for r in sorted(tried, key=lambda r: r["trial"])]
