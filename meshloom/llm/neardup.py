@@ -274,6 +274,17 @@ def _drawn(node: Column, salt: int, *more: str) -> Column:
     return F.struct(F.xxhash64(node, F.lit(salt)).alias("h"), node.alias("d"), *more)
 
 
+def _shared(bucket: DataFrame, leader: DataFrame, most: int) -> DataFrame:
+    """(h, node, leader, n): rows (node, h) of the bands that `leader` (h, leader, n) has, one row a band. Bands of over `most` nodes are broadcast.
+
+    Either join gives each row of the bands once, whatever the sizes of groups; rows that have their leader go to the second by a hash of their own.
+    """
+    hot = F.broadcast(leader.where(F.col("n") > most)).select("h", F.struct("leader", "n").alias("led"))
+    first = bucket.join(hot, "h", "left").withColumn("key", F.when(F.col("led").isNull(), F.col("h")).otherwise(F.xxhash64("node", "h")))
+    rest = leader.select(F.col("h").alias("key"), F.struct("leader", "n").alias("cold"))
+    return first.join(rest, "key", "left").select("h", "node", F.coalesce("led", "cold").alias("led")).where("led is not null").select("h", "node", "led.leader", "led.n")
+
+
 def _grouped(documents: DataFrame, copies: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, label), written, of the nodes that a link or a label names; `copies` has a row a node with its bands."""
     node = F.col("node")
@@ -281,9 +292,7 @@ def _grouped(documents: DataFrame, copies: DataFrame, words: int, similarity: fl
     leader = bucket.groupBy("h").agg(F.min(_drawn(node, 0))["d"].alias("leader"), F.count("*").alias("n"), F.bit_xor(F.xxhash64(node, F.lit(1))).alias("x"), F.sum(F.xxhash64(node, F.lit(2)).bitwiseAND(0xFFFFFFFF)).alias("s"))
     # bands of the same nodes are one
     leader = written(leader.where("n > 1").groupBy("n", "x", "s", "leader").agg(F.min("h").alias("h")).select("h", "leader", "n"))
-    hot = F.broadcast(leader.where(F.col("n") > max(HOT, copies.count() // HOT)))
-    first = bucket.join(hot, "h", "left")
-    shared = written(first.where("leader is not null").unionByName(first.where("leader is null").select("node", "h").join(leader, "h"), allowMissingColumns=True).select("h", "node", "leader", "n"))
+    shared = written(_shared(bucket, leader, max(HOT, copies.count() // HOT)))
     met = written(shared.where("leader <> node").groupBy(node.alias("b")).agg(F.min(_drawn(F.col("leader"), 0))["d"].alias("a")).select("a", "b"))
     near = written(copies.select("node", "exact_id", "f1", "f2").join(shared.select("node").distinct(), "node", "left_semi"))
     shingles = _shingles_of(documents, near, words)
