@@ -15,7 +15,8 @@ _CLAIM = "v long, part int"
 
 
 def spread_seeds(gv: DataFrame, ge: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """(v, part): k vertices, the i-th of which is the one of the least hash in the i-th range of (component, x, y, z, v); fewer if there are fewer vertices.
+    """(v, part): k vertices, the i-th of which is the middle one of the i-th range of (component, x, y, z, v), by a hash of the two middle ones if there are
+    two; fewer if there are fewer vertices. From the middle a part has its range on both sides, and none is cut off from its own by a neighbour.
 
     Components come one after another, so that one with a k-th of the vertices has a seed at least.
     """
@@ -25,7 +26,10 @@ def spread_seeds(gv: DataFrame, ge: DataFrame, k: int, seed: int = 42) -> DataFr
     placed = ranks(where, ["component", "x", "y", "z", "v"], "nth")
     n = gv.count()
     part = F.floor(F.col("nth") * k / F.lit(max(n, 1))).cast("int")
-    return placed.groupBy(part.alias("part")).agg(F.min(F.struct(F.xxhash64("v", F.lit(seed)).alias("h"), "v"))["v"].alias("v")).select("v", "part")
+    rows = placed.withColumn("part", part)
+    ends = rows.groupBy("part").agg((F.min("nth") + F.max("nth")).alias("twice"))
+    middle = rows.join(F.broadcast(ends), "part").where(F.abs(2 * F.col("nth") - F.col("twice")) <= 1)
+    return middle.groupBy("part").agg(F.min(F.struct(F.xxhash64("v", F.lit(seed)).alias("h"), "v"))["v"].alias("v")).select("v", "part")
 
 
 def grow(gv: DataFrame, ge: DataFrame, seeds: DataFrame, targets: dict[int, float], most_rounds: int = 10_000) -> tuple[DataFrame, int]:
