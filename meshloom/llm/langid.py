@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, doc_remainder
+from .common import arrow_rows, doc_remainder, released
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bounds of the training sample: documents of a language, bytes of a sampled document's whole text.
@@ -318,6 +318,7 @@ class Identifier:
             if self.n:
                 self.learn_words(w for c in counts for w in c)
             yield from map(self.identify_words, counts)
+        released()
 
     def identify_words(self, words: Counter) -> tuple[str, float]:
         if not self.n or not has_letter(words):

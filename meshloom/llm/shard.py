@@ -7,6 +7,7 @@ their place in that order by a range-partitioned rank. Neither a task nor the dr
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,13 +76,10 @@ def schedule(sizes: DataFrame, shards: int) -> DataFrame:
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
     """df, written, with `_rank`: the place of each row in the order, from 0, without one task that sees all rows."""
     at = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    counts = {r["_p"]: r["count"] for r in at.groupBy(F.shiftright("_at", 33).alias("_p")).count().collect()}  # a row a partition
-    start, rows = 0, []
-    for p in sorted(counts):
-        rows.append((p, start))
-        start += counts[p]
-    offsets = df.sparkSession.createDataFrame(rows, "_p long, _start long")
-    return at.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_p").withColumn("_rank", F.col("_start") + F.col("_at").bitwiseAND(_LOW)).drop("_p", "_at", "_start")
+    counts = {r["_p"]: r["count"] for r in at.groupBy(F.shiftright("_at", 33).cast("int").alias("_p")).count().collect()}  # a row a partition
+    before = np.cumsum([0, *(counts.get(p, 0) for p in range(max(counts, default=0) + 1))])
+    start = F.element_at(F.lit(before), F.shiftright("_at", 33).cast("int") + 1)  # an array in the plan: a table of it would be made by Python workers and joined
+    return at.withColumn("_rank", start + F.col("_at").bitwiseAND(_LOW)).drop("_at")
 
 
 @tidied
